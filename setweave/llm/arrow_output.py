@@ -1,7 +1,7 @@
 """Token ids as Arrow files of fixed-size lists: equally long sequences with masks, in document order.
 
-Each shard is an Arrow IPC file whose batches hold ``ids: fixed_size_list<int32>[length]`` and
-``mask: fixed_size_list<uint8>[length]``; sequence i of a shard is a slice of a memory-mapped batch, without a
+Each shard is an Arrow IPC file whose batches hold ``ids: fixed_size_list<uint16>[length]`` (uint32
+for a vocabulary over 65,536) and ``mask: fixed_size_list<bool>[length]``, a bit each; sequence i of a shard is a slice of a memory-mapped batch, without a
 copy. Documents follow one another through the sequences; only the last sequence of a shard is
 padded (mask 0). A second file beside it lists the shard's documents: id, first place, count.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -39,7 +40,7 @@ class LibraryEncoder:
     def _many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         counts = np.fromiter(map(len, made), dtype=np.int64, count=len(made))
-        return np.fromiter((i for m in made for i in m), dtype=np.int32, count=int(counts.sum())), counts
+        return np.fromiter(chain.from_iterable(made), dtype=np.int32, count=int(counts.sum())), counts
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         odd = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
@@ -52,11 +53,12 @@ class LibraryEncoder:
 class ShardWriter:
     """Appends documents to one shard; holds at most a batch of sequences besides the document at hand."""
 
-    def __init__(self, uri: str, length: int, rows: int, id_type: pa.DataType):
+    def __init__(self, uri: str, length: int, rows: int, id_type: pa.DataType, vocabulary: int):
         self.length, self.rows = length, rows
+        self.kind = pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
         self.fs, path = pafs.FileSystem.from_uri(uri)
         self.fs.create_dir(os.path.dirname(path), recursive=True)
-        self.schema = pa.schema([("ids", pa.list_(pa.int32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(self.kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.index = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("n", pa.int64())])
         self.files = [self.fs.open_output_stream(path), self.fs.open_output_stream(path + ".docs")]
         self.out, self.docs = pa.ipc.new_file(self.files[0], self.schema), pa.ipc.new_file(self.files[1], self.index)
@@ -75,7 +77,7 @@ class ShardWriter:
             self.held, self.n_held = [flat[whole:].copy()], len(flat) - whole
 
     def _batches(self, flat: np.ndarray, real: int) -> None:
-        mask = (np.arange(len(flat)) < real).astype(np.uint8)
+        flat, mask = flat.astype(self.kind.to_pandas_dtype()), np.arange(len(flat)) < real
         step = self.length * self.rows
         for a in range(0, len(flat), step):
             parts = [pa.FixedSizeListArray.from_arrays(pa.array(x[a : a + step]), self.length) for x in (flat, mask)]
@@ -115,7 +117,7 @@ def write(
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, end_id)
                 if out is None:
-                    out = ShardWriter(name, length, rows, batch.schema.field(0).type)
+                    out = ShardWriter(name, length, rows, batch.schema.field(0).type, encoder.tokenizer.get_vocab_size())
                 out.add(batch.column(0).slice(a, b - a), ids, counts + 1)
         if out is not None:
             out.close()
@@ -133,15 +135,15 @@ def documents_of(uri: str) -> Iterator[tuple[pa.Array, np.ndarray, list[np.ndarr
     else:
         files = [fs.open_input_file(path), fs.open_input_file(path + ".docs")]
     data, index = (pa.ipc.open_file(f) for f in files)
-    held, base, k = np.zeros(0, dtype=np.int32), 0, 0
+    held, base, k = np.zeros(0, dtype=data.schema.field(0).type.value_type.to_pandas_dtype()), 0, 0
     for b in range(index.num_record_batches):
         docs = index.get_batch(b)
         start, n = docs.column(1).to_numpy(), docs.column(2).to_numpy()
         parts, have = [held], len(held)
         while base + have < start[-1] + n[-1]:
             batch = data.get_batch(k)
-            flat, mask = (batch.column(c).flatten().to_numpy() for c in (0, 1))
-            parts.append(flat if mask[-1] else flat[mask > 0])
+            flat, mask = batch.column(0).flatten().to_numpy(), batch.column(1).flatten()
+            parts.append(flat if mask[-1].as_py() else flat[mask.to_numpy(zero_copy_only=False)])
             have, k = have + len(parts[-1]), k + 1
         flat = np.concatenate(parts) if len(parts) > 1 else held
         yield docs.column(0), start, [flat[s : s + m] for s, m in zip(start - base, n, strict=True)]
@@ -176,13 +178,13 @@ def read(manifest: DataFrame, id_type: str = "long") -> DataFrame:
     return spread.mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids binary")
 
 
-def sequence(uri: str, at: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence ``at`` of a shard and its mask, as views of the file."""
+def sequence(uri: str, at: int) -> tuple[pa.Array, pa.Array]:
+    """Sequence ``at`` of a shard and its mask, as views of the file, without a copy."""
     fs, path = pafs.FileSystem.from_uri(uri)
     data = pa.ipc.open_file(pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path))
     rows = data.get_batch(0).num_rows
     batch = data.get_batch(at // rows)
-    return tuple(batch.column(c).slice(at % rows, 1).flatten().to_numpy() for c in (0, 1))
+    return tuple(batch.column(c).slice(at % rows, 1).flatten() for c in (0, 1))
 
 
 def digests(documents: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A space that is followed by a non-space always starts a new pattern match: the run of white space
 before it may not take it (its lookahead fails), and no other alternative spans a space. So a text
-splits there into segments whose ids, put one after the other, are the ids of the text.
+splits there into segments whose ids, put one after the other, are the ids of the text. Likewise marks after
+a letter or digit, up to the next space, are a match of their own: such a segment is a known one and a tail.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ import numpy as np
 from setweave.llm.common import ranges
 
 #: Segments that a worker keeps; beyond that it forgets all and starts anew (memory, never results).
-CACHED = 800_000
+CACHED = 1_300_000
 _ODD = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r" (?=\S)")
+TAIL = ".,;:?"
 
 
 class _Index(dict):
@@ -48,25 +50,44 @@ class SegmentEncoder:
 
     def _learn(self, found: np.ndarray) -> np.ndarray:
         """Encodes the new segments and puts their numbers in place of the provisional ones."""
-        k = len(self.new)
-        if not k:
+        if not self.new:
             return found
-        ids, counts = self.encode_many([key if own is self.first else " " + key for own, key in self.new])
+        whole, parted, cores, tails = [], [], [], []
+        at = 0
+        while at < len(self.new):  # cores and tails that are new too are added meanwhile
+            own, key = self.new[at]
+            core = key.rstrip(TAIL)
+            if own is self.rest and len(core) < len(key) and core[-1:].isalnum():
+                parted.append(at)
+                cores.append(self.rest[core])
+                tails.append(self.first[key[len(core) :]])
+            else:
+                whole.append(at)
+            at += 1
+        k = len(self.new)
         while self.n + k > len(self.start):
             self.start, self.count = np.resize(self.start, 2 * len(self.start)), np.resize(self.count, 2 * len(self.count))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[self.n : self.n + k] = self.used + np.cumsum(counts) - counts
-        self.count[self.n : self.n + k] = counts
         for i, (own, key) in enumerate(self.new):
             own[key] = self.n + i
+        ids, counts = self.encode_many([key if own is self.first else " " + key for own, key in map(self.new.__getitem__, whole)])
+        self._put(self.n + np.array(whole), ids, counts)
+        if parted:
+            cores, tails = (np.where(x < 0, self.n - 1 - x, x) for x in (np.array(cores), np.array(tails)))
+            both = np.stack([cores, tails], axis=1).ravel()
+            counts = self.count[both].astype(np.int64)
+            self._put(self.n + np.array(parted), self.flat[ranges(self.start[both], counts)], counts.reshape(-1, 2).sum(axis=1))
         found = np.where(found < 0, self.n - 1 - found, found)
         self.n += k
-        self.used += len(ids)
         self.new.clear()
         return found
 
+    def _put(self, at: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[at], self.count[at] = self.used + np.cumsum(counts) - counts, counts
+        self.used += len(ids)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
         if self.n > self.cached:
