@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setweave.llm.common import map_texts, table
+from setweave.llm.segments import TAIL
 
 VOCABULARY = "word_bpe_49k.json"
 #: Characters from which a text is huge, and of its chunks and their overlaps.
@@ -86,9 +87,14 @@ class Counter:
         if len(self.known) > CACHED:
             self.known = {"": 0}
         split = [[] if len(t) >= self.huge else t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
+        new = {w for words in split for w in words if w not in self.known}
         if new:
-            self.known.update(zip(new, map(len, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            # marks after a letter or digit (lower-cased too), up to white space, are pre-tokens of their own
+            parted = {w: c for w in new if w[-1] in TAIL and (c := w.rstrip(TAIL))[-1:].lower().isalnum()}
+            tails = {w[len(c) :] for w, c in parted.items()}
+            whole = [w for w in (new - parted.keys()) | set(parted.values()) | tails if w not in self.known]
+            self.known.update(zip(whole, map(len, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)), strict=True))
+            self.known.update({w: self.known[c] + self.known[w[len(c) :]] for w, c in parted.items()})
         get = self.known.__getitem__
         return np.array(
             [
