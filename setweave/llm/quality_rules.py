@@ -156,7 +156,7 @@ def keep_good(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules(table(spark, sf_dir, "documents"))
+    return rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 ORACLE = rf"""
@@ -168,7 +168,6 @@ far AS (SELECT doc_id, unnest(range(1, len(w) - {LONGEST - 1})) AS i, w FROM d W
 deep AS (SELECT DISTINCT doc_id FROM (SELECT doc_id FROM far GROUP BY doc_id, w[i:i + {LONGEST}] HAVING count(*) > 1)),
 lin AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lin WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
-big AS (SELECT doc_id, i, len(w) AS len_w, w FROM far WHERE doc_id IN (FROM deep)),
 m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
  coalesce(cov.n, 0)::BIGINT AS n_repeat_words, deep.doc_id IS NOT NULL AS too_long
