@@ -264,7 +264,7 @@ def regular_expressions(spark, sf):
     return rel(spark, sf, "part").map(p_partkey="p_partkey", w=w, b=F.regexp_replace("p_brand", "[0-9]", "#")).df
 
 
-@query("SELECT p_partkey, list_aggregate(list_filter(range(0, 63), lambda i: ((p_partkey >> i) & 1) = 1), 'string_agg', ',') AS bits, p_partkey::DOUBLE AS mask FROM part")
+@query("SELECT p_partkey, coalesce(list_aggregate(list_filter(range(0, 63), lambda i: ((p_partkey >> i) & 1) = 1), 'string_agg', ','), '') AS bits, p_partkey::DOUBLE AS mask FROM part")
 def bits(spark, sf):
     positions = S.bit_set(F.col("p_partkey"))
     return rel(spark, sf, "part").map(p_partkey="p_partkey", bits=F.array_join(positions, ","), mask=S.bit_mask(positions)).df
