@@ -16,10 +16,16 @@ from setweave.llm.common import cut, drop, map_texts, table
 WIDTH, SIMILAR = 4, 80
 #: Bands and minima in each: at similarity 0.8 a pair shares no band with probability (1 - 0.8**6)**40 = 5e-6.
 BANDS, ROWS = 40, 6
-#: Least share of equal minima that goes on to the exact check: at similarity 0.8, 5 deviations below the mean.
-SIGNATURE = 0.67
+#: Least share of equal minima that goes on to the exact check: at similarity 0.8, 3.9 deviations below the mean.
+SIGNATURE = 0.70
 #: Rows of one side of a block in which the members of a bucket meet.
 BLOCK = 512
+#: Rounds in which each member is offered one partner, before blocks.
+OFFERS = 2
+#: Characters of texts whose sets a task keeps while it confirms pairs.
+KEPT = 4_000_000
+#: Bits of the filter that keeps texts nobody asks for out of the shuffle; its table has a fixed size of BITS / 64 rows.
+BITS = 1 << 23
 SEED = 20_240_229
 
 
@@ -104,7 +110,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int, bands: int
             sets = shingle(texts)
             some = [s for s in sets if len(s)]
             least = np.stack([minima(s) for s in some]) if some else np.zeros((0, bands * rows), dtype=np.uint64)
-            hashes, small = minima.band_hashes(least), least.astype(np.uint16)
+            hashes, small = minima.band_hashes(least), least.astype(np.uint8)
             band, low, k = [], [], 0
             for s in sets:
                 band.append(hashes[k] if len(s) else None)
@@ -133,27 +139,54 @@ def _agree(pairs: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1) for c in (4, 5))
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in (4, 5))
                 yield batch.filter(pa.array((a == b).mean(axis=1) >= least)).select([0, 1, 2, 3])
 
     return pairs.select("id", "h", "pid", "ph", "minima", "p_minima").mapInArrow(run, "id long, h long, pid long, ph long")
 
 
+def _likely(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``texts`` that may be in ``wanted`` (``id``, ``h``), by a bitmap of fixed size that is broadcast.
+
+    It only spares the shuffle texts that nobody asks for; a join must follow. Once very many are asked
+    for, the bitmap is full and lets all pass.
+    """
+
+    def bit() -> Column:
+        return F.pmod(F.xxhash64("id", "h"), F.lit(BITS))
+
+    words = wanted.select(F.floor(bit() / 64).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id, h), {BITS}) % 64 as int))").alias("b"))
+    bitmap = F.broadcast(words.groupBy("w").agg(F.bit_or("b").alias("b")))
+    tested = texts.withColumn("w", F.floor(bit() / 64)).join(bitmap, "w")
+    return tested.where(F.expr(f"(shiftright(b, cast(pmod(xxhash64(id, h), {BITS}) % 64 as int)) & 1) = 1")).select("id", "h", "text")
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, width: int, similar: int) -> DataFrame:
     """Links ``u``, ``v`` of the pairs whose full shingle sets are similar. ``texts``: ``id``, ``h``, ``text``."""
     wanted = pairs.select("id", "h").unionAll(pairs.select("pid", "ph")).distinct()
-    some = cut(texts.join(wanted, ["id", "h"], "left_semi").dropDuplicates(["id", "h"]))
+    some = cut(_likely(texts, wanted).join(wanted, ["id", "h"], "left_semi").dropDuplicates(["id", "h"]))
     theirs = some.select(F.col("id").alias("pid"), F.col("h").alias("ph"), F.col("text").alias("p_text"))
     joined = pairs.join(some, ["id", "h"]).join(theirs, ["pid", "ph"]).select("id", "pid", "text", "p_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, last, theirs = Shingler(width), None, None
+        shingle, known, held = Shingler(width), {}, [0]
+
+        def of(text: str | None) -> np.ndarray:
+            """The set of a text; those at hand are kept, up to a bound of characters."""
+            text = text or ""
+            got = known.get(text)
+            if got is None:
+                held[0] += len(text)
+                if held[0] > KEPT:
+                    known.clear()
+                    held[0] = len(text)
+                known[text] = got = shingle([text])[0]
+            return got
+
         for batch in batches:
             good = []
-            for p, a, b in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
-                if last != (p, b):
-                    last, theirs = (p, b), shingle([b or ""])[0]
-                mine = shingle([a or ""])[0]
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                mine, theirs = of(a), of(b)
                 both = len(np.intersect1d(mine, theirs, assume_unique=True))
                 good.append(100 * both >= similar * (len(mine) + len(theirs) - both))
             yield batch.filter(pa.array(good, pa.bool_())).select([0, 1])
@@ -189,27 +222,32 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _block_pairs(members: DataFrame, least: float, block: int) -> DataFrame:
+def _block_pairs(members: DataFrame, least: float, block: int, rows: int) -> DataFrame:
     """Pairs of one bucket but different components whose signatures agree, found block against block.
 
-    ``members``: ``bucket``, ``id``, ``h``, ``component``, ``minima``. A bucket's members are dealt over ceil(size / block)
-    parts; each pair of parts meets once, as matrices. Only agreeing pairs leave, so no group's pairs are emitted.
+    ``members``: ``bucket``, ``b`` (its band), ``id``, ``h``, ``component``, ``minima``. A bucket's members are dealt over ceil(size / block)
+    parts; each pair of parts meets once, as matrices. Only agreeing pairs leave, and each from one bucket only: that
+    of the first band in which all minima of both are the same.
     """
     sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     dealt = members.join(sizes, "bucket").withColumn("p", F.pmod(F.xxhash64("id", "h"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")
-    meet = dealt.select("*", other).select("bucket", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "p", "id", "h", "component", "minima")
+    meet = dealt.select("*", other).select("bucket", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "p", "id", "h", "b", "component", "minima")
 
     def run(t: pa.Table) -> pa.Table:
         ids, hs, comp, p = (t.column(c).to_numpy() for c in ("id", "h", "component", "p"))
-        sig = np.frombuffer(b"".join(t.column("minima").to_pylist()), dtype=np.uint16).reshape(len(ids), -1)
+        sig = np.frombuffer(b"".join(t.column("minima").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
         found: list[tuple[np.ndarray, np.ndarray]] = []
+        band = t.column("b")[0].as_py()
         same = t.column("i")[0] == t.column("j")[0]
         left = np.arange(len(ids)) if same else np.flatnonzero(p == p.min())
         right = np.arange(len(ids)) if same else np.flatnonzero(p != p.min())
         for a in left:
             b = right[(comp[right] != comp[a]) & ((right > a) if same else True)]
-            b = b[(sig[b] == sig[a]).mean(axis=1) >= least]
+            equal = sig[b] == sig[a]
+            near = equal.mean(axis=1) >= least
+            b, whole = b[near], equal[near].reshape(int(near.sum()), sig.shape[1] // rows, rows).all(axis=2)
+            b = b[(whole.argmax(axis=1) == band) | ~whole[:, band]]
             found.append((np.full(len(b), a), b))
         a, b = (np.concatenate([x[k] for x in found] or [np.zeros(0, int)]).astype(int) for k in (0, 1))
         return pa.table({"id": ids[a], "h": hs[a], "pid": ids[b], "ph": hs[b]}, schema=pa.schema([(c, pa.int64()) for c in ("id", "h", "pid", "ph")]))
@@ -217,6 +255,36 @@ def _block_pairs(members: DataFrame, least: float, block: int) -> DataFrame:
     return meet.groupBy("bucket", "i", "j").applyInArrow(run, "id long, h long, pid long, ph long")
 
 
+def _offers(rows: DataFrame, turn: int) -> DataFrame:
+    """One pair (``id``, ``h``, ``pid``, ``ph``) for each member that isn't the first of all heads of its buckets.
+
+    At first those come first whose buckets hold the most rows: of near copies of one text it is that text, whose
+    minima are the commonest, and which is nearer to all of them than they are to one another. Later the order is by hash.
+    """
+    if turn:
+        ranked = rows.select("bucket", "id", "h", F.xxhash64(F.lit(turn), "id").alias("o"))
+    else:
+        weight = rows.groupBy("id", "h").agg((-F.sum("c")).alias("o"))
+        ranked = rows.select("bucket", "id", "h").join(weight, ["id", "h"])
+    heads = ranked.groupBy("bucket").agg(F.min(F.struct("o", "id", "h")).alias("p"))
+    first = rows.select("bucket", "id", "h").join(heads, "bucket").groupBy("id", "h").agg(F.min("p").alias("p"))
+    return first.select("id", "h", F.col("p.id").alias("pid"), F.col("p.h").alias("ph")).where("id <> pid")
+
+
+def _component_of(rows: DataFrame, found: DataFrame) -> DataFrame:
+    own = rows.drop("component")
+    return own.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _same_id_links(own: DataFrame, one: DataFrame) -> DataFrame:
+    """Links between the sets of rows that share an id, by the ids that stand for these sets."""
+    sets = own.where("id IS NOT NULL AND n > 0").select("id", "set_hash")
+    odd = sets.groupBy("id").agg(F.min("set_hash").alias("a"), F.max("set_hash").alias("z")).where("a <> z").select("id")
+    stand = one.select("set_hash", F.col("id").alias("r"))
+    links = sets.distinct().join(odd, "id").join(stand, "set_hash").select(F.greatest("id", "r").alias("u"), F.least("id", "r").alias("v"))
+    return cut(links.where("u <> v").distinct())
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similar: int = SIMILAR, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -228,48 +296,45 @@ def near_duplicates(
     a null id has a null component. An empty table gives no rows.
 
     1. Rows with equal sets fall together (a grouped minimum), and the rest goes on with one of each.
-    2. Every bucket of a band offers its members against its least one; what signatures and then full sets confirm are
-       links. A bucket of any size costs one pair a member.
-    3. Buckets whose members are then in different components still may hide links: there all
-       members of different components are compared by signature, block against block, and confirmed on full sets.
-    So a link is lost only if a pair shares no band (5e-6 at the threshold) or its signature is far off (3e-7).
+    2. Each bucket of a band has a head, by a hash of the ids, and each member is offered the first of the heads of its
+       buckets: one pair a member, whatever the sizes. What signatures and then full sets confirm are links.
+       This is repeated with other heads for buckets whose members are still in different components.
+    3. Where they still are, all members of different components are compared by signature, block against block,
+       and confirmed on full sets.
+    So a link is lost only if a pair shares no band (5e-6 at the threshold), or its signature is far off (5e-5), and
+    no other link joins the two components.
     """
     own = cut(signatures(df, id_col, text_col, width, bands, rows))
     texts = df.select(df[id_col].alias("id"), text_hash(df[text_col]).alias("h"), df[text_col].alias("text"))
     solid = own.where("id IS NOT NULL AND n > 0")
     one = cut(solid.groupBy("set_hash").agg(F.min(F.struct("id", "h", "bands", "minima")).alias("r")).select("set_hash", "r.*"))
 
-    member = one.select(F.posexplode("bands").alias("b", "x"), "id", "h").select(F.xxhash64("b", "x").alias("bucket"), "id", "h")
-    heads = member.groupBy("bucket").agg(F.min(F.struct("id", "h")).alias("p"), F.count("*").alias("c")).where("c > 1")
-    heads = heads.select("bucket", F.col("p.id").alias("pid"), F.col("p.h").alias("ph"))
-    shared = cut(member.join(heads, "bucket"))
-    pairs = shared.where("id <> pid").select("id", "h", "pid", "ph").distinct()
+    member = one.select(F.posexplode("bands").alias("b", "x"), "id", "h").select(F.xxhash64("b", "x").alias("bucket"), "b", "id", "h")
+    several = member.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
+    shared = cut(member.join(several, "bucket"))
     sig = one.select("id", "h", "minima")
     theirs = one.select(F.col("id").alias("pid"), F.col("h").alias("ph"), F.col("minima").alias("p_minima"))
-    agreed = cut(_agree(pairs.join(sig, ["id", "h"]).join(theirs, ["pid", "ph"]), SIGNATURE))
-    links = _confirm(agreed, texts, width, similar)
-    several = own.where("id IS NOT NULL").select("id", "set_hash").distinct().join(one.select("set_hash", F.col("id").alias("r")), "set_hash")
-    several = several.groupBy("id").agg(F.min("r").alias("v"), F.max("r").alias("u")).where("u <> v")
-    same_id = own.where("id IS NOT NULL").select("id", "set_hash").distinct().join(several.select("id"), "id").join(
-        one.select("set_hash", F.col("id").alias("r")), "set_hash"
-    ).select(F.greatest("id", "r").alias("u"), F.least("id", "r").alias("v")).where("u <> v").distinct()
-    links = cut(links.unionAll(same_id))
-    found = components(links)
-
-    def component_of(rows: DataFrame) -> DataFrame:
-        return rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-    placed = component_of(shared.select("bucket", "id", "h"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a <> z").select("bucket")
-    hidden = cut(placed.join(mixed, "bucket").join(sig, ["id", "h"]))
-    more = cut(_block_pairs(hidden, SIGNATURE, BLOCK).distinct())
+    links, found, open_rows, asked = _same_id_links(own, one), None, shared, None
+    for turn in range(OFFERS):
+        pairs = _offers(open_rows, turn)
+        agreed = cut(_agree(pairs.join(sig, ["id", "h"]).join(theirs, ["pid", "ph"]), SIGNATURE))
+        asked = agreed if asked is None else asked.unionAll(agreed)
+        links = cut(links.unionAll(_confirm(agreed, texts, width, similar)))
+        found = components(links)
+        placed = _component_of(shared, found)
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a <> z").select("bucket")
+        before, open_rows = open_rows, cut(placed.join(mixed, "bucket"))
+        if turn and before is not shared:
+            drop(before)
+        if open_rows.isEmpty():
+            break
+    more = cut(_block_pairs(open_rows.join(sig, ["id", "h"]), SIGNATURE, BLOCK, rows).distinct().join(asked, ["id", "h", "pid", "ph"], "left_anti"))
     if not more.isEmpty():
-        extra = _confirm(more.join(agreed, ["id", "h", "pid", "ph"], "left_anti"), texts, width, similar)
-        if not extra.isEmpty():
-            found = components(links.unionAll(extra))
-    for x in (shared, hidden, more, agreed):
+        found = components(links.unionAll(_confirm(more, texts, width, similar)))
+    for x in (shared, open_rows, more):
         drop(x)
-    node = component_of(one.select("set_hash", "id")).select("set_hash", "component")
+
+    node = _component_of(one.select("set_hash", "id"), found).select("set_hash", "component")
     out = own.select("id", "h", F.col("n").alias("n_shingles"), "set_hash").join(node, "set_hash", "left")
     return out.select("id", "h", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 
