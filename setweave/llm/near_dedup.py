@@ -164,7 +164,8 @@ def _likely(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 def _confirm(pairs: DataFrame, texts: DataFrame, width: int, similar: int) -> DataFrame:
     """Links ``u``, ``v`` of the pairs whose full shingle sets are similar. ``texts``: ``id``, ``h``, ``text``."""
     wanted = pairs.select("id", "h").unionAll(pairs.select("pid", "ph")).distinct()
-    some = cut(_likely(texts, wanted).join(wanted, ["id", "h"], "left_semi").dropDuplicates(["id", "h"]))
+    # An inner join: a semi join would be pushed below the filter, and all texts be shuffled.
+    some = cut(_likely(texts, wanted).join(wanted, ["id", "h"]).dropDuplicates(["id", "h"]))
     theirs = some.select(F.col("id").alias("pid"), F.col("h").alias("ph"), F.col("text").alias("p_text"))
     joined = pairs.join(some, ["id", "h"]).join(theirs, ["pid", "ph"]).select("id", "pid", "text", "p_text")
 
