@@ -161,36 +161,47 @@ def _likely(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return tested.where(F.expr(f"(shiftright(b, cast(pmod(xxhash64(id, h), {BITS}) % 64 as int)) & 1) = 1")).select("id", "h", "text")
 
 
+class Sets:
+    """The shingle sets of texts; those at hand are kept, up to a bound of characters."""
+
+    def __init__(self, width: int, bound: int):
+        self.shingle, self.bound, self.known, self.held = Shingler(width), bound, {}, 0
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        text = text or ""
+        got = self.known.get(text)
+        if got is None:
+            self.held += len(text)
+            if self.held > self.bound:
+                self.known.clear()
+                self.held = len(text)
+            self.known[text] = got = self.shingle([text])[0]
+        return got
+
+    def similar(self, a: str | None, b: str | None, percent: int) -> bool:
+        mine, theirs = self(a), self(b)
+        both = len(np.intersect1d(mine, theirs, assume_unique=True))
+        return 100 * both >= percent * (len(mine) + len(theirs) - both)
+
+
+def _asked(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts of ``wanted`` (distinct ``id``, ``h``), written once."""
+    # An inner join: a semi join would be pushed below the filter, and all texts be shuffled.
+    return cut(_likely(texts, wanted).join(wanted, ["id", "h"]).dropDuplicates(["id", "h"]))
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, width: int, similar: int) -> DataFrame:
     """Links ``u``, ``v`` of the pairs whose full shingle sets are similar. ``texts``: ``id``, ``h``, ``text``."""
     wanted = pairs.select("id", "h").unionAll(pairs.select("pid", "ph")).distinct()
-    # An inner join: a semi join would be pushed below the filter, and all texts be shuffled.
-    some = cut(_likely(texts, wanted).join(wanted, ["id", "h"]).dropDuplicates(["id", "h"]))
+    some = _asked(wanted, texts)
     theirs = some.select(F.col("id").alias("pid"), F.col("h").alias("ph"), F.col("text").alias("p_text"))
     joined = pairs.join(some, ["id", "h"]).join(theirs, ["pid", "ph"]).select("id", "pid", "text", "p_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, known, held = Shingler(width), {}, [0]
-
-        def of(text: str | None) -> np.ndarray:
-            """The set of a text; those at hand are kept, up to a bound of characters."""
-            text = text or ""
-            got = known.get(text)
-            if got is None:
-                held[0] += len(text)
-                if held[0] > KEPT:
-                    known.clear()
-                    held[0] = len(text)
-                known[text] = got = shingle([text])[0]
-            return got
-
+        sets = Sets(width, KEPT)
         for batch in batches:
-            good = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                mine, theirs = of(a), of(b)
-                both = len(np.intersect1d(mine, theirs, assume_unique=True))
-                good.append(100 * both >= similar * (len(mine) + len(theirs) - both))
-            yield batch.filter(pa.array(good, pa.bool_())).select([0, 1])
+            two = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            yield batch.filter(pa.array([sets.similar(x, y, similar) for x, y in two], pa.bool_())).select([0, 1])
 
     links = joined.mapInArrow(run, "id long, pid long").select(F.greatest("id", "pid").alias("u"), F.least("id", "pid").alias("v"))
     made = cut(links.where("u <> v").distinct())
@@ -198,6 +209,30 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, similar: int) -> Da
     return made
 
 
+def _confirm_blocks(pairs: DataFrame, texts: DataFrame, width: int, similar: int) -> DataFrame:
+    """As ``_confirm``, for pairs found in blocks (``bucket``, ``i``, ``j``): a block gets each of its texts once.
+
+    So a text is moved once for each block it has pairs in, not once for each pair; a block holds 2 * BLOCK texts at most.
+    """
+    block = ["bucket", "i", "j"]
+    ends = pairs.select(*block, "id", "h").unionAll(pairs.select(*block, "pid", "ph")).distinct()
+    some = _asked(ends.select("id", "h").distinct(), texts)
+
+    def run(found: pa.Table, held: pa.Table) -> pa.Table:
+        sets, good = Sets(width, 8 * KEPT), []
+        text = dict(zip(zip(held.column("t_id").to_pylist(), held.column("t_h").to_pylist(), strict=True), held.column("t_text").to_pylist(), strict=True))
+        for a, h, b, o in sorted(zip(*(found.column(c).to_pylist() for c in ("id", "h", "pid", "ph")), strict=True)):
+            if (a, h) in text and (b, o) in text and a != b and sets.similar(text[a, h], text[b, o], similar):
+                good.append((max(a, b), min(a, b)))
+        return pa.table({"u": pa.array([x for x, _ in good], pa.int64()), "v": pa.array([y for _, y in good], pa.int64())})
+
+    names = ["id", "h", *block, "text"]
+    placed = ends.join(some, ["id", "h"]).select(*[F.col(c).alias(f"t_{c}") for c in names])
+    made = cut(pairs.groupBy(*block).cogroup(placed.groupBy(*[f"t_{c}" for c in block])).applyInArrow(run, "u long, v long").distinct())
+    drop(some)
+    return made
+
+
 def components(links: DataFrame) -> DataFrame:
     """``id`` and ``component`` (its smallest id) of every id in ``links`` (``u``, ``v``; u > v), by alternating steps.
 
@@ -251,9 +286,11 @@ def _block_pairs(members: DataFrame, least: float, block: int, rows: int) -> Dat
             b = b[(whole.argmax(axis=1) == band) | ~whole[:, band]]
             found.append((np.full(len(b), a), b))
         a, b = (np.concatenate([x[k] for x in found] or [np.zeros(0, int)]).astype(int) for k in (0, 1))
-        return pa.table({"id": ids[a], "h": hs[a], "pid": ids[b], "ph": hs[b]}, schema=pa.schema([(c, pa.int64()) for c in ("id", "h", "pid", "ph")]))
+        where = {c: np.full(len(a), t.column(c)[0].as_py()) for c in ("bucket", "i", "j")}
+        ends = {"id": ids[a], "h": hs[a], "pid": ids[b], "ph": hs[b]}
+        return pa.table(where | ends, schema=pa.schema([(c, pa.int32() if c in "ij" else pa.int64()) for c in [*where, *ends]]))
 
-    return meet.groupBy("bucket", "i", "j").applyInArrow(run, "id long, h long, pid long, ph long")
+    return meet.groupBy("bucket", "i", "j").applyInArrow(run, "bucket long, i int, j int, id long, h long, pid long, ph long")
 
 
 def _offers(rows: DataFrame, turn: int) -> DataFrame:
@@ -315,11 +352,10 @@ def near_duplicates(
     shared = cut(member.join(several, "bucket"))
     sig = one.select("id", "h", "minima")
     theirs = one.select(F.col("id").alias("pid"), F.col("h").alias("ph"), F.col("minima").alias("p_minima"))
-    links, found, open_rows, asked = _same_id_links(own, one), None, shared, None
+    links, found, open_rows = _same_id_links(own, one), None, shared
     for turn in range(OFFERS):
         pairs = _offers(open_rows, turn)
         agreed = cut(_agree(pairs.join(sig, ["id", "h"]).join(theirs, ["pid", "ph"]), SIGNATURE))
-        asked = agreed if asked is None else asked.unionAll(agreed)
         links = cut(links.unionAll(_confirm(agreed, texts, width, similar)))
         found = components(links)
         placed = _component_of(shared, found)
@@ -329,9 +365,9 @@ def near_duplicates(
             drop(before)
         if open_rows.isEmpty():
             break
-    more = cut(_block_pairs(open_rows.join(sig, ["id", "h"]), SIGNATURE, BLOCK, rows).distinct().join(asked, ["id", "h", "pid", "ph"], "left_anti"))
+    more = cut(_block_pairs(open_rows.join(sig, ["id", "h"]), SIGNATURE, BLOCK, rows))
     if not more.isEmpty():
-        found = components(links.unionAll(_confirm(more, texts, width, similar)))
+        found = components(links.unionAll(_confirm_blocks(more, texts, width, similar)))
     for x in (shared, open_rows, more):
         drop(x)
 
