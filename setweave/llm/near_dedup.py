@@ -180,6 +180,8 @@ class Sets:
 
     def similar(self, a: str | None, b: str | None, percent: int) -> bool:
         mine, theirs = self(a), self(b)
+        if 100 * min(len(mine), len(theirs)) < percent * max(len(mine), len(theirs)):
+            return False
         both = len(np.intersect1d(mine, theirs, assume_unique=True))
         return 100 * both >= percent * (len(mine) + len(theirs) - both)
 
@@ -209,30 +211,6 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, similar: int) -> Da
     return made
 
 
-def _confirm_blocks(pairs: DataFrame, texts: DataFrame, width: int, similar: int) -> DataFrame:
-    """As ``_confirm``, for pairs found in blocks (``bucket``, ``i``, ``j``): a block gets each of its texts once.
-
-    So a text is moved once for each block it has pairs in, not once for each pair; a block holds 2 * BLOCK texts at most.
-    """
-    block = ["bucket", "i", "j"]
-    ends = pairs.select(*block, "id", "h").unionAll(pairs.select(*block, "pid", "ph")).distinct()
-    some = _asked(ends.select("id", "h").distinct(), texts)
-
-    def run(found: pa.Table, held: pa.Table) -> pa.Table:
-        sets, good = Sets(width, 8 * KEPT), []
-        text = dict(zip(zip(held.column("t_id").to_pylist(), held.column("t_h").to_pylist(), strict=True), held.column("t_text").to_pylist(), strict=True))
-        for a, h, b, o in sorted(zip(*(found.column(c).to_pylist() for c in ("id", "h", "pid", "ph")), strict=True)):
-            if (a, h) in text and (b, o) in text and a != b and sets.similar(text[a, h], text[b, o], similar):
-                good.append((max(a, b), min(a, b)))
-        return pa.table({"u": pa.array([x for x, _ in good], pa.int64()), "v": pa.array([y for _, y in good], pa.int64())})
-
-    names = ["id", "h", *block, "text"]
-    placed = ends.join(some, ["id", "h"]).select(*[F.col(c).alias(f"t_{c}") for c in names])
-    made = cut(pairs.groupBy(*block).cogroup(placed.groupBy(*[f"t_{c}" for c in block])).applyInArrow(run, "u long, v long").distinct())
-    drop(some)
-    return made
-
-
 def components(links: DataFrame) -> DataFrame:
     """``id`` and ``component`` (its smallest id) of every id in ``links`` (``u``, ``v``; u > v), by alternating steps.
 
@@ -258,39 +236,58 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _block_pairs(members: DataFrame, least: float, block: int, rows: int) -> DataFrame:
-    """Pairs of one bucket but different components whose signatures agree, found block against block.
+def _near_in_block(t: pa.Table, least: float, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs of a block (``id``, ``p``, ``b``, ``component``, ``minima``) whose signatures agree.
+
+    A pair counts in one bucket only: that of the first band in which all minima of both are the same. Whether it
+    counts depends on its two rows alone.
+    """
+    comp, p = t.column("component").to_numpy(), t.column("p").to_numpy()
+    sig = np.frombuffer(b"".join(t.column("minima").to_pylist()), dtype=np.uint8).reshape(len(comp), -1)
+    band = t.column("b")[0].as_py()
+    same = t.column("i")[0] == t.column("j")[0]
+    left = np.arange(len(comp)) if same else np.flatnonzero(p == p.min())
+    right = np.arange(len(comp)) if same else np.flatnonzero(p != p.min())
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for a in left:
+        b = right[(comp[right] != comp[a]) & ((right > a) if same else True)]
+        equal = sig[b] == sig[a]
+        near = equal.mean(axis=1) >= least
+        b, whole = b[near], equal[near].reshape(int(near.sum()), sig.shape[1] // rows, rows).all(axis=2)
+        b = b[(whole.argmax(axis=1) == band) | ~whole[:, band]]
+        found.append((np.full(len(b), a), b))
+    a, b = (np.concatenate([x[k] for x in found] or [np.zeros(0, int)]).astype(int) for k in (0, 1))
+    return a, b
+
+
+def _block_links(members: DataFrame, texts: DataFrame, least: float, block: int, rows: int, width: int, similar: int) -> DataFrame:
+    """Links ``u``, ``v`` between members of one bucket but different components, found block against block.
 
     ``members``: ``bucket``, ``b`` (its band), ``id``, ``h``, ``component``, ``minima``. A bucket's members are dealt over ceil(size / block)
-    parts; each pair of parts meets once, as matrices. Only agreeing pairs leave, and each from one bucket only: that
-    of the first band in which all minima of both are the same.
+    parts; each pair of parts meets as matrices. A block first gives the rows that agree with some other row in it, not
+    the pairs: of these there may be as many as the square of its rows. Such rows then meet again with their texts, each
+    once in a block (2 * block texts at most), and what agrees is confirmed there on full sets. Only links leave.
     """
     sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     dealt = members.join(sizes, "bucket").withColumn("p", F.pmod(F.xxhash64("id", "h"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")
-    meet = dealt.select("*", other).select("bucket", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "p", "id", "h", "b", "component", "minima")
-
-    def run(t: pa.Table) -> pa.Table:
-        ids, hs, comp, p = (t.column(c).to_numpy() for c in ("id", "h", "component", "p"))
-        sig = np.frombuffer(b"".join(t.column("minima").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        band = t.column("b")[0].as_py()
-        same = t.column("i")[0] == t.column("j")[0]
-        left = np.arange(len(ids)) if same else np.flatnonzero(p == p.min())
-        right = np.arange(len(ids)) if same else np.flatnonzero(p != p.min())
-        for a in left:
-            b = right[(comp[right] != comp[a]) & ((right > a) if same else True)]
-            equal = sig[b] == sig[a]
-            near = equal.mean(axis=1) >= least
-            b, whole = b[near], equal[near].reshape(int(near.sum()), sig.shape[1] // rows, rows).all(axis=2)
-            b = b[(whole.argmax(axis=1) == band) | ~whole[:, band]]
-            found.append((np.full(len(b), a), b))
-        a, b = (np.concatenate([x[k] for x in found] or [np.zeros(0, int)]).astype(int) for k in (0, 1))
-        where = {c: np.full(len(a), t.column(c)[0].as_py()) for c in ("bucket", "i", "j")}
-        ends = {"id": ids[a], "h": hs[a], "pid": ids[b], "ph": hs[b]}
-        return pa.table(where | ends, schema=pa.schema([(c, pa.int32() if c in "ij" else pa.int64()) for c in [*where, *ends]]))
-
-    return meet.groupBy("bucket", "i", "j").applyInArrow(run, "bucket long, i int, j int, id long, h long, pid long, ph long")
+    meet = dealt.select("*", other).select("bucket", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "p", "b", "id", "h", "component", "minima")
+
+    def flag(t: pa.Table) -> pa.Table:
+        return t.take(pa.array(np.unique(np.concatenate(_near_in_block(t, least, rows)))))
+
+    def confirm(t: pa.Table) -> pa.Table:
+        sets, ids, text = Sets(width, 8 * KEPT), t.column("id").to_pylist(), t.column("text").to_pylist()
+        near = zip(*(x.tolist() for x in _near_in_block(t, least, rows)), strict=True)
+        good = [(max(ids[a], ids[b]), min(ids[a], ids[b])) for a, b in near if ids[a] != ids[b] and sets.similar(text[a], text[b], similar)]
+        return pa.table({"u": pa.array([u for u, _ in good], pa.int64()), "v": pa.array([v for _, v in good], pa.int64())})
+
+    ends = cut(meet.groupBy("bucket", "i", "j").applyInArrow(flag, meet.schema))
+    some = _asked(ends.select("id", "h").distinct(), texts)
+    made = cut(ends.join(some, ["id", "h"]).groupBy("bucket", "i", "j").applyInArrow(confirm, "u long, v long").distinct())
+    drop(some)
+    drop(ends)
+    return made
 
 
 def _offers(rows: DataFrame, turn: int) -> DataFrame:
@@ -365,10 +362,12 @@ def near_duplicates(
             drop(before)
         if open_rows.isEmpty():
             break
-    more = cut(_block_pairs(open_rows.join(sig, ["id", "h"]), SIGNATURE, BLOCK, rows))
-    if not more.isEmpty():
-        found = components(links.unionAll(_confirm_blocks(more, texts, width, similar)))
-    for x in (shared, open_rows, more):
+    if not open_rows.isEmpty():
+        more = _block_links(open_rows.join(sig, ["id", "h"]), texts, SIGNATURE, BLOCK, rows, width, similar)
+        if not more.isEmpty():
+            found = components(links.unionAll(more))
+        drop(more)
+    for x in (shared, open_rows):
         drop(x)
 
     node = _component_of(one.select("set_hash", "id"), found).select("set_hash", "component")

@@ -105,6 +105,28 @@ def test_near_dedup(docs):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 1, 2, 3, 5, 9, 10, 11, 12, 13, 14, 15]
 
 
+def test_near_dedup_in_blocks(spark, monkeypatch):
+    """Walks of small changes: neighbours are links, most pairs of a bucket are close but none."""
+    monkeypatch.setattr(near_dedup, "OFFERS", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    rng, rows = random.Random(8), []
+    base = words(7, 60, 5000).split()
+    for _ in range(12):
+        walk = list(base)
+        for _ in range(12):
+            for _ in range(rng.choice((1, 1, 2, 3))):
+                walk[rng.randrange(60)] = f"new{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(walk)))
+    sets = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for w in (t.split() for _, t in rows)]
+    least = list(range(len(rows)))
+    links = [(a, b) for a in least for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in rows:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert {r.id: r.component for r in got} == dict(enumerate(least)) and 12 < len(set(least)) < 130
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(max(a, b), min(a, b)) for a, b in ((rng.randrange(90), rng.randrange(90)) for _ in range(70)) if a != b] + [(i + 1, i) for i in range(100, 140)]
