@@ -184,3 +184,13 @@ def dict_merge(a: Column, b: Column) -> Column:
 def cond(*cases: tuple[Column, Column], otherwise: Column | None = None) -> Column:
     made = reduce(lambda w, ce: w.when(*ce), cases[1:], F.when(*cases[0]))
     return made if otherwise is None else made.otherwise(otherwise)
+
+
+def shown(c: Column, kind: T.DataType, form: str = "") -> Column:
+    """A value in a text: strings as they are, whole numbers without a fraction; ``form`` as in printf."""
+    if form and isinstance(kind, T.NumericType):
+        return F.format_string(f"%{form}", c.cast("double") if form[-1] in "fgGeE" else c.cast("long"))
+    if isinstance(kind, T.FractionalType):
+        whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
+        return F.when(whole, c.cast("long").cast("string")).otherwise(c.cast("string"))
+    return F.format_string(f"%{form}", c) if form else c.cast("string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import statistics
 from collections import ChainMap
@@ -30,6 +31,7 @@ class Engine:
     def __init__(self, spark: SparkSession | None = None, **scope: Any):
         self.spark, self.scope = spark, {k: V.value(v) for k, v in scope.items()}
         self.columns: dict[str, Callable[..., Column]] = {}
+        self.scoped: list[dict[str, Any]] = []
 
     def bind(self, name: str, value: Any) -> None:
         self.scope[name] = value if isinstance(value, Rel) else V.value(value)
@@ -45,12 +47,17 @@ class Engine:
 
     # local evaluation
     def run(self, n: Node, env: ChainMap) -> Any:
+        if n.kind in ("rest", "optional"):
+            raise V.EvalError(f"a {n.kind} part stands in patterns only")
         return getattr(self, f"_{n.kind}")(n, env)
 
     def _lit(self, n: Node, env: ChainMap) -> Any:
         return V.value(n[0])
 
     def _name(self, n: Node, env: ChainMap) -> Any:
+        for names in reversed(self.scoped if n[0][:1] == "@" else []):
+            if n[0] in names:
+                return names[n[0]]
         if n[0] not in env:
             raise V.EvalError(f"name {n[0]!r} not found")
         return env[n[0]]
@@ -67,6 +74,25 @@ class Engine:
             raise V.EvalError("pattern doesn't match")
         return self.run(n[2], inner)
 
+    def _scoped(self, n: Node, env: ChainMap) -> Any:
+        """Names with a leading @ hold in all that is called from the body."""
+        self.scoped.append(dict(self.run(n[0], env)))
+        try:
+            return self.run(n[1], env)
+        finally:
+            self.scoped.pop()
+
+    def _template(self, n: Node, env: ChainMap) -> Any:
+        out = ""
+        for part in n[0]:
+            if isinstance(part, str):
+                out += part
+                continue
+            made = V.expand(part[1], self.run(part[0], env), part[2], part[3])
+            blank = not made and not out[out.rfind("\n") + 1 :].strip(" \t")
+            out = out[: out.rfind("\n") + 1] if blank else out + made
+        return out or V.FALSE
+
     def _fn(self, n: Node, env: ChainMap) -> Callable:
         def call(x: Any) -> Any:
             inner = env.new_child()
@@ -202,11 +228,26 @@ class Engine:
         return all(self.match(a, b, env) for a, b in zip(parts, vals, strict=True))
 
     def _match_tuple(self, p: Node, x: Any, env: ChainMap) -> bool:
-        return isinstance(x, V.Tup) and set(x) == {k for k, _ in p[0]} and all(self.match(v, x[k], env) for k, v in p[0])
+        x = V.Tup() if x == V.FALSE else x
+        return isinstance(x, V.Tup) and not isinstance(x, V.Dic) and self.match_named(p[0], x, env)
 
     def _match_dict(self, p: Node, x: Any, env: ChainMap) -> bool:
-        keys = [self.run(k, env) for k, _ in p[0]]
-        return isinstance(x, V.Dic) and set(x) == set(keys) and all(self.match(v, x[k], env) for k, (_, v) in zip(keys, p[0], strict=True))
+        x = V.Dic() if x == V.FALSE else x
+        return isinstance(x, V.Dic) and self.match_named([(k if k is None else self.run(k, env), v) for k, v in p[0]], x, env)
+
+    def match_named(self, fields: Any, x: dict, env: ChainMap) -> bool:
+        """Named parts; some may be optional with a default, and a rest takes what no part names."""
+        named = {k: v for k, v in fields if k is not None}
+        rest, over = [v for k, v in fields if k is None], type(x)({k: v for k, v in x.items() if k not in named})
+        if over and not rest:
+            return False
+        for k, v in named.items():
+            if v.kind == "optional":
+                if not self.match(v[0], x[k] if k in x else self.run(v[1], env), env):
+                    return False
+            elif k not in x or not self.match(v, x[k], env):
+                return False
+        return all(self.match(Node("name", r.args), over, env) for r in rest)
 
     def _match_set(self, p: Node, x: Any, env: ChainMap) -> bool:
         if not isinstance(x, frozenset):
@@ -375,6 +416,9 @@ class Engine:
             return V.as_set(f(e) for e in V.elements(x))
         if op == "orderby":
             return tuple(sorted(V.elements(x), key=lambda e: V.order(f(e)))) or V.FALSE
+        if op == "order":
+            less = functools.cmp_to_key(lambda a, b: V.true(f(b)(a)) - V.true(f(a)(b)))
+            return tuple(sorted(sorted(V.elements(x), key=V.order), key=less)) or V.FALSE
         if op == ":>":
             return V.Tup({k: f(v) for k, v in x.items()})
         if op in (">>", ">>>"):
@@ -477,6 +521,8 @@ class Engine:
         if n.kind == "cond":
             cases = [(F.lit(True) if t == Node("name", ("_",)) else S.truthy(*self.column(t, x, env)), sub(v)) for t, v in n[0]]
             return S.cond(*cases, otherwise=None if n[1] is None else sub(n[1]))
+        if n.kind == "template":
+            return F.concat(*[F.lit(m) if isinstance(m, str) else self._expanded(m, x, env) for m in n[0]], F.lit(""))
         if n.kind in ("tuple", "array"):
             return F.struct(*[sub(v).alias(k) for k, v in n[0]]) if n.kind == "tuple" else F.array(*map(sub, n[0]))
         if n.kind == "set":
@@ -500,6 +546,17 @@ class Engine:
             return {"max": F.array_max, "min": F.array_min, "mean": lambda a: F.aggregate(a, F.lit(0.0), lambda p, q: p + q) / F.size(a)}[n[0]](made)
         raise V.EvalError(f"cannot be a column: {n.kind}")
 
+    def _expanded(self, part: tuple, x: Rel, env: ChainMap) -> Column:
+        """A text's part as a column; formats are those of printf for numbers."""
+        node, form, delimiter, tail = part
+        c, kind = self.column(node, x, env)
+        if delimiter is not None:
+            item = kind.elementType
+            made = F.array_join(F.transform(c, lambda e: S.shown(e, item, form)), delimiter)
+        else:
+            made = S.shown(c, kind, form)
+        return F.when(made == "", made).otherwise(F.concat(made, F.lit(tail))) if tail else made
+
     def _inner(self, n: Node, env: ChainMap) -> Callable[[Column], Column]:
         """The body of a fold or map over a column's elements: the dot is the element."""
 

@@ -33,7 +33,7 @@ _TOKEN = re.compile(
 
 #: Binary operators by level, weakest first.
 LEVELS = [
-    {"->", "where", "orderby", "rank", "sum", "max", "min", "mean", "median", "nest", "unnest", "filter", "=>", ">>", ":>", ">>>"},
+    {"->", "where", "orderby", "order", "rank", "sum", "max", "min", "mean", "median", "nest", "unnest", "filter", "=>", ">>", ":>", ">>>"},
     {"with", "without"},
     {"||"},
     {"&&"},
@@ -53,11 +53,72 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", lambda m: _ESCAPES.get(m[1], m[1]), text, flags=re.S)
 
 
+def _dedent(parts: list) -> list:
+    """Without the first line break, and without the indentation after it on every line, if the text starts with them."""
+    first = parts[0] if parts and isinstance(parts[0], str) else ""
+    if not first.startswith("\n"):
+        return parts
+    margin = "\n" + re.match(r"\n([ \t]*)", first)[1]
+    out = [p.replace(margin, "\n") if isinstance(p, str) else p for p in parts]
+    return [out[0][1:], *out[1:]]
+
+
+class _Template:
+    """Reads ``$"...${expr:format:delimiter:tail}..."``: ``parts`` are texts and (node, format, delimiter or None, tail)."""
+
+    def __init__(self, text: str, at: int):
+        self.text, self.at, self.quote = text, at + 2, text[at + 1]
+        parts, start = [], self.at
+        while self.more() != self.quote:
+            if text.startswith("${", self.at):
+                parts += [self.plain(start), self.hole()]
+                start = self.at
+            else:
+                self.at += 2 if text[self.at] == "\\" and self.quote != "`" else 1
+        parts.append(self.plain(start))
+        self.at += 1
+        self.parts = tuple(p for p in _dedent(parts) if p != "")
+
+    def more(self) -> str:
+        if self.at >= len(self.text):
+            raise ParseError("a text without an end")
+        return self.text[self.at]
+
+    def plain(self, start: int) -> str:
+        raw = self.text[start : self.at]
+        return raw if self.quote == "`" else unescape(raw)
+
+    def hole(self) -> tuple:
+        self.at += 2
+        start, depth = self.at, 0
+        while depth or self.more() not in ":}" or self.text[self.at - 1] == "?" or self.text.startswith(":>", self.at):
+            c = self.more()
+            if c == "$" and self.text[self.at + 1 : self.at + 2] in ("'", '"', "`"):
+                self.at = _Template(self.text, self.at).at
+            elif c in "'\"`":
+                self.at = _TOKEN.match(self.text, self.at).end()
+            else:
+                depth += (c in "([{") - (c in ")]}")
+                self.at += 1
+        node, start = parse(self.text[start : self.at]), self.at
+        while self.more() != "}":
+            self.at += 2 if self.text[self.at] == "\\" else 1
+        control = self.text[start : self.at].split(":", 3)[1:]
+        self.at += 1
+        form, delimiter, tail = (control + [None] * 3)[:3]
+        return (node, form or "", None if delimiter is None else unescape(delimiter), unescape(tail or ""))
+
+
 class Parser:
     def __init__(self, text: str):
-        self.tokens: list[tuple[str, str]] = []
+        self.tokens: list[tuple[str, Any]] = []
         at = 0
         while at < len(text):
+            if text[at] == "$" and text[at + 1 : at + 2] in ("'", '"', "`"):
+                made = _Template(text, at)
+                self.tokens.append(("template", made.parts))
+                at = made.at
+                continue
             m = _TOKEN.match(text, at)
             if not m or m.end() == at:
                 raise ParseError(f"cannot read {text[at : at + 20]!r}")
@@ -98,6 +159,8 @@ class Parser:
         if self.take("let"):
             self.take("rec")
             pattern = self.pattern()
+            if pattern.kind == "tuple" and self.take(";"):
+                return Node("scoped", (pattern, self.expr()))
             self.need("=")
             value = self.expr()
             self.need(";")
@@ -219,6 +282,9 @@ class Parser:
         if kind == "str":
             self.at += 1
             return Node("lit", (unescape(value[1:-1]) if value[0] != "`" else value[1:-1],))
+        if kind == "template":
+            self.at += 1
+            return Node("template", (value,))
         if kind == "char":
             self.at += 1
             return Node("lit", (float(ord(unescape(value[1:]))),))
@@ -272,16 +338,27 @@ class Parser:
     def tuple_or_group(self) -> Node:
         if self.take(")"):
             return Node("tuple", ((),))
-        if self.peek(":") or self.tokens[self.at][0] in ("id", "str") and self.tokens[self.at + 1][1] == ":":
+        if self.peek(":", "?:", "...") or self.tokens[self.at][0] in ("id", "str") and self.tokens[self.at + 1][1] in (":", "?:"):
             fields = []
             while not self.take(")"):
-                if self.take(":"):
+                if self.take("..."):
+                    fields.append((None, Node("rest", (self.name() if self.tokens[self.at][0] == "id" else "_",))))
+                elif self.take("?:"):
+                    name = self.name()
+                    self.need(":")
+                    fields.append((name, Node("optional", (Node("name", (name,)), self.expr()))))
+                elif self.take(":"):
                     inner = self.expr()
                     fields.append((inner.args[1] if inner.kind == "get" else inner.args[0], inner))
                 else:
                     name = self.name()
-                    self.need(":")
-                    fields.append((name, self.expr()))
+                    if self.take("?:"):
+                        inner = self.pattern()
+                        self.need(":")
+                        fields.append((name, Node("optional", (inner, self.expr()))))
+                    else:
+                        self.need(":")
+                        fields.append((name, self.expr()))
                 self.take(",")
             return Node("tuple", (tuple(fields),))
         inner = self.expr()
@@ -295,6 +372,9 @@ class Parser:
         if self.take(":"):
             pairs = [(first, self.expr())]
             while self.take(",") and not self.peek("}"):
+                if self.take("..."):
+                    pairs.append((None, Node("rest", (self.name() if self.tokens[self.at][0] == "id" else "_",))))
+                    continue
                 key = self.expr()
                 self.need(":")
                 pairs.append((key, self.expr()))

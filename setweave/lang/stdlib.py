@@ -123,6 +123,41 @@ def re_match(pattern: str, s: Any) -> Any:
 std("re.sub", 3, lambda p, new, s: F.regexp_replace(s, p[0], new[0]))(lambda p, new, s: re.sub(p, re.sub(r"\$(\d)", r"\\\1", _text(new)), _text(s)))
 
 
+@std("re.compile")
+def re_compile(pattern: str) -> Any:
+    """A tuple of functions; ``subf`` gets each match as a string."""
+    made = re.compile(pattern)
+    groups = {
+        "match": lambda s: V.value(re_match(pattern, s)),
+        "sub": lambda new: lambda s: V.value(made.sub(re.sub(r"\$(\d)", r"\\\1", _text(new)), _text(s))),
+        "subf": lambda f: lambda s: V.value(made.sub(lambda m: _text(f(V.value(m[0]))), _text(s))),
+    }
+    return V.Tup(groups)
+
+
+@std("str.expand", 4)
+def expand(form: Any, x: Any, delimiter: Any, tail: Any) -> str:
+    """A delimiter starts with a colon; without one, the value is shown as a whole."""
+    delimiter = _text(delimiter)
+    return V.expand(_text(form), x, delimiter[1:] if delimiter.startswith(":") else None, _text(tail))
+
+
+def _assert(name: str, arity: int, holds: Callable) -> None:
+    def check(*got: Any) -> bool:
+        if not holds(*got):
+            raise V.EvalError(f"assert.{name}: " + ", ".join(map(V.show, got)))
+        return True
+
+    std(f"test.assert.{name}", arity)(check)
+
+
+_assert("equal", 2, lambda a, b: a == b)
+_assert("unequal", 2, lambda a, b: a != b)
+_assert("size", 2, lambda n, s: len(V.elements(s)) == n)
+_assert("true", 1, V.true)
+_assert("false", 1, lambda x: not V.true(x))
+
+
 @std("error")
 def error(message: Any) -> Any:
     raise V.EvalError(str(message))

@@ -158,3 +158,31 @@ def show(x: Any) -> str:
     if isinstance(x, frozenset):
         return "{" + ", ".join(show(e) for e in sorted(x, key=order)) + "}"
     return repr(x)
+
+
+def shown(form: str, x: Any) -> str:
+    """A value in a text: strings as they are, others as they are written; ``form`` as in printf."""
+    plain = "" if x == FALSE else x if isinstance(x, str) else x.decode("utf-8", "replace") if isinstance(x, bytes) else show(x)
+    last = form[-1:]
+    if last in ("", "v", "s"):
+        return f"%{form[:-1]}s" % plain
+    if last == "t":
+        return f"%{form[:-1]}s" % ("true" if true(x) else "false")
+    if last == "q":
+        return f"%{form[:-1]}s" % ('"' + plain.replace("\\", "\\\\").replace('"', '\\"') + '"')
+    if not isinstance(x, float):
+        raise EvalError(f"%{form} needs a number, not {show(x)}")
+    if last == "U":
+        return f"U+{int(x):04X}"
+    return f"%{form}" % (x if last in "fFgGeE" else chr(int(x)) if last == "c" else int(x))
+
+
+def expand(form: str, x: Any, delimiter: str | None, tail: str) -> str:
+    """A value in a text; with a delimiter it is an array, of which holes give nothing."""
+    if delimiter is None:
+        made = shown(form, x)
+    elif isinstance(x, tuple) or x == FALSE:
+        made = delimiter.join("" if e is None else shown(form, e) for e in x)
+    else:
+        raise EvalError(f"a delimiter needs an array, not {show(x)}")
+    return made + tail if made else made
