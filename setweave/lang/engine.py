@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import math
+import os
 import statistics
 from collections import ChainMap
 from collections.abc import Callable
@@ -19,16 +20,24 @@ from setweave.lang.parser import FOLDS, Node, parse
 from setweave.lang.stdlib import STD
 from setweave.operators import relation as R
 from setweave.operators.relation import Rel
+from setweave.sources import formats
 
 JOINS = {"<&>": "join", "<->": "compose", "-&-": "common", "---": "exists", "<&-": "left_match", "-&>": "right_match", "<--": "left_residue", "-->": "right_residue"}
 SETS = {"|": "union", "&": "intersect", "&~": "minus", "~~": "symmetric"}
+#: Extension of files with texts of the language.
+SCRIPT = ".sw"
 _NO = object()
 
 
 class Engine:
-    """``eval(text)`` gives a local value or a ``Rel``. Names bound to relations are columns and plans, never collected."""
+    """``eval(text)`` gives a local value or a ``Rel``. Names bound to relations are columns and plans, never collected.
 
-    def __init__(self, spark: SparkSession | None = None, **scope: Any):
+    ``folder`` is where imports start from; with ``safe``, texts reach neither files nor the environment.
+    """
+
+    def __init__(self, spark: SparkSession | None = None, folder: str = ".", safe: bool = False, **scope: Any):
+        self.root = self.folder = os.path.abspath(folder)
+        self.safe, self.imported = safe, {}
         self.spark, self.scope = spark, {k: V.value(v) for k, v in scope.items()}
         self.columns: dict[str, Callable[..., Column]] = {}
         self.scoped: list[dict[str, Any]] = []
@@ -63,9 +72,56 @@ class Engine:
         return env[n[0]]
 
     def _std(self, n: Node, env: ChainMap) -> Any:
-        if n[0] not in STD:
+        if n[0] == "eval.value":
+            return lambda text: Engine(safe=True).eval(text)
+        if n[0] == "eval.eval":
+            return lambda text: Engine(self.spark, self.folder, self.safe).eval(text)
+        known, rest = n[0], []
+        while known not in STD and "." in known:
+            known, _, last = known.rpartition(".")
+            rest.insert(0, last)
+        if known not in STD or self.safe and known.startswith("os."):
             raise V.EvalError(f"//{n[0]} not found")
-        return STD[n[0]]
+        found = STD[known]
+        for part in rest:
+            if not isinstance(found, V.Tup) or part not in found:
+                raise V.EvalError(f"//{n[0]} not found")
+            found = found[part]
+        return found
+
+    def _import(self, n: Node, env: ChainMap) -> Any:
+        """A file: tables of Parquet and ORC as relations, other known formats decoded, the rest as texts of the language."""
+        path, decoder = n.args
+        if self.safe or "://" in path:
+            raise V.EvalError(f"import of {path} isn't allowed")
+        full = os.path.normpath(self.root + path if path.startswith("/") else os.path.join(self.folder, path))
+        kind = os.path.splitext(full)[1][1:].lower()
+        if not decoder and kind in ("parquet", "orc"):
+            return Rel(formats.read(self.spark, full, kind))
+        if not os.path.exists(full) and os.path.exists(full + SCRIPT):
+            full, kind = full + SCRIPT, SCRIPT[1:]
+        if not os.path.isfile(full):
+            raise V.EvalError(f"no file {path}")
+        if decoder:
+            return V.value(self.run(decoder, env)["decode"](formats.read_file(full, bytes)))
+        if kind != SCRIPT[1:]:
+            return formats.read_file(full)
+        if full not in self.imported:
+            self.imported[full] = _NO
+            self.imported[full] = self.script(full)
+        if self.imported[full] is _NO:
+            raise V.EvalError(f"{path} imports itself")
+        return self.imported[full]
+
+    def script(self, path: str) -> Any:
+        """The value of a file's text; its imports start from its own folder."""
+        with open(path, encoding="utf-8") as f:
+            node = parse(f.read())
+        before, self.folder = self.folder, os.path.dirname(os.path.abspath(path))
+        try:
+            return self.run(node, ChainMap({}))
+        finally:
+            self.folder = before
 
     def _let(self, n: Node, env: ChainMap) -> Any:
         inner = env.new_child()

@@ -26,11 +26,14 @@ _TOKEN = re.compile(
     |(?P<str>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`[^`]*`)
     |(?P<char>%\\.|%(?=[^\s\d(.])[^\s](?![\w]))
     |(?P<id>[A-Za-z_@$][\w@$]*)
-    |(?P<op><&>|<->|-&-|---|<&-|-&>|<--|-->|!<:|<:|>>>|=>|>>|:>|->|\+>|\+\+|&&|\|\||&~|~~|-%|//\{|//|!=|!\(<=\)|\(<=\)|\(<\)|\(>=\)|\(>\)|\(<>\)|<=|>=|\{\||\?:|\.\.\.|[-+*/%^(){}\[\],;:.|&~<>=!\\?])
+    |(?P<op><&>|<->|-&-|---|<&-|-&>|<--|-->|!<:|<:|>>>|=>|>>|:>|->|\+>|\+\+|&&|\|\||&~|~~|-%|//|!=|!\(<=\)|\(<=\)|\(<\)|\(>=\)|\(>\)|\(<>\)|<=|>=|\{\||\?:|\.\.\.|[-+*/%^(){}\[\],;:.|&~<>=!\\?])
     """,
     re.X,
 )
 
+#: An import: a path in braces, after a decoder in brackets if the extension doesn't tell it.
+_IMPORT = re.compile(r"//(?:\[([^\]]+)\])?\{([^{}]+)\}")
+
 #: Binary operators by level, weakest first.
 LEVELS = [
     {"->", "where", "orderby", "order", "rank", "sum", "max", "min", "mean", "median", "nest", "unnest", "filter", "=>", ">>", ":>", ">>>"},
@@ -119,6 +122,10 @@ class Parser:
                 self.tokens.append(("template", made.parts))
                 at = made.at
                 continue
+            if m := _IMPORT.match(text, at):
+                self.tokens.append(("import", (m[2].strip(), m[1] and parse(m[1]))))
+                at = m.end()
+                continue
             m = _TOKEN.match(text, at)
             if not m or m.end() == at:
                 raise ParseError(f"cannot read {text[at : at + 20]!r}")
@@ -282,6 +289,9 @@ class Parser:
         if kind == "str":
             self.at += 1
             return Node("lit", (unescape(value[1:-1]) if value[0] != "`" else value[1:-1],))
+        if kind == "import":
+            self.at += 1
+            return Node("import", value)
         if kind == "template":
             self.at += 1
             return Node("template", (value,))
@@ -299,8 +309,6 @@ class Parser:
             while self.take("."):
                 path.append(self.name())
             return Node("std", (".".join(path),))
-        if self.take("//{"):
-            raise ParseError("imports are read with Engine.read")
         if self.take("."):
             if self.tokens[self.at][0] in ("id", "str") and self.tokens[self.at][1] not in WORDS or self.peek("|", "~"):
                 return self.attribute(Node("name", (".",)))

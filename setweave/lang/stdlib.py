@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import os
 import re
+import sys
 from collections.abc import Callable
 from typing import Any
 
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from setweave.functions import scalar as S
 from setweave.lang import values as V
+from setweave.sources import formats
 
 STD: dict[str, Any] = {"math.pi": math.pi, "math.e": math.e}
 
@@ -168,3 +171,47 @@ def fix(f: Callable) -> Callable:
 
 
 STD["fn.fix"] = fix
+
+
+def _bytes(x: Any) -> bytes:
+    return x if isinstance(x, bytes) else _text(x).encode() if isinstance(_text(x), str) else bytes(int(c) for c in x)
+
+
+def _codec(name: str, decode: Callable, encode: Callable | None = None, **more: Callable) -> None:
+    """Functions of a format as a tuple, so that it can also stand before an import."""
+    made = {"decode": lambda x: V.value(decode(_bytes(x))), **more}
+    STD[f"encoding.{name}"] = V.Tup(made | ({"encode": encode} if encode else {}))
+
+
+def _options(f: Callable, **names: str) -> Callable:
+    """``f`` with the options that a tuple of the language gives; ``names`` maps the language's names to those of ``f``."""
+
+    def of(config: Any) -> Any:
+        given = {names[k]: V.true(v) if k not in ("comma", "comment") else chr(int(v)) if isinstance(v, float) else _text(v) for k, v in dict(config or {}).items() if k in names}
+        return V.Tup({"decode": lambda x: V.value(f(_bytes(x), **given))})
+
+    return of
+
+
+_codec("bytes", bytes)
+_codec("csv", formats.decode_csv, formats.encode_csv, decoder=_options(formats.decode_csv, comma="comma", comment="comment", trimLeadingSpace="trim"))
+_codec("json", formats.decode_json, formats.encode_json, decoder=_options(formats.decode_json, strict="strict"), encode_indent=lambda x: formats.encode_json(x, "  "))
+_codec("yaml", formats.decode_yaml, formats.encode_yaml, decoder=_options(formats.decode_yaml, strict="strict"))
+_codec("xml", formats.decode_xml)
+_codec("xlsx", formats.decode_xlsx, decodeToRelation=lambda c: lambda x: V.value(formats.decode_xlsx(_bytes(x), int(c.get("sheet", 0)), int(c.get("headRow", 0)))))
+
+STD["os.args"] = tuple(sys.argv) or V.FALSE
+STD["os.path_separator"], STD["os.path_list_separator"] = os.sep, os.pathsep
+std("os.cwd")(lambda _: os.getcwd())
+std("os.exists")(lambda path: os.path.exists(path))
+std("os.file")(lambda path: formats.read_file(path, bytes))
+std("os.get_env")(lambda name: os.environ.get(name, ""))
+std("os.isatty")(lambda n: n in (0, 1) and os.isatty(int(n)))
+std("archive.zip.zip")(lambda d: formats.archive(d, "zip"))
+std("archive.tar.tar")(lambda d: formats.archive(d, "tar"))
+
+
+@std("log.print")
+def log(x: Any) -> Any:
+    print(x if isinstance(x, str) else V.show(x), file=sys.stderr)
+    return x

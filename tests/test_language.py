@@ -115,3 +115,38 @@ def test_templates_over_relations(spark):
     engine = Engine(spark)
     engine.bind("R", Rel.of(spark, "k string, x double", [("a", 1.0), ("b", 2.5), ("b", 2.5)]))
     assert rows(engine.eval("R => (t: $'${.k}=${.x}', u: $'${.x * 2:03d}')")) == [("a=1", "002"), ("b=2.5", "005")]
+
+
+def test_imports_and_formats(spark, tmp_path):
+    (tmp_path / "lib").mkdir()
+    (tmp_path / "a.csv").write_text("k,n\nx,1\n")
+    (tmp_path / "lib" / "twice.sw").write_text("let d = //{./two.json}; \\x x * d('n')")
+    (tmp_path / "lib" / "two.json").write_text('{"n": 2}')
+    (tmp_path / "loop.sw").write_text("//{./loop} + 1")
+    (tmp_path / "raw.txt").write_text("[1]")
+    spark.range(3).selectExpr("cast(id as double) AS id").write.parquet(str(tmp_path / "t.parquet"))
+    engine = Engine(spark, folder=str(tmp_path))
+    assert engine.eval("//{./a.csv}") == (("k", "n"), ("x", "1"))
+    assert engine.eval("//{/lib/twice}(21)") == 42.0
+    assert engine.eval("//{./t.parquet} sum .id") == 3.0
+    assert engine.eval("//[//encoding.json]{./raw.txt}") == engine.eval("(a: [1])")
+    assert engine.eval("//encoding.json.decode('[1]')") == engine.eval("(a: [1])")
+    assert engine.eval("//encoding.csv.decoder((comma: ';')).decode('a;b')") == (("a", "b"),)
+    assert engine.eval("//eval.value('1 + 2')") == 3.0
+    for text in ("//{./loop}", "//{./nothing}", "//{https://example.org/x.json}", "//encoding.json.other"):
+        with pytest.raises(EvalError):
+            engine.eval(text)
+    with pytest.raises(EvalError):
+        Engine(safe=True).eval("//os.file('/etc/hosts')")
+
+
+def test_command_line(tmp_path, capsys):
+    from setweave.__main__ import main
+
+    main(["eval", "{3, 1} | {2}"])
+    main(["eval", "'plain'"])
+    (tmp_path / "q.sw").write_text("let f = \\x x + 1; f(1)")
+    main(["run", str(tmp_path / "q.sw")])
+    main(["eval", "{'a': {'b.txt': 'text'}}", f"--out=dir:{tmp_path}/tree"])
+    assert capsys.readouterr().out == "{1, 2, 3}\nplain\n2\n"
+    assert (tmp_path / "tree" / "a" / "b.txt").read_text() == "text"
