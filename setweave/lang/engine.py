@@ -446,8 +446,10 @@ class Engine:
         return self.column(node, x, env)[0]
 
     def _filter(self, n: Node, env: ChainMap) -> Any:
-        out = []
-        for e in V.elements(self.run(n[0], env)):
+        x, out = self.run(n[0], env), []
+        if isinstance(x, Rel):
+            return self.filtered(x, n[1], env)
+        for e in V.elements(x):
             for pattern, value in n[1]:
                 inner = env.new_child()
                 if self.match(pattern, e, inner):
@@ -519,6 +521,52 @@ class Engine:
         raise V.EvalError(f"{op} of a relation")
 
 
+    def filtered(self, x: Rel, cases: tuple, env: ChainMap) -> Rel:
+        """Rows that fit any pattern, mapped by the first that they fit: one filter and one projection."""
+        tests, values = [], []
+        for pattern, value in cases:
+            inner = env.new_child()
+            tests.append(self.fits(pattern, Node("name", (".",)), x, inner))
+            values.append((value, inner))
+        kept = x.where(functools.reduce(lambda a, b: a | b, tests, F.lit(False)))
+        shapes = {tuple(sorted(k for k, _ in v[0])) if v.kind == "tuple" else None for v, _ in values}
+        if len(shapes) > 1:
+            raise V.EvalError("the cases give tuples of different attributes")
+        shape = next(iter(shapes), None)
+        parts = {"value": None} if shape is None else {k: k for k in shape}
+        made = {}
+        for name, k in parts.items():
+            columns = [self._column(v if k is None else dict(v[0])[k], x, inner) for v, inner in values]
+            made[name] = functools.reduce(lambda w, tc: w.when(*tc), zip(tests[1:], columns[1:], strict=True), F.when(tests[0], columns[0]))
+        return kept.map(**made)
+
+    def fits(self, p: Node, at: Node, x: Rel, env: ChainMap) -> Column:
+        """Whether a pattern fits what ``at`` says of a row, as a column; binds the pattern's names to expressions."""
+        if p.kind == "name":
+            if p[0] == "_":
+                return F.lit(True)
+            known = env.maps[0].get(p[0])
+            env.maps[0].setdefault(p[0], at)
+            return F.lit(True) if known is None else self._column(known, x, env).eqNullSafe(self._column(at, x, env))
+        if p.kind == "tuple":
+            kind = None if at == Node("name", (".",)) else self.column(at, x, env)[1]
+            names = x.names if kind is None else kind.names if isinstance(kind, T.StructType) else None
+            named = {k: v for k, v in p[0] if k is not None}
+            if names is None or set(named) - set(names) and any(v.kind != "optional" for k, v in named.items() if k not in names):
+                return F.lit(False)
+            if set(names) - set(named) and len(named) == len(p[0]):
+                return F.lit(False)
+            if any(k is None and v[0] != "_" for k, v in p[0]):
+                raise V.EvalError("a named rest cannot be a column")
+            made = F.lit(True)
+            for k, v in named.items():
+                where = Node("get", (at, k, None)) if k in names else v[1]
+                made = made & self.fits(v[0] if v.kind == "optional" else v, where, x, env)
+            return made
+        if p.kind in ("array", "set", "dict"):
+            raise V.EvalError(f"a pattern of a {p.kind} cannot be a column")
+        return self._column(at, x, env).eqNullSafe(self._column(p, x, env))
+
     def fused(self, nest: Node, body: Node, env: ChainMap) -> Rel | None:
         """``nest ~|k|g => (k: .k, s: .g sum .x)`` as one grouped aggregation, without collecting groups."""
         x = self.run(nest[0], env)
@@ -577,6 +625,12 @@ class Engine:
         if n.kind == "cond":
             cases = [(F.lit(True) if t == Node("name", ("_",)) else S.truthy(*self.column(t, x, env)), sub(v)) for t, v in n[0]]
             return S.cond(*cases, otherwise=None if n[1] is None else sub(n[1]))
+        if n.kind == "match":
+            cases = []
+            for pattern, value in n[1]:
+                inner = env.new_child()
+                cases.append((self.fits(pattern, n[0], x, inner), self._column(value, x, inner)))
+            return S.cond(*cases, otherwise=None)
         if n.kind == "template":
             return F.concat(*[F.lit(m) if isinstance(m, str) else self._expanded(m, x, env) for m in n[0]], F.lit(""))
         if n.kind in ("tuple", "array"):

@@ -150,3 +150,16 @@ def test_command_line(tmp_path, capsys):
     main(["eval", "{'a': {'b.txt': 'text'}}", f"--out=dir:{tmp_path}/tree"])
     assert capsys.readouterr().out == "{1, 2, 3}\nplain\n2\n"
     assert (tmp_path / "tree" / "a" / "b.txt").read_text() == "text"
+
+
+def test_patterns_over_relations(spark):
+    data = [("a", 1.0), ("a", 2.0), ("b", 5.0), ("c", 7.0)]
+    engine = Engine(spark)
+    engine.bind("R", Rel.of(spark, "k string, x double", data))
+    local = "{|k,x| ('a',1),('a',2),('b',5),('c',7)}"
+    text = " filter . {(k: 'a', x: n): (kind: 'first', n: n), (k: 'b', ...): (kind: 'second', n: 0)}"
+    want = Engine().eval(local + text)
+    assert rows(engine.eval("R" + text)) == sorted((t["kind"], t["n"]) for t in want) == [("first", 1.0), ("first", 2.0), ("second", 0.0)]
+    text = " => (y: cond .x {1: 'one', 2: 'two', n: $'${n}'})"
+    assert rows(engine.eval("R" + text)) == sorted((t["y"],) for t in Engine().eval(local + text))
+    assert rows(engine.eval("R filter . {(x: 5, y?: z:3, ...): z}")) == [(3.0,)]
