@@ -308,3 +308,31 @@ def language_text(spark, sf):
     engine = Engine(spark)
     engine.bind("orders", rel(spark, sf, "orders"))
     return engine.eval(TEXT).df.select("k", F.round("s", 2).alias("s"))
+
+
+def _texts(spark, sf: str, *names: str):
+    from setweave.lang.engine import Engine
+
+    engine = Engine(spark)
+    for name in names:
+        engine.bind(name, rel(spark, sf, name))
+    return engine
+
+
+@query("SELECT c_custkey AS k, c_name || ': ' || printf('%.2f', c_acctbal) || ' of ' || printf('%03d', c_nationkey) AS t FROM customer")
+def language_templates(spark, sf):
+    return _texts(spark, sf, "customer").eval("customer => (k: .c_custkey, t: $'${.c_name}: ${.c_acctbal:.2f} of ${.c_nationkey:03d}')").df
+
+
+@query(
+    "SELECT DISTINCT o_custkey AS k, CASE o_orderstatus WHEN 'F' THEN 'done' ELSE 'open' END AS state, CASE o_orderstatus WHEN 'F' THEN o_totalprice ELSE 0 END AS p "
+    "FROM orders WHERE o_orderstatus IN ('F', 'O')"
+)
+def language_filter(spark, sf):
+    cases = "{(o_orderstatus: 'F', o_custkey: c, o_totalprice: t, ...): (k: c, state: 'done', p: t), (o_orderstatus: 'O', o_custkey: c, ...): (k: c, state: 'open', p: 0)}"
+    return _texts(spark, sf, "orders").eval(f"orders filter . {cases}").df
+
+
+@query("SELECT DISTINCT c_nationkey AS n, CASE c_mktsegment WHEN 'BUILDING' THEN 'b' WHEN 'HOUSEHOLD' THEN 'h' ELSE c_mktsegment || '!' END AS s FROM customer")
+def language_match(spark, sf):
+    return _texts(spark, sf, "customer").eval("customer => (n: .c_nationkey, s: cond .c_mktsegment {'BUILDING': 'b', 'HOUSEHOLD': 'h', other: $'${other}!'})").df
