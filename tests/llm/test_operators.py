@@ -211,3 +211,54 @@ def test_empty_tables(spark, docs, labelled):
 
 def test_pipeline_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "toxicity", "near_dedup", "mixing", "byte_bpe"]
+
+
+def test_pipeline(spark):
+    """Each stage on what its predecessor kept, against a plainer version; then the rows of run()."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, steps = docs.columns, [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        path = f"{shared_dir(spark)}/pipeline-test/{name}"
+        stage(spark, steps[-1], sf).write.mode("overwrite").parquet(path)
+        steps.append(spark.read.parquet(path))
+    assert [s.columns for s in steps[:-1]] == [columns] * 5
+    first, good, civil, alone, mixed, ids = ([tuple(r) for r in s.select("doc_id", *(["text", "source"] if s is not steps[-1] else ["n_tokens", "ids_sha256"])).collect()] for s in steps)
+
+    def split(text):
+        return (text or "").encode().split()
+
+    def keeps(text):
+        w, grams, seen = split(text), Counter(), set()
+        for k in range(len(w) - 7):
+            grams[tuple(w[k : k + 8])] += 1
+        for k in range(len(w) - 7):
+            seen |= set(range(k, k + 8)) if grams[tuple(w[k : k + 8])] > 1 else set()
+        deep = Counter(tuple(w[k : k + 101]) for k in range(len(w) - 100))
+        return len(w) >= 20 and 100 * len(seen) <= 30 * len(w) and max(deep.values(), default=1) == 1
+
+    assert sorted(good) == sorted(r for r in first if keeps(r[1]))
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    scores = {r.doc_id: r.score for r in toxicity.score(steps[1], toxicity.fit(steps[1], toxicity.learnable(steps[1], labels))).collect()}
+    assert sorted(civil) == sorted(r for r in good if scores[r[0]] < 0.3)
+
+    sets = {}
+    for i, t, _ in civil:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    least = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if b < a and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in links:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    assert sorted(alone) == sorted(r for r in civil if least[r[0]] == r[0]) and links
+
+    times, goal = Counter(r[0] for r in mixed), {r.doc_id: r.target / r.source_size for r in mixing.copies(steps[3]).collect()}
+    assert all(int(goal[i]) <= times[i] <= int(goal[i]) + 1 for i in goal) and set(times) <= set(goal)
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(bpe.RANKS), "rb"))}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    made = [(i, own.encode_ordinary(t or "")) for i, t, _ in mixed]
+    want = sorted((i, len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest()) for i, x in made)
+    assert sorted(ids) == want
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf).select("doc_id", "n_tokens", "ids_sha256").collect()) == want
