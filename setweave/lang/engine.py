@@ -363,7 +363,7 @@ class Engine:
             return self.run(n[2], env) if V.true(a) else a
         if op == "||":
             return a if V.true(a) else self.run(n[2], env)
-        b = self.run(n[2], env)
+        b = self.run(n[2], env.new_child({"": a}) if op == "+>" else env)
         if isinstance(a, Rel) or isinstance(b, Rel):
             if op in ("with", "without"):
                 return getattr(a, op + "_row")(*[b[k] for k in a.names])
@@ -511,7 +511,8 @@ class Engine:
             if body.kind == "tuple":
                 return x.map(**{k: self.column(v, x, env)[0] for k, v in body[0]})
             if body.kind == "bin" and body[0] == "+>" and body[1] == Node("name", (".",)) and body[2].kind == "tuple":
-                return x.merge(**{k: self.column(v, x, env)[0] for k, v in body[2][0]})
+                inner = env.new_child({"": body[1]})
+                return x.merge(**{k: self.column(v, x, inner)[0] for k, v in body[2][0]})
             return x.map(value=self.column(body, x, env)[0])
         if op == "orderby":
             return x.order_by(self.key(body, x, env))
@@ -609,7 +610,7 @@ class Engine:
                 return F.lit(n[0])
             return F.lit("" if v == V.FALSE else list(v) if isinstance(v, tuple | frozenset) else v)
         if n.kind == "get":
-            if n[0] == Node("name", (".",)) or n[0].kind == "name" and isinstance(env.get(n[0][0]), Node):
+            if Node("name", (".",)) in (n[0], n[0].kind == "name" and env.get(n[0][0])):
                 if n[1] not in x.names and n[2] is not None:
                     return sub(n[2])
                 x._need([n[1]])
@@ -698,6 +699,10 @@ class Engine:
 
     def _operated(self, n: Node, x: Rel, env: ChainMap) -> Column:
         op = n[0]
+        if op == "+>" and n[2].kind == "tuple":
+            own = Node("get", (env[""], *n[1].args[1:])) if n[1].kind == "get" and n[1][0] == Node("name", ("",)) else n[1]
+            inner = env.new_child({"": own})
+            return functools.reduce(lambda c, kv: c.withField(kv[0], self._column(kv[1], x, inner)), n[2][0], self._column(n[1], x, env))
         a, kind = self.column(n[1], x, env)
         if op in ("&&", "||"):
             b, other = self.column(n[2], x, env)

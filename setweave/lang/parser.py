@@ -346,7 +346,8 @@ class Parser:
     def tuple_or_group(self) -> Node:
         if self.take(")"):
             return Node("tuple", ((),))
-        if self.peek(":", "?:", "...") or self.tokens[self.at][0] in ("id", "str") and self.tokens[self.at + 1][1] in (":", "?:"):
+        named = self.tokens[self.at][0] in ("id", "str")
+        if self.peek(":", "?:", "...") or named and (self.tokens[self.at + 1][1] in (":", "?:") or self.merges(1)):
             fields = []
             while not self.take(")"):
                 if self.take("..."):
@@ -360,7 +361,12 @@ class Parser:
                     fields.append((inner.args[1] if inner.kind == "get" else inner.args[0], inner))
                 else:
                     name = self.name()
-                    if self.take("?:"):
+                    if self.merges(0):
+                        op = self.tokens[self.at][1]
+                        self.at += 2
+                        # The empty name is what stands before the merge around the tuple.
+                        fields.append((name, Node("bin", (op, Node("get", (Node("name", ("",)), name, None)), self.expr()))))
+                    elif self.take("?:"):
                         inner = self.pattern()
                         self.need(":")
                         fields.append((name, Node("optional", (inner, self.expr()))))
@@ -373,6 +379,11 @@ class Parser:
         self.need(")")
         return inner
 
+    def merges(self, ahead: int) -> bool:
+        """Whether an operator with a colon follows, as in ``a +> (b+>: (c: 1))``."""
+        (_, op), (_, colon) = (self.tokens + [("end", "")] * 2)[self.at + ahead : self.at + ahead + 2]
+        return op in ("+>", "|", "++") and colon == ":"
+
     def set_or_dict(self) -> Node:
         if self.take("}"):
             return Node("set", ((),))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -17,6 +18,14 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def _fields(ddl: str) -> list[str]:
+    """Names of the fields of a DDL string, or of plain names; types may be nested."""
+    flat, before = ddl, ""
+    while flat != before:
+        before, flat = flat, re.sub(r"[<(][^<>()]*[>)]", "", flat)
+    return [x.strip().split(" ")[0] for x in flat.split(",")]
+
+
 class Rel:
     """A relation. ``unique`` says that the rows are known to differ, so that no distinct is needed to make them a set.
 
@@ -30,7 +39,7 @@ class Rel:
     @classmethod
     def of(cls, spark: SparkSession, heading: str | Sequence[str], rows: Sequence[tuple]) -> Rel:
         """A relation literal; every row must have as many values as the heading has names (or DDL fields)."""
-        names = [x.strip().split(" ")[0] for x in heading.split(",")] if isinstance(heading, str) else list(heading)
+        names = _fields(heading) if isinstance(heading, str) else list(heading)
         if any(len(r) != len(names) for r in rows):
             raise RelationError(f"every row needs {len(names)} values")
         return cls(spark.createDataFrame(list(rows), heading if isinstance(heading, str) else names))
