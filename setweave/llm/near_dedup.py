@@ -236,14 +236,16 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _near_in_block(t: pa.Table, least: float, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the pairs of a block (``id``, ``p``, ``b``, ``component``, ``minima``) whose signatures agree.
+def _near_in_block(t: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs of a block (``id``, ``p``, ``b``, ``component``, ``bands``, ``minima``) whose signatures agree.
 
-    A pair counts in one bucket only: that of the first band in which all minima of both are the same. Whether it
-    counts depends on its two rows alone.
+    A pair counts in one bucket only: that of the first band whose hash, the one buckets are made of, is the same in
+    both. The low bytes in ``minima`` may agree in a band in whose bucket the two never meet. Whether a pair counts
+    depends on its two rows alone.
     """
     comp, p = t.column("component").to_numpy(), t.column("p").to_numpy()
     sig = np.frombuffer(b"".join(t.column("minima").to_pylist()), dtype=np.uint8).reshape(len(comp), -1)
+    hashes = np.concatenate([c.flatten().to_numpy() for c in t.column("bands").chunks]).reshape(len(comp), -1)
     band = t.column("b")[0].as_py()
     same = t.column("i")[0] == t.column("j")[0]
     left = np.arange(len(comp)) if same else np.flatnonzero(p == p.min())
@@ -251,19 +253,18 @@ def _near_in_block(t: pa.Table, least: float, rows: int) -> tuple[np.ndarray, np
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for a in left:
         b = right[(comp[right] != comp[a]) & ((right > a) if same else True)]
-        equal = sig[b] == sig[a]
-        near = equal.mean(axis=1) >= least
-        b, whole = b[near], equal[near].reshape(int(near.sum()), sig.shape[1] // rows, rows).all(axis=2)
+        b = b[(sig[b] == sig[a]).mean(axis=1) >= least]
+        whole = hashes[b] == hashes[a]
         b = b[(whole.argmax(axis=1) == band) | ~whole[:, band]]
         found.append((np.full(len(b), a), b))
     a, b = (np.concatenate([x[k] for x in found] or [np.zeros(0, int)]).astype(int) for k in (0, 1))
     return a, b
 
 
-def _block_links(members: DataFrame, texts: DataFrame, least: float, block: int, rows: int, width: int, similar: int) -> DataFrame:
+def _block_links(members: DataFrame, texts: DataFrame, least: float, block: int, width: int, similar: int) -> DataFrame:
     """Links ``u``, ``v`` between members of one bucket but different components, found block against block.
 
-    ``members``: ``bucket``, ``b`` (its band), ``id``, ``h``, ``component``, ``minima``. A bucket's members are dealt over ceil(size / block)
+    ``members``: ``bucket``, ``b`` (its band), ``id``, ``h``, ``component``, ``bands``, ``minima``. A bucket's members are dealt over ceil(size / block)
     parts; each pair of parts meets as matrices. A block first gives the rows that agree with some other row in it, not
     the pairs: of these there may be as many as the square of its rows. Such rows then meet again with their texts, each
     once in a block (2 * block texts at most), and what agrees is confirmed there on full sets. Only links leave.
@@ -271,14 +272,14 @@ def _block_links(members: DataFrame, texts: DataFrame, least: float, block: int,
     sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     dealt = members.join(sizes, "bucket").withColumn("p", F.pmod(F.xxhash64("id", "h"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")
-    meet = dealt.select("*", other).select("bucket", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "p", "b", "id", "h", "component", "minima")
+    meet = dealt.select("*", other).select("bucket", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "p", "b", "id", "h", "component", "bands", "minima")
 
     def flag(t: pa.Table) -> pa.Table:
-        return t.take(pa.array(np.unique(np.concatenate(_near_in_block(t, least, rows)))))
+        return t.take(pa.array(np.unique(np.concatenate(_near_in_block(t, least)))))
 
     def confirm(t: pa.Table) -> pa.Table:
         sets, ids, text = Sets(width, 8 * KEPT), t.column("id").to_pylist(), t.column("text").to_pylist()
-        near = zip(*(x.tolist() for x in _near_in_block(t, least, rows)), strict=True)
+        near = zip(*(x.tolist() for x in _near_in_block(t, least)), strict=True)
         good = [(max(ids[a], ids[b]), min(ids[a], ids[b])) for a, b in near if ids[a] != ids[b] and sets.similar(text[a], text[b], similar)]
         return pa.table({"u": pa.array([u for u, _ in good], pa.int64()), "v": pa.array([v for _, v in good], pa.int64())})
 
@@ -363,7 +364,7 @@ def near_duplicates(
         if open_rows.isEmpty():
             break
     if not open_rows.isEmpty():
-        more = _block_links(open_rows.join(sig, ["id", "h"]), texts, SIGNATURE, BLOCK, rows, width, similar)
+        more = _block_links(open_rows.join(one.select("id", "h", "bands", "minima"), ["id", "h"]), texts, SIGNATURE, BLOCK, width, similar)
         if not more.isEmpty():
             found = components(links.unionAll(more))
         drop(more)

@@ -127,6 +127,22 @@ def test_near_dedup_in_blocks(spark, monkeypatch):
     assert {r.id: r.component for r in got} == dict(enumerate(least)) and 12 < len(set(least)) < 130
 
 
+def test_near_dedup_low_bytes(spark, monkeypatch):
+    """Links that share a band, and before it one that is the same in the low bytes of its minima only."""
+    offers = near_dedup._offers
+    monkeypatch.setattr(near_dedup, "_offers", lambda rows, turn: offers(rows, turn).limit(0))
+    rng, rows, shingle, minima = random.Random(4), [], near_dedup.Shingler(4), near_dedup.Minima(near_dedup.BANDS, near_dedup.ROWS)
+    while len(rows) < 8:
+        w = [f"v{rng.randrange(10**9)}" for _ in range(60)]
+        pair = [" ".join(w), " ".join([*w[:30], "new", *w[31:]])]
+        a, b = (minima(s) for s in shingle(pair))
+        whole, low = ((x == y).reshape(near_dedup.BANDS, -1).all(axis=1) for x, y in ((a, b), (a & np.uint64(255), b & np.uint64(255))))
+        if whole.any() and whole.argmax() != low.argmax():
+            rows += [(len(rows), pair[0]), (len(rows) + 1, pair[1])]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert {r.id: r.component for r in got} == {i: i - i % 2 for i in range(len(rows))}
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(max(a, b), min(a, b)) for a, b in ((rng.randrange(90), rng.randrange(90)) for _ in range(70)) if a != b] + [(i + 1, i) for i in range(100, 140)]
