@@ -6,6 +6,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -76,9 +77,8 @@ def language_model(df: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log((three + 10 * p2[None]) / (three.sum(axis=2, keepdims=True) + 10)).astype(np.float32)
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
+def lattice(token: str) -> Iterator[list[tuple[str, float]]]:
     """What each stretch of an observed token may stand for, with log probabilities of the channel."""
-    out: list[list[tuple[str, float]]] = []
     i, low = 0, token.lower()
     while i < len(low):
         c, j = low[i], i + 1
@@ -89,26 +89,29 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             own = [(c, math.log(0.4 if n > 1 else 0.99))]
             if n > 1:
                 own.append((c * 2, math.log(0.6 if n == 2 else 0.5)))
-            out.append(own)
+            yield own
         elif c in LEET:
             options = [(x, math.log(0.6 / len(LEET[c]))) for x in LEET[c]]
             options += [(x * 2, math.log(0.3 / len(LEET[c]))) for x in LEET[c]] if n > 1 else []
             mark = i == 0 or j == len(low)
-            out.append(options if c.isdigit() else [*options, (" ", math.log(0.3 if mark else 0.01))])
+            yield options if c.isdigit() else [*options, (" ", math.log(0.3 if mark else 0.01))]
         elif c in GAPS:
-            out.append([("", math.log(0.6)), (" ", math.log(0.4))])
+            yield [("", math.log(0.6)), (" ", math.log(0.4))]
         else:
-            out.append([(" ", 0.0)])
+            yield [(" ", 0.0)]
         i = j
-    return out
 
 
 def decode(token: str, model: list[float]) -> str:
-    """The likeliest letters behind a token: Viterbi with the last two letters as state, a boundary on either side."""
-    states: dict[int, tuple[float, str]] = {0: (0.0, "")}
-    for options in [*lattice(token), [(" ", 0.0)]]:
-        new: dict[int, tuple[float, str]] = {}
-        for state, (score, text) in states.items():
+    """The likeliest letters behind a token: Viterbi with the last two letters as state, a boundary on either side.
+
+    Each state keeps what was emitted last and what came before it as a chain, so time and memory are linear in the
+    token, whatever its length. Likely paths soon meet, and what no state leads back to is freed.
+    """
+    states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+    for options in chain(lattice(token), [[(" ", 0.0)]]):
+        new: dict[int, tuple[float, tuple | None]] = {}
+        for state, (score, before) in states.items():
             for emitted, channel in options:
                 at, total = state, score + channel
                 for c in emitted:
@@ -117,9 +120,18 @@ def decode(token: str, model: list[float]) -> str:
                     at = at % SIZE * SIZE + z
                 old = new.get(at)
                 if old is None or total > old[0]:
-                    new[at] = (total, text + emitted)
+                    new[at] = (total, (before, emitted) if emitted else before)
         states = new
-    return max(states.values())[1].strip()
+    best = max(score for score, _ in states.values())
+    return max(_spelled(last) for score, last in states.values() if score == best).strip()
+
+
+def _spelled(last: tuple | None) -> str:
+    out = []
+    while last is not None:
+        last, emitted = last
+        out.append(emitted)
+    return "".join(reversed(out))
 
 
 def evidence_of(word: str) -> list[str]:
@@ -137,10 +149,10 @@ class Restorer:
     def token(self, token: str) -> list[str]:
         low = token.lower()
         if low.isalpha():
-            return [*_WORD.findall(low), *decode(low, self.model).split()] if _HIDDEN.search(low) and len(low) <= 64 else [low]
+            return [*_WORD.findall(low), *decode(low, self.model).split()] if _HIDDEN.search(low) else [low]
         words = _WORD.findall(low)
         core = _TAIL.sub("", low)
-        if words and len(core) <= 64 and _HIDDEN.search(core):
+        if words and _HIDDEN.search(core):
             words += decode(core, self.model).split()
         return words
 
@@ -148,7 +160,7 @@ class Restorer:
         """Words written letter by letter, with spaces."""
         if not _SINGLES.search(text):
             return []
-        return [w for m in _SPACED.finditer(text) if len(m[0]) <= 200 for w in decode(m[0], self.model).split() if len(w) > 2]
+        return [w for m in _SPACED.finditer(text) for w in decode(m[0], self.model).split() if len(w) > 2]
 
     def words(self, text: str) -> set[str]:
         return {w for t in set(text.split()) for w in self.token(t)} | set(self.spaced(text))

@@ -216,6 +216,21 @@ def test_decode():
     assert toxicity.decode("tr4sh", model.tolist()) == "trash" and toxicity.decode("1d10t", model.tolist()).endswith("t")
 
 
+@pytest.fixture(scope="module")
+def restorer(spark):
+    plain = ["you are such an idiot and a fool said the man who had no other word for them today", "the ass is an animal"]
+    return toxicity.Restorer(toxicity.language_model(spark.createDataFrame([(t,) for t in plain * 50], "text string")))
+
+
+def test_long_obfuscation(restorer):
+    words = "you are such an idiot and a fool said the man who had no other word for them today".split() * 3
+    spelled = "  ".join(" ".join(w) for w in words)
+    assert len(spelled) > 400 and {"idiot", "fool"} <= restorer.words(f"x y {spelled} .")
+    joined = ".".join(w.replace("i", "1").replace("o", "0") for w in words)
+    assert len(joined) > 200 and {"idiot", "fool"} <= restorer.words(joined)
+    assert len(toxicity.decode("x1" * 50_000, restorer.model)) >= 100_000
+
+
 def test_empty_tables(spark, docs, labelled):
     empty, labels = docs.limit(0), labelled[1].limit(0)
     assert bpe.encode(empty).count() == token_counts.count(empty).count() == quality_rules.rules(empty).count() == mixing.copies(empty).count() == 0
