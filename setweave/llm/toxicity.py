@@ -39,7 +39,10 @@ _TABLE = np.zeros(0x180, dtype=np.int64)
 for _c, _i in CODE.items():
     _TABLE[ord(_c)] = _i
 _SPACED = re.compile(rf"(?<![^\W_])(?:[^\s][{re.escape(GAPS)}]{{1,2}}){{2,}}[^\s](?![^\W_])")
-_SINGLES = re.compile(r" [^\s] [^\s] ")
+#: Wherever _SPACED matches, this does, near the end of the match; it only is faster.
+_SINGLES = re.compile(rf"[{re.escape(GAPS)}][^\s][{re.escape(GAPS)}]{{1,2}}[^\s](?![^\W_])")
+#: A token without letters that may be a word: two or more that stand for letters, with gaps, between other marks.
+_LEET_ONLY = re.compile(rf"[^\w{re.escape(''.join(LEET) + GAPS)}]*((?:[{re.escape(''.join(LEET))}][{re.escape(GAPS)}]*){{2,}})[^\w{re.escape(''.join(LEET))}]*")
 _HIDDEN = re.compile(rf"(.)\1\1|(?:[^\s][{re.escape(GAPS)}]){{2}}|[{re.escape(''.join(LEET))}]")
 _TAIL = re.compile(r"[!|(]+$|([*#%&$])\1\1+$")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -154,6 +157,10 @@ class Restorer:
         core = _TAIL.sub("", low)
         if words and _HIDDEN.search(core):
             words += decode(core, self.model).split()
+        elif not words and (m := _LEET_ONLY.fullmatch(low)):
+            # What _TAIL takes for marks may be letters here.
+            for x in {m[1], _TAIL.sub("", m[1])}:
+                words += decode(x, self.model).split()
         return words
 
     def spaced(self, text: str) -> list[str]:

@@ -231,6 +231,18 @@ def test_long_obfuscation(restorer):
     assert len(toxicity.decode("x1" * 50_000, restorer.model)) >= 100_000
 
 
+def test_obfuscation_with_other_gaps(restorer):
+    for text in ("he is an i d i o t now", "he is an i\td\ti\to\tt now", "he is an i. d. i. o. t.", "i  d  i  o  t", "i d i o t", "i-d i-o t"):
+        assert "idiot" in restorer.words(text), text
+    for text in ("an @$$ it is", "an 455, it is", "(455)", "an '@$$!!' it is", "4-5-5", "@$$$"):
+        assert {"ass", "asss"} & restorer.words(text), text
+    assert not restorer.words("2026 - 27, 1,000 $5 ... --- !!!") & {"ass"}
+    rng = random.Random(6)
+    for _ in range(20_000):
+        text = "".join(rng.choice("ab1. .-_\t \n~") for _ in range(12))
+        assert toxicity._SINGLES.search(text) or not toxicity._SPACED.search(text), text
+
+
 def test_empty_tables(spark, docs, labelled):
     empty, labels = docs.limit(0), labelled[1].limit(0)
     assert bpe.encode(empty).count() == token_counts.count(empty).count() == quality_rules.rules(empty).count() == mixing.copies(empty).count() == 0
