@@ -10,10 +10,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from setweave.llm import near_dedup
 from setweave.llm.common import cut, drop, filter_texts, fold, map_texts, steps, table, texts_of
 
 THRESHOLD = 0.3
@@ -42,7 +42,7 @@ _SPACED = re.compile(rf"(?<![^\W_])(?:[^\s][{re.escape(GAPS)}]{{1,2}}){{2,}}[^\s
 #: Wherever _SPACED matches, this does, near the end of the match; it only is faster.
 _SINGLES = re.compile(rf"[{re.escape(GAPS)}][^\s][{re.escape(GAPS)}]{{1,2}}[^\s](?![^\W_])")
 #: A token without letters that may be a word: two or more that stand for letters, with gaps, between other marks.
-_LEET_ONLY = re.compile(rf"[^\w{re.escape(''.join(LEET) + GAPS)}]*((?:[{re.escape(''.join(LEET))}][{re.escape(GAPS)}]*){{2,}})[^\w{re.escape(''.join(LEET))}]*")
+_LEET_ONLY = re.compile(rf"(?:[^\w{re.escape(''.join(LEET))}]|_)*+((?:[{re.escape(''.join(LEET))}][{re.escape(GAPS)}]*+){{2,}}+)[\W_]*")
 _HIDDEN = re.compile(rf"(.)\1\1|(?:[^\s][{re.escape(GAPS)}]){{2}}|[{re.escape(''.join(LEET))}]")
 _TAIL = re.compile(r"[!|(]+$|([*#%&$])\1\1+$")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -228,8 +228,8 @@ def regress(texts: list[list[int]], toxic: np.ndarray, width: int, rounds: int =
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """The character model over all of ``df``, and words learned from its rows labelled in ``labels`` (``doc_id``, ``toxic``).
 
-    At most ``sample`` labels, chosen by a hash of the id, are used. Near copies among their texts, by a sketch of three
-    minima of their restored words, count once, so that a copied text's words are no evidence by themselves. Keys are counted
+    At most ``sample`` labels, chosen by a hash of the id, are used. Near copies among their texts with one label (components of
+    near-dedup: five-word shingles, similarity 0.8 or more; texts without words are one) count once, so that a copied text's words are no evidence by themselves. Keys are counted
     on the executors; those with a share of LEAST_SHARE toxic texts, more than chance brings about among so many
     keys (likelihood ratio), come to the driver, EVIDENCE of them at most, and a logistic regression on the sampled texts weighs them. Null labels count as none; one 1 among repeated labels suffices.
     """
@@ -237,24 +237,19 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = known.orderBy(F.xxhash64(F.lit("toxicity sample"), "doc_id"), "doc_id").limit(sample)
     texts = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")).join(F.broadcast(some), "doc_id")
+    texts = cut(texts.withColumn("doc_id", F.xxhash64("doc_id")))
 
     def kernel():
         restorer = Restorer(letters)
 
         def work(texts: list[str]) -> dict:
-            keys, sketches = [], []
-            for t in texts:
-                words = restorer.words(t)
-                keys.append(sorted({k for w in words for k in evidence_of(w)}))
-                low = sorted(xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) >> 1 for w in words)[:3]
-                sketches.append(" ".join(map(str, low)))
-            return {"keys": keys, "sketch": sketches}
+            return {"keys": [sorted({k for w in restorer.words(t) for k in evidence_of(w)}) for t in texts]}
 
         return work
 
-    made = cut(map_texts(texts, kernel, "keys array<string>, sketch string", ["toxic"]))
-    once = made.groupBy("sketch", "toxic").agg(F.min("keys").alias("keys"))
-    once = cut(once)
+    made = cut(map_texts(texts, kernel, "keys array<string>", ["doc_id", "toxic"]))
+    near = near_dedup.near_duplicates(texts).groupBy("id").agg(F.min(F.when(F.col("n_shingles") > 0, F.col("component"))).alias("copy"))
+    once = cut(made.join(near.withColumnRenamed("id", "doc_id"), "doc_id").groupBy("copy", "toxic").agg(F.min("keys").alias("keys")))
     totals = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = totals.get(1, 0), sum(n for k, n in totals.items() if k != 1)
     rate = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
@@ -271,13 +266,13 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     seen = once.select("toxic", own.alias("keys")).where(F.size("keys") > 0).collect() if top else []
     number = {k: i for i, k in enumerate(top)}
     without = [n_toxic - sum(r["toxic"] == 1 for r in seen), n_clean - sum(r["toxic"] != 1 for r in seen)]
-    texts = [[number[k] for k in r["keys"]] for r in seen] + [[]] * sum(without)
+    rows = [[number[k] for k in r["keys"]] for r in seen] + [[]] * sum(without)
     toxic = np.array([float(r["toxic"] == 1) for r in seen] + [1.0] * without[0] + [0.0] * without[1])
-    drop(made)
-    drop(once)
+    for x in (texts, made, once):
+        drop(x)
     if not len(toxic):
         return Model(letters, {}, -3.0)
-    weights, bias = regress(texts, toxic, len(top))
+    weights, bias = regress(rows, toxic, len(top))
     alone = {k: math.log(p / (1 - p)) - bias for k, p in shares.items() if p >= CLEAR}
     made = {k: max(float(w), alone.get(k, 0.0)) for k, w in zip(top, weights, strict=True)}
     return Model(letters, {k: w for k, w in made.items() if w > 0.01}, bias)
