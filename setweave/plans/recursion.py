@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rounds whose results explore() reads one by one before they are written as one table, so that plans stay small.
+TABLES = 32
+
+
 def _kept(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="setweave-")
@@ -17,19 +22,23 @@ def _kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def explore(source: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+def explore(source: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """``node``s reachable from those of ``source`` over ``edges`` (``src``, ``dst``), source included.
 
-    Each round joins the frontier only and drops what was visited before.
+    Each round joins the frontier only and drops what was visited before, until none is new. If that takes more than
+    ``rounds`` (None: no limit), it is an error.
     """
     seen = front = _kept(source.select("node").distinct())
-    for _ in range(rounds):
+    for n in count():
         step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         front = _kept(step.join(seen, "node", "left_anti"))
         if front.isEmpty():
-            break
+            return seen
+        if rounds is not None and n >= rounds:
+            raise ValueError(f"more nodes after {rounds} rounds")
         seen = seen.unionByName(front)
-    return seen
+        if n % TABLES == TABLES - 1:
+            seen = _kept(seen)
 
 
 def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:

@@ -58,6 +58,15 @@ def test_recursion(spark):
     assert recursion.topsort(edges.where("src > 3")).count() == 2
 
 
+def test_explore_whole(spark, monkeypatch):
+    monkeypatch.setattr(recursion, "TABLES", 2, raising=False)
+    start, edges = spark.createDataFrame([(0,)], "node int"), spark.createDataFrame([(i, i + 1) for i in range(6)], "src int, dst int")
+    assert sorted(r[0] for r in recursion.explore(start, edges).collect()) == list(range(7))
+    assert recursion.explore(start, edges, rounds=6).count() == 7
+    with pytest.raises(ValueError, match="more nodes"):
+        recursion.explore(start, edges, rounds=3)
+
+
 def test_formats(tmp_path):
     assert formats.decode_csv(b"a,b,c\nx,y,z") == (("a", "b", "c"), ("x", "y", "z"))
     assert formats.decode_json('{"a": [1, "", null]}', strict=False)["a"][0] == 1.0
