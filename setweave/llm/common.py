@@ -97,11 +97,14 @@ def map_texts(
     schema: str,
     keep: list[str],
     text_col: str = "text",
+    most: int = STEP_BYTES,
+    arrow: bool = False,
 ) -> DataFrame:
     """``keep`` columns and what a kernel makes of each text; no shuffle.
 
     ``kernel()`` is called once in each task and returns a function from a list of texts (null:
-    empty) to a dict of equally long columns. ``schema`` is DDL of those columns.
+    empty), or with ``arrow`` from an array of strings, to a dict of equally long columns. ``schema`` is DDL of those
+    columns. A step takes texts of ``most`` bytes at most, or one text.
     """
     names = [x.strip().split(" ")[0] for x in schema.split(",")] if schema else []
     source = df.select(*[df[c].alias(f"k{i}") for i, c in enumerate(keep)], df[text_col].alias("t"))
@@ -112,8 +115,9 @@ def map_texts(
         for batch in batches:
             texts = batch.column(len(keep))
             lengths = np.asarray(pa.compute.binary_length(texts).fill_null(0), dtype=np.int64)
-            for a, b in steps(lengths):
-                made = work(texts_of(texts.slice(a, b - a)))
+            for a, b in steps(lengths, most):
+                own = texts.slice(a, b - a)
+                made = work(own if arrow else texts_of(own))
                 kept = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(
                     kept + [pa.array(made[n]) for n in names], [f"k{i}" for i in range(len(keep))] + names
@@ -140,6 +144,16 @@ def filter_texts(df: DataFrame, kernel: Callable[[], Callable[[list[str]], list[
     return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
+def raw_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array of strings (null: empty), without a copy, and where each string begins; the last ends there."""
+    column = pa.compute.fill_null(column, "")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    at = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32, count=column.offset + len(column) + 1)[column.offset :].astype(np.int64)
+    if at[-1] == at[0]:
+        return np.zeros(0, dtype=np.uint8), at - at[0]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[at[0] : at[-1]], at - at[0]
+
+
 def words_of(text: str) -> list[bytes]:
     """The runs of bytes other than space and \\t-\\r."""
     return text.encode("utf-8", "surrogatepass").split()

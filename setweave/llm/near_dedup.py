@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setweave.llm.common import cut, drop, map_texts, table
+from setweave.llm.common import cut, drop, map_texts, raw_of, table
 
 WIDTH, SIMILAR = 4, 80
 #: Bands and minima in each: at similarity 0.8 a pair shares no band with probability (1 - 0.8**6)**40 = 5e-6.
@@ -24,51 +23,95 @@ BLOCK = 512
 OFFERS = 2
 #: Characters of texts whose sets a task keeps while it confirms pairs.
 KEPT = 4_000_000
+#: Bytes of texts whose signatures are made at once.
+SIGNED = 1 << 20
 #: Bits of the filter that keeps texts nobody asks for out of the shuffle; its table has a fixed size of BITS / 64 rows.
 BITS = 1 << 23
 SEED = 20_240_229
 
 
-class Words(dict):
-    """64-bit hashes of words, kept up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
+def _powers(x: int, n: int) -> np.ndarray:
+    """1, x, x**2, ... modulo 2**64."""
+    out = np.full(n, x, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class WordHashes:
+    """64-bit hashes of all words of an array of texts, A-Z lower-cased, without a Python object for a word.
+
+    A word's hash is the polynomial of random codes of its bytes, from prefix sums over the bytes of some texts; words over
+    LONG bytes, in which a polynomial modulo 2**64 might be made to collide, are hashed one by one. Works on BYTES bytes at once.
+    """
+
+    LONG, BYTES = 255, 1 << 18
+    SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+
+    def __init__(self, seed: int = SEED):
+        rng = np.random.default_rng(seed)
+        code = rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        code[ord("A") : ord("Z") + 1] = code[ord("a") : ord("z") + 1]
+        base = int(rng.integers(0, 2**61)) * 8 + 5
+        self.code, n = code, self.BYTES + self.LONG + 1
+        self.up, self.down = _powers(base, n), _powers(pow(base, -1, 2**64), n)
+        self.salt = mix64(np.arange(self.LONG + 1, dtype=np.uint64) + np.uint64(base))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the words of all texts, one text after the other, and how many each text has."""
+        raw, at = raw_of(texts)
+        hashes, first, last, n = [], np.zeros(len(raw) + 1, dtype=bool), np.zeros(len(raw) + 1, dtype=bool), len(raw)
+        inside = ~self.SPACE[raw]
+        first[0], first[1:n] = True, ~inside[: n - 1]
+        first[at] = True
+        last[n], last[: n - 1] = True, ~inside[1:]
+        last[at[at > 0] - 1] = True
+        starts, stops = np.flatnonzero(first[:n] & inside), np.flatnonzero(last[:n] & inside) + 1
+        for a in range(0, n, self.BYTES):
+            lo, hi = np.searchsorted(starts, (a, a + self.BYTES))
+            if lo < hi:
+                hashes.append(self._some(raw, a, starts[lo:hi], stops[lo:hi]))
+        return np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64), np.diff(np.searchsorted(starts, at))
+
+    def _some(self, raw: np.ndarray, a: int, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        sizes = stops - starts
+        short = sizes <= self.LONG
+        part = raw[a : a + self.BYTES + self.LONG]
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(self.code[part] * self.up[: len(part)], out=sums[1:])
+        i, j = starts[short] - a, stops[short] - a
+        out = np.empty(len(starts), dtype=np.uint64)
+        out[short] = mix64((sums[j] - sums[i]) * self.down[i] + self.salt[sizes[short]])
+        for k in np.flatnonzero(~short).tolist():
+            out[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : stops[k]].tobytes().lower())
+        return out
+
+
 class Shingler:
     """Sorted distinct 64-bit hashes of the shingles of texts; A-Z lower-cased."""
 
     def __init__(self, width: int):
-        self.width, self.words = width, Words()
+        self.width, self.words = width, WordHashes()
         self.factors = mix64(np.arange(1, width + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words) > 1_000_000:
-            self.words.clear()
-        split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-        sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        hashes = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), dtype=np.uint64, count=int(sizes.sum()))
+    def __call__(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        hashes, sizes = self.words(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
         w, n = self.width, len(hashes)
         total = np.zeros(max(0, n - w + 1), dtype=np.uint64)
         for k in range(w):
-            total += mix64(hashes[k : k + len(total)] + self.factors[k]) * self.factors[k]
+            total += hashes[k : k + len(total)] * self.factors[k]
         total, out, start = mix64(total), [], 0
         for size in sizes.tolist():
             if size >= w:
                 out.append(np.unique(total[start : start + size - w + 1]))
             elif size:
-                short = np.uint64(size) * self.factors[w]
-                for k in range(size):
-                    short = short + mix64(hashes[start + k : start + k + 1] + self.factors[k]) * self.factors[k]
-                out.append(mix64(short))
+                own = np.append(hashes[start : start + size], np.uint64(size)) * np.append(self.factors[:size], self.factors[w])
+                out.append(mix64(own.sum(dtype=np.uint64, keepdims=True)))
             else:
                 out.append(np.zeros(0, dtype=np.uint64))
             start += size
@@ -106,7 +149,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int, bands: int
     def kernel():
         shingle, minima = Shingler(width), Minima(bands, rows)
 
-        def work(texts: list[str]) -> dict:
+        def work(texts: pa.Array) -> dict:
             sets = shingle(texts)
             some = [s for s in sets if len(s)]
             least = np.stack([minima(s) for s in some]) if some else np.zeros((0, bands * rows), dtype=np.uint64)
@@ -126,7 +169,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int, bands: int
         return work
 
     keyed = df.select(df[id_col].alias("id"), text_hash(df[text_col]).alias("h"), df[text_col].alias("text"))
-    return map_texts(keyed, kernel, "n long, set_hash binary, bands array<long>, minima binary", ["id", "h"])
+    return map_texts(keyed, kernel, "n long, set_hash binary, bands array<long>, minima binary", ["id", "h"], most=SIGNED, arrow=True)
 
 
 def text_hash(text: Column) -> Column:
