@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text that one numpy step works on at most (a single longer text is one step).
 STEP_BYTES = 4 << 20
+#: Bytes of an Arrow batch on its way to Python, as a session's setting may allow far more, for the JVM and for Python at once.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,12 +43,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where if "://" in where or where.startswith("file:") else "file://" + where
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by BATCH_BYTES, unless it has a smaller bound already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df`` as a table written once to the shared folder, without their lineage.
 
     Unlike ``checkpoint()`` this computes the last stage once only; a lost executor costs nothing
     that is already written.
     """
+    small_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/setweave/{new_name()}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -107,6 +118,7 @@ def map_texts(
     columns. A step takes texts of ``most`` bytes at most, or one text.
     """
     names = [x.strip().split(" ")[0] for x in schema.split(",")] if schema else []
+    small_batches(df.sparkSession)
     source = df.select(*[df[c].alias(f"k{i}") for i, c in enumerate(keep)], df[text_col].alias("t"))
     out = ", ".join([f"k{i} {source.schema[i].dataType.simpleString()}" for i in range(len(keep))] + [schema])
 
@@ -129,6 +141,7 @@ def map_texts(
 
 def filter_texts(df: DataFrame, kernel: Callable[[], Callable[[list[str]], list[bool]]], text_col: str = "text") -> DataFrame:
     """The rows of ``df`` (all columns as they are) whose text a kernel accepts; no shuffle."""
+    small_batches(df.sparkSession)
     at = df.columns.index(text_col)
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
