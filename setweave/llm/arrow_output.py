@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from setweave.llm.common import cut, new_name, shared_dir, steps, table, texts_of
 from setweave.llm.segments import SegmentEncoder
-from setweave.llm.token_counts import load
+from setweave.llm.token_counts import cuts_at, load
 
 VOCABULARY = "byte_bpe_50k.json"
 LENGTH, ROWS = 2048, 64
@@ -30,11 +30,13 @@ MANIFEST = "shard int, path string, n_ids long, n_docs long"
 
 
 class LibraryEncoder:
-    """Ids as the tokenizers library gives them for whole texts; segments between spaces are encoded once and kept."""
+    """Ids as the tokenizers library gives them for whole texts; segments between spaces are encoded once and kept, if the file
+    is such that its ids don't depend on what stands around them."""
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cached = cuts_at(self.tokenizer) == "word"
         self.segments = SegmentEncoder(self._many)
 
     def _many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -43,6 +45,8 @@ class LibraryEncoder:
         return np.fromiter(chain.from_iterable(made), dtype=np.int32, count=int(counts.sum())), counts
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.cached:
+            return self._many(texts)
         odd = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
         if not odd:
             return self.segments.encode(texts)

@@ -205,13 +205,15 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         self.bpe, self.split = load(path), regex.compile(pattern).findall
+        # What segments rest on is known of this pattern only; by others each text is one segment.
+        self.cached = pattern == public_tokenizers.PATTERN
         self.segments = SegmentEncoder(self._many)
 
     def _many(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         number: dict[bytes, int] = {}
         parts = []
         for s in segments:
-            found = [s] if s[1:].isalpha() and (s[0] == " " or s[0].isalpha()) else self.split(s)
+            found = [s] if self.cached and s[1:].isalpha() and (s[0] == " " or s[0].isalpha()) else self.split(s)
             parts.append([number.setdefault(p.encode("utf-8", "surrogatepass"), len(number)) for p in found])
         flat, sizes = self.bpe.pieces(list(number))
         start = np.cumsum(sizes) - sizes
@@ -222,7 +224,7 @@ class Encoder:
         return ids, np.diff(ends)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.segments.encode(texts)
+        return self.segments.encode(texts) if self.cached else self._many(texts)
 
 
 def encode(
