@@ -22,37 +22,47 @@ UNKNOWN = "und"
 CHARS = 1 << 20
 
 
+def _codes(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.where((codes < 97) | ((codes > 122) & (codes < 192)), np.uint32(32), codes)
+
+
+def _bins(codes: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bins of the pairs that begin at each place, and of the triples."""
+    one = codes * np.uint32(0x9E3779B1)
+    two = one[1:] + codes[:-1] * np.uint32(0x85EBCA77)
+    three = two[1:] + codes[:-2] * np.uint32(0xC2B2AE3D)
+    shift = np.uint32(32 - bins.bit_length() + 1)
+    return tuple(((g ^ (g >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> shift for g in (two, three))
+
+
 def n_grams(texts: list[str], bins: int = BINS) -> np.ndarray:
     """A row of n-gram counts for each text; anything but letters counts as one and the same character."""
     lower = [t.lower() for t in texts]
-    codes = np.frombuffer(" ".join([*lower, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     sizes = np.fromiter(map(len, lower), dtype=np.int64, count=len(lower)) + 1
-    codes = np.where((codes < 97) | ((codes > 122) & (codes < 192)), np.uint32(32), codes)
     row = np.repeat(np.arange(len(lower)), sizes) * bins
-    one = codes * np.uint32(0x9E3779B1)
-    two = one[1:] + codes[:-1] * np.uint32(0x85EBCA77)
-    three = two[1:] + codes[:-2] * np.uint32(0xC2B2AE3D)
-    shift = np.uint32(32 - bins.bit_length() + 1)
     out = np.zeros(len(lower) * bins, dtype=np.int64)
-    for gram, k in ((two, 1), (three, 2)):
-        mixed = (gram ^ (gram >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-        at = row[k:] + (mixed >> shift)
-        out += np.bincount(at[row[k:] == row[: len(row) - k]], minlength=len(out))
+    for k, found in enumerate(_bins(_codes(" ".join([*lower, ""])), bins), 1):
+        out += np.bincount((row[k:] + found)[row[k:] == row[: len(row) - k]], minlength=len(out))
     return out.reshape(-1, bins)
 
 
+def long_n_grams(text: str, bins: int = BINS, chars: int = CHARS) -> np.ndarray:
+    """The row of ``n_grams`` of one text, from pieces: each n-gram counts in the piece in which it ends."""
+    low, out = text.lower() + " ", np.zeros(bins, dtype=np.int64)
+    for a in range(0, len(low), chars):
+        b = max(0, a - 2)
+        for k, found in enumerate(_bins(_codes(low[b : a + chars]), bins), 1):
+            out += np.bincount(found[max(0, a - b - k) :], minlength=bins)
+    return out[None]
+
+
 def counted(texts: list[str], bins: int) -> Iterator[tuple[int, np.ndarray]]:
     """(first row, counts of some rows), so many rows at once as memory allows; a text may be of any length."""
     for a, b in steps(np.array([len(t) for t in texts]), CHARS):
         for c in range(a, b, 256):
             part = texts[c : min(b, c + 256)]
-            if len(part) == 1 and len(part[0]) > CHARS:
-                whole = np.zeros((1, bins), dtype=np.int64)
-                for k in range(0, len(part[0]), CHARS):
-                    whole += n_grams([part[0][max(0, k - 2) : k + CHARS]], bins)
-                yield c, whole
-            else:
-                yield c, n_grams(part, bins)
+            yield c, long_n_grams(part[0], bins) if len(part) == 1 and len(part[0]) > CHARS else n_grams(part, bins)
 
 
 def has_letter(text: str) -> bool:
