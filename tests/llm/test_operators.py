@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -55,11 +56,29 @@ def test_bpe(docs):
 
 def test_token_counts(docs):
     tokenizer = token_counts.load(P.path(token_counts.VOCABULARY))
-    for r in token_counts.count(docs, huge=2000, chunk=500, overlap=8).collect():
+    for r in token_counts.count(docs, chunk=500, overlap=8).collect():
         text = "a null id" if r.doc_id is None else texts()[r.doc_id] or ""
         assert (r.n_bytes, r.n_tokens) == (len(text.encode()), len(tokenizer.encode(text, add_special_tokens=False)))
 
 
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json", "odd"])
+def test_token_counts_of_any_file(file, tmp_path):
+    """Texts in chunks and as a whole; a file without proven boundaries is never cut."""
+    path = P.path("byte_bpe_50k.json" if file == "odd" else file)
+    if file == "odd":
+        made = json.loads(open(path).read())
+        made["pre_tokenizer"]["add_prefix_space"] = True
+        path = str(tmp_path / "odd.json")
+        (tmp_path / "odd.json").write_text(json.dumps(made))
+    tokenizer = token_counts.load(path)
+    assert token_counts.cuts_at(tokenizer) == {"word_bpe_49k.json": "space", "byte_bpe_50k.json": "word", "odd": None}[file]
+    rng = random.Random(1)
+    parts = ["hello", "World", " ", " ", "  ", "\n", "\t", "it's", "12345", "!!", ".", ",", "<|endoftext|>", "e\u0301", "日本", "\u00a0", "😀", " \u0301", "a.b.", "İ", "\r\n"]
+    some = ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(300)] + ["", "hello big world\nand more", "a" * 500, "a " * 300]
+    want = [len(tokenizer.encode(x, add_special_tokens=False)) for x in some]
+    assert token_counts.Counter(path)(some).tolist() == token_counts.Counter(path, chunk=60, overlap=8)(some).tolist() == want
+
+
 def test_arrow_output(spark, docs):
     some = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     manifest = arrow_output.write(some, f"{shared_dir(spark)}/arrow-test", length=64, rows=4)
@@ -84,6 +103,34 @@ def test_quality_rules(docs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {5, 6, 7, 8, 14}
 
 
+def test_maximal_repeats():
+    """Intervals against all repeated stretches that can't be made longer to either side in all places alike."""
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        sizes, least = rng.integers(1, 25, rng.integers(1, 5)), int(rng.integers(1, 4))
+        stops = np.cumsum(sizes)
+        ends, tokens = np.repeat(stops, sizes), rng.integers(0, rng.integers(1, 4), stops[-1])
+        starts, places, want = np.repeat(stops - sizes, sizes), defaultdict(list), np.zeros(len(ends), int)
+        for i in range(len(ends)):
+            for j in range(i + least, ends[i] + 1):
+                places[ends[i], tuple(tokens[i:j])].append(i)
+        for (end, w), at in places.items():
+            before = {tokens[p - 1] if p > starts[p] else -1 - p for p in at}
+            after = {tokens[p + len(w)] if p + len(w) < end else -1 - p for p in at}
+            if len(at) > 1 and len(before) > 1 and len(after) > 1:
+                want[at] = np.maximum(want[at], len(w))
+        assert (quality_rules.repeats(tokens, ends, least) == want).all()
+
+
+def test_covered_share_decides(spark):
+    """Long repeats over a fifth of a text, within the base rule's bound and none over 100 words."""
+    once, twice = words(11, 300, 10**6), words(12, 45, 10**6)
+    rows = [(1, f"{once} {twice} x {twice}"), (2, f"{once} {words(13, 90, 10**6)}"), (3, once + " ".join(f" {words(k, 9, 10**6)} x {words(k, 9, 10**6)} y{k}" for k in range(20, 25)))]
+    got = {r.doc_id: r for r in quality_rules.rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[i].base_failed, got[i].kept) for i in (1, 2, 3)] == [(False, False), (False, True), (False, True)]
+    assert got[1].n_long_repeat_words == 90 and got[3].n_repeat_words == 90 and not got[3].n_long_repeat_words
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(0)
     tokens, ends = rng.integers(0, 3, 60), np.repeat([25, 40, 60], [25, 15, 20])
@@ -165,15 +212,40 @@ def test_mixing(docs):
     assert mixed.columns == docs.columns and mixed.count() == sum(r.n_copies for r in got)
 
 
-def test_vector_search(spark):
+def best(rows, k=5, every=50):
+    """Every query's best rows, from whole numbers of any size."""
+    v = [(i, [min(max(int(np.floor(256 * float(c))), -(2**63)), 2**63) for c in x]) for i, x in rows if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)]
+    out = []
+    for q, x in {i: min(y for j, y in v if j == i) for i, _ in v if i % every == 0}.items():
+        scored = [(min(max(sum(a * b for a, b in zip(x, y)), -(2**63)), 2**63 - 1), c) for c, y in v if c != q and len(x) == len(y)]
+        out += [(q, n, c, s) for n, (s, c) in enumerate(sorted(scored, key=lambda t: (-t[0], t[1]))[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block, seeds, scale", [(4096, 4096, 1.0), (2, 3, 1.0), (2, 10, 3e7), (2, 10, 1e18)])
+def test_vector_search(spark, block, seeds, scale):
+    """Null, non-finite and repeated ids and vectors, ties, other dimensions; scores beyond 2**53 and beyond 2**63."""
     rng = np.random.default_rng(1)
-    rows = [(i, [float(x) for x in rng.normal(size=12)]) for i in range(300)]
-    rows[7], rows[8] = (7, None), (8, [float("nan")] * 12)
+    rows = [(i, [float(x) * scale for x in rng.normal(size=12)]) for i in range(300)]
+    rows[7], rows[8], rows[9] = (7, None), (8, [float("nan")] * 12), (9, [None] + [1.0] * 11)
     rows[20] = (20, rows[0][1])
-    got = vector_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=5).collect()
-    v = {i: np.floor(256 * np.array(x, dtype=np.float32).astype(float)) for i, x in rows if x and x[0] == x[0]}
-    want = [(q, n, c, s) for q in v if q % 50 == 0 for n, (s, c) in enumerate(sorted(((int(v[q] @ v[c]), c) for c in v if c != q), key=lambda t: (-t[0], t[1]))[:5], 1)]
-    assert sorted(map(tuple, got)) == sorted(want)
+    rows += [(50, [0.5] * 12), (33, [2.0] * 12), (33, [2.0] * 12), (None, [9.0] * 12), (400, [1.0, 2.0]), (401, [1.0, 2.0]), (402, [3.0, float("inf")]), (450, []), (451, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vector_search.top_k(df.withColumn("score", F.lit("x")).withColumn("i", F.lit(1)), k=5, block=block, seeds=seeds)
+    assert sorted(map(tuple, got.collect())) == best(rows)
+
+
+def test_vector_search_prunes():
+    """Of random vectors in 64 dimensions, bounds from means and deviations leave under half of the pairs to be computed."""
+    rng = np.random.default_rng(2)
+    x, ids = np.floor(256 * rng.normal(size=(4000, 64))), np.arange(4000)
+    seen = vector_search.Block(ids[:80], x[:80], 5)
+    floor = seen.update(seen.start(), ids[::4], x[::4])[0][:, -1]
+    made = vector_search.Block(ids[:80], x[:80], 5, floor=floor)
+    scores, found = made.update(made.start(), ids, x)
+    exact = x[:80] @ x.T
+    exact[np.arange(80), np.arange(80)] = -np.inf
+    assert (scores == -np.sort(-exact, axis=1)[:, :5]).all() and made.exact < made.pairs / 2
 
 
 @pytest.fixture(scope="module")
@@ -228,6 +300,16 @@ def test_language_id(labelled):
     assert [r.lang_pred for r in made if r.doc_id is None] == ["und"]
 
 
+def test_n_grams_of_long_texts():
+    rng = random.Random(2)
+    text = "".join(rng.choice("abc dé\nİΣx") for _ in range(5000))
+    for chars in (1, 2, 3, 700, 9000):
+        assert (language_id.long_n_grams(text, chars=chars) == language_id.n_grams([text])).all()
+    text *= 700
+    (_, row), = language_id.counted([text], language_id.BINS)
+    assert len(text) > 3 << 20 and (row == language_id.n_grams([text])).all()
+
+
 def test_decode():
     model = np.zeros(toxicity.SIZE**3)
     assert toxicity.decode("tr4sh", model.tolist()) == "trash" and toxicity.decode("1d10t", model.tolist()).endswith("t")
@@ -294,8 +376,10 @@ def test_pipeline(spark):
             grams[tuple(w[k : k + 8])] += 1
         for k in range(len(w) - 7):
             seen |= set(range(k, k + 8)) if grams[tuple(w[k : k + 8])] > 1 else set()
-        deep = Counter(tuple(w[k : k + 101]) for k in range(len(w) - 100))
-        return len(w) >= 20 and 100 * len(seen) <= 30 * len(w) and max(deep.values(), default=1) == 1
+        deep, far, long = Counter(tuple(w[k : k + 101]) for k in range(len(w) - 100)), Counter(tuple(w[k : k + 16]) for k in range(len(w) - 15)), set()
+        for k in range(len(w) - 15):
+            long |= set(range(k, k + 16)) if far[tuple(w[k : k + 16])] > 1 else set()
+        return len(w) >= 20 and 100 * len(seen) <= 30 * len(w) and 5 * len(long) <= len(w) and max(deep.values(), default=1) == 1
 
     assert sorted(good) == sorted(r for r in first if keeps(r[1]))
     labels = spark.read.parquet(f"{sf}/labels.parquet")
