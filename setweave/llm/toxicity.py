@@ -19,9 +19,9 @@ from setweave.llm.common import cut, drop, filter_texts, fold, map_texts, steps,
 THRESHOLD = 0.3
 #: Labelled rows that words are learned from, at most; the character model counts all documents.
 SAMPLE = 20_000
-#: Distinct words and stems kept as evidence, and the least share of toxic texts among those with it. How many texts
-#: with it that takes follows from the number of candidates: chance may bring about exp(-MARGIN) pieces of evidence.
-EVIDENCE, LEAST_SHARE, MARGIN = 5000, 0.3, 2.0
+#: Least share of toxic texts among those with a word or stem that is evidence. How many texts with it that
+#: takes follows from the number of candidates: chance may bring about exp(-MARGIN) pieces of evidence.
+LEAST_SHARE, MARGIN = 0.3, 2.0
 #: Letters of the stems that stand for words of several endings.
 STEMS = (4, 5, 6)
 #: Share of toxic texts from which a piece of evidence suffices by itself, whatever others stood beside it.
@@ -43,7 +43,7 @@ _SPACED = re.compile(rf"(?<![^\W_])(?:[^\s][{re.escape(GAPS)}]{{1,2}}){{2,}}[^\s
 _SINGLES = re.compile(rf"[{re.escape(GAPS)}][^\s][{re.escape(GAPS)}]{{1,2}}[^\s](?![^\W_])")
 #: A token without letters that may be a word: two or more that stand for letters, with gaps, between other marks.
 _LEET_ONLY = re.compile(rf"(?:[^\w{re.escape(''.join(LEET))}]|_)*+((?:[{re.escape(''.join(LEET))}][{re.escape(GAPS)}]*+){{2,}}+)[\W_]*")
-_HIDDEN = re.compile(rf"(.)\1\1|(?:[^\s][{re.escape(GAPS)}]){{2}}|[{re.escape(''.join(LEET))}]")
+_HIDDEN = re.compile(rf"(.)\1\1|(?:[^\s][{re.escape(GAPS)}]){{2}}|[^\W\d_][{re.escape(GAPS)}](?=[^\W\d_])|[{re.escape(''.join(LEET))}]")
 _TAIL = re.compile(r"[!|(]+$|([*#%&$])\1\1+$")
 _LETTER = re.compile(r"[^\W\d_]")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -230,8 +230,9 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     At most ``sample`` labels, chosen by a hash of the id, are used. Near copies among their texts with one label (components of
     near-dedup: five-word shingles, similarity 0.8 or more; texts without words are one) count once, so that a copied text's words are no evidence by themselves. Keys are counted
-    on the executors; those with a share of LEAST_SHARE toxic texts, more than chance brings about among so many
-    keys (likelihood ratio), come to the driver, EVIDENCE of them at most, and a logistic regression on the sampled texts weighs them. Null labels count as none; one 1 among repeated labels suffices.
+    on the executors; all those with a share of LEAST_SHARE toxic texts, more than chance brings about among so many
+    keys (likelihood ratio), come to the driver, and a logistic regression on the sampled texts weighs them; their number is bounded by
+    the words of ``sample`` texts. Null labels count as none; one 1 among repeated labels suffices.
     """
     letters = language_model(df, text_col)
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -259,16 +260,16 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     share, part = F.col("t") / (F.col("n") + 0.5), F.col("t") / F.col("n")
     rest = F.when(part < 1, (1 - part) * F.log((1 - part) / (1 - rate))).otherwise(0.0)
     surprise = F.col("n") * (part * F.log(part / rate) + rest)
-    strong = counts.where((F.col("t") > 0) & (share >= LEAST_SHARE) & (surprise >= math.log(kinds + 1) + MARGIN)).select("k", surprise.alias("s"), share.alias("share"))
-    shares = {r["k"]: r["share"] for r in strong.orderBy(F.col("s").desc(), F.col("k")).limit(EVIDENCE).collect()}
-    top = list(shares)
-    own = F.array_intersect("keys", F.array(*[F.lit(k) for k in top]).cast("array<string>"))
-    seen = once.select("toxic", own.alias("keys")).where(F.size("keys") > 0).collect() if top else []
+    strong = cut(counts.where((F.col("t") > 0) & (share >= LEAST_SHARE) & (surprise >= math.log(kinds + 1) + MARGIN)).select("k", share.alias("share")))
+    shares = {r["k"]: r["share"] for r in strong.collect()}
+    top = sorted(shares)
+    held = once.select("copy", "toxic", F.explode("keys").alias("k")).join(strong.select("k"), "k")
+    seen = held.groupBy("copy", "toxic").agg(F.collect_set("k").alias("keys")).select("toxic", "keys").collect() if top else []
     number = {k: i for i, k in enumerate(top)}
     without = [n_toxic - sum(r["toxic"] == 1 for r in seen), n_clean - sum(r["toxic"] != 1 for r in seen)]
     rows = [[number[k] for k in r["keys"]] for r in seen] + [[]] * sum(without)
     toxic = np.array([float(r["toxic"] == 1) for r in seen] + [1.0] * without[0] + [0.0] * without[1])
-    for x in (texts, made, once):
+    for x in (texts, made, once, strong):
         drop(x)
     if not len(toxic):
         return Model(letters, {}, -3.0)
