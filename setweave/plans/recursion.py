@@ -2,53 +2,50 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from setweave.plans.storage import cut, drop
 
 #: Rounds whose results explore() reads one by one before they are written as one table, so that plans stay small.
 TABLES = 32
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="setweave-")
-    path = f"{base}/setweave/plan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def explore(source: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """``node``s reachable from those of ``source`` over ``edges`` (``src``, ``dst``), source included.
 
     Each round joins the frontier only and drops what was visited before, until none is new. If that takes more than
     ``rounds`` (None: no limit), it is an error.
     """
-    seen = front = _kept(source.select("node").distinct())
+    seen = front = cut(source.select("node").distinct())
+    parts = [seen]
     for n in count():
         step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        front = _kept(step.join(seen, "node", "left_anti"))
+        front = cut(step.join(seen, "node", "left_anti"))
         if front.isEmpty():
+            drop(front)
             return seen
         if rounds is not None and n >= rounds:
             raise ValueError(f"more nodes after {rounds} rounds")
+        parts.append(front)
         seen = seen.unionByName(front)
         if n % TABLES == TABLES - 1:
-            seen = _kept(seen)
+            seen = cut(seen)
+            drop(*parts[:-1])
+            parts = [seen, front]
 
 
 def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """Transitive closure of ``src``, ``dst``: new pairs are composed with all known ones until none is new."""
-    known = new = _kept(edges.select("src", "dst").distinct())
+    known = new = cut(edges.select("src", "dst").distinct())
     for _ in range(rounds):
         far = known.select(F.col("src").alias("dst"), F.col("dst").alias("end"))
         made = new.join(far, "dst").select("src", F.col("end").alias("dst")).distinct()
-        new = _kept(made.join(known, ["src", "dst"], "left_anti"))
+        new = cut(made.join(known, ["src", "dst"], "left_anti"))
         if new.isEmpty():
+            drop(new)
             break
         known = known.unionByName(new)
     return known
@@ -57,14 +54,17 @@ def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
 def topsort(edges: DataFrame) -> DataFrame:
     """``node`` and ``level`` (0: nothing before it); an error for a cycle. Level by level, with anti joins."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    rest, left, out, level = _kept(edges.select("src", "dst")), _kept(nodes), None, 0
+    rest, left, out, level = cut(edges.select("src", "dst")), cut(nodes), None, 0
     while not left.isEmpty():
-        free = _kept(left.join(rest.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
+        free = cut(left.join(rest.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
         if free.isEmpty():
             raise ValueError("cycle")
         own = free.withColumn("level", F.lit(level))
         out = own if out is None else out.unionByName(own)
-        left = _kept(left.join(free, "node", "left_anti"))
-        rest = _kept(rest.join(free.withColumnRenamed("node", "src"), "src", "left_anti"))
+        before = left, rest
+        left = cut(left.join(free, "node", "left_anti"))
+        rest = cut(rest.join(free.withColumnRenamed("node", "src"), "src", "left_anti"))
+        drop(*before)
         level += 1
+    drop(left, rest)
     return out if out is not None else nodes.withColumn("level", F.lit(0))
