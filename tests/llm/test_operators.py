@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import json
 import random
 import zlib
@@ -315,6 +316,24 @@ def test_decode():
     assert toxicity.decode("tr4sh", model.tolist()) == "trash" and toxicity.decode("1d10t", model.tolist()).endswith("t")
 
 
+def test_decode_is_the_best_path():
+    """Against all paths through random lattices, under random models."""
+    rng, signs = random.Random(3), "ab1$!i..-0oeß4x"
+    for trial in range(150):
+        token = "".join(rng.choice(signs) for _ in range(rng.randrange(1, 7)))
+        model = np.random.default_rng(trial).normal(size=toxicity.SIZE**3) * 2
+        paths = []
+        for path in itertools.product(*toxicity.lattice(token), [(" ", 0.0)]):
+            state, score = 0, 0.0
+            for emitted, channel in path:
+                score += channel
+                for c in emitted:
+                    z = toxicity.CODE.get(c, 0)
+                    score, state = score + model[state * toxicity.SIZE + z], state % toxicity.SIZE * toxicity.SIZE + z
+            paths.append((score, "".join(e for e, _ in path).strip()))
+        assert toxicity.decode(token, model.tolist()) in {t for s, t in paths if s > max(paths)[0] - 1e-9}
+
+
 @pytest.fixture(scope="module")
 def restorer(spark):
     plain = ["you are such an idiot and a fool said the man who had no other word for them today", "the ass is an animal"]
@@ -331,7 +350,7 @@ def test_long_obfuscation(restorer):
 
 
 def test_obfuscation_with_other_gaps(restorer):
-    for text in ("he is an i d i o t now", "he is an i\td\ti\to\tt now", "he is an i. d. i. o. t.", "i  d  i  o  t", "i d i o t", "i-d i-o t"):
+    for text in ("he is an i d i o t now", "he is an i\td\ti\to\tt now", "he is an i. d. i. o. t.", "i  d  i  o  t", "i d i o t", "i-d i-o t", "an id-iot", "an idi.ot"):
         assert "idiot" in restorer.words(text), text
     for text in ("an @$$ it is", "an 455, it is", "(455)", "an '@$$!!' it is", "4-5-5", "@$$$", "*@$$*", "...(@$$).", "_455_"):
         assert {"ass", "asss"} & restorer.words(text), text
