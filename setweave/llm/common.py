@@ -10,8 +10,6 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,30 +17,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from setweave.plans import storage
+from setweave.plans.storage import drop, new_name, shared_dir
+
+__all__ = ["cut", "drop", "filter_texts", "fold", "map_texts", "new_name", "ranges", "raw_of", "shared_dir", "steps", "table", "texts_of", "words_of"]
+
 #: UTF-8 bytes of text that one numpy step works on at most (a single longer text is one step).
 STEP_BYTES = 4 << 20
 #: Bytes of an Arrow batch on its way to Python, as a session's setting may allow far more, for the JVM and for Python at once.
 BATCH_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset (a local session in a test) a temporary folder is made and set.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not where:
-        now = sc._jsc.sc().getCheckpointDir()
-        where = now.get() if now.isDefined() else None
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="setweave-")
-        sc.setCheckpointDir(where)
-    elif not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(where)
-    return where if "://" in where or where.startswith("file:") else "file://" + where
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bounds the session's Arrow batches by BATCH_BYTES, unless it has a smaller bound already."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -52,36 +37,15 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` as a table written once to the shared folder, without their lineage.
-
-    Unlike ``checkpoint()`` this computes the last stage once only; a lost executor costs nothing
-    that is already written.
-    """
+    """``storage.cut``, by small batches."""
     small_batches(df.sparkSession)
-    path = f"{shared_dir(df.sparkSession)}/setweave/{new_name()}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._setweave_path = path
-    return out
-
-
-def drop(df: DataFrame | None) -> None:
-    """Deletes what ``cut`` has written, once nothing will read it any more."""
-    path = getattr(df, "_setweave_path", None)
-    if path:
-        sc = df.sparkSession.sparkContext
-        at = sc._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    return storage.cut(df)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def new_name() -> str:
-    return uuid.uuid4().hex
-
-
 def fold(id_col: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id is in fold 0."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % parts, F.lit(0))

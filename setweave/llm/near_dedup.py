@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setweave.llm.common import cut, drop, map_texts, raw_of, table
+from setweave.plans.storage import at
 
 WIDTH, SIMILAR = 4, 80
 #: Bands and minima in each: at similarity 0.8 a pair shares no band with probability (1 - 0.8**6)**40 = 5e-6.
@@ -178,6 +179,7 @@ def text_hash(text: Column) -> Column:
 
 def _agree(pairs: DataFrame, least: float) -> DataFrame:
     """The pairs (``id``, ``h``, ``pid``, ``ph``) whose signatures agree on a share of ``least`` or more."""
+    kind = pairs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +187,7 @@ def _agree(pairs: DataFrame, least: float) -> DataFrame:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in (4, 5))
                 yield batch.filter(pa.array((a == b).mean(axis=1) >= least)).select([0, 1, 2, 3])
 
-    return pairs.select("id", "h", "pid", "ph", "minima", "p_minima").mapInArrow(run, "id long, h long, pid long, ph long")
+    return pairs.select("id", "h", "pid", "ph", "minima", "p_minima").mapInArrow(run, f"id {kind}, h long, pid {kind}, ph long")
 
 
 def _likely(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -248,7 +250,8 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, similar: int) -> Da
             two = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             yield batch.filter(pa.array([sets.similar(x, y, similar) for x, y in two], pa.bool_())).select([0, 1])
 
-    links = joined.mapInArrow(run, "id long, pid long").select(F.greatest("id", "pid").alias("u"), F.least("id", "pid").alias("v"))
+    kind = pairs.schema["id"].dataType.simpleString()
+    links = joined.mapInArrow(run, f"id {kind}, pid {kind}").select(F.greatest("id", "pid").alias("u"), F.least("id", "pid").alias("v"))
     made = cut(links.where("u <> v").distinct())
     drop(some)
     return made
@@ -275,7 +278,7 @@ def components(links: DataFrame) -> DataFrame:
             drop(edges)
         edges = made
         if now == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            return at(getattr(edges, "_setweave_path", None), edges.select(F.col("u").alias("id"), F.col("v").alias("component")))
         before = now
 
 
@@ -312,7 +315,8 @@ def _block_links(members: DataFrame, texts: DataFrame, least: float, block: int,
     the pairs: of these there may be as many as the square of its rows. Such rows then meet again with their texts, each
     once in a block (2 * block texts at most), and what agrees is confirmed there on full sets. Only links leave.
     """
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    kind = members.schema["id"].dataType.simpleString()
+    sizes = cut(members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")))
     dealt = members.join(sizes, "bucket").withColumn("p", F.pmod(F.xxhash64("id", "h"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")
     meet = dealt.select("*", other).select("bucket", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "p", "b", "id", "h", "component", "bands", "minima")
@@ -324,30 +328,31 @@ def _block_links(members: DataFrame, texts: DataFrame, least: float, block: int,
         sets, ids, text = Sets(width, 8 * KEPT), t.column("id").to_pylist(), t.column("text").to_pylist()
         near = zip(*(x.tolist() for x in _near_in_block(t, least)), strict=True)
         good = [(max(ids[a], ids[b]), min(ids[a], ids[b])) for a, b in near if ids[a] != ids[b] and sets.similar(text[a], text[b], similar)]
-        return pa.table({"u": pa.array([u for u, _ in good], pa.int64()), "v": pa.array([v for _, v in good], pa.int64())})
+        kind = t.column("id").type
+        return pa.table({"u": pa.array([u for u, _ in good], kind), "v": pa.array([v for _, v in good], kind)})
 
     ends = cut(meet.groupBy("bucket", "i", "j").applyInArrow(flag, meet.schema))
     some = _asked(ends.select("id", "h").distinct(), texts)
-    made = cut(ends.join(some, ["id", "h"]).groupBy("bucket", "i", "j").applyInArrow(confirm, "u long, v long").distinct())
-    drop(some)
-    drop(ends)
+    made = cut(ends.join(some, ["id", "h"]).groupBy("bucket", "i", "j").applyInArrow(confirm, f"u {kind}, v {kind}").distinct())
+    drop(some, ends, sizes)
     return made
 
 
-def _offers(rows: DataFrame, turn: int) -> DataFrame:
-    """One pair (``id``, ``h``, ``pid``, ``ph``) for each member that isn't the first of all heads of its buckets.
+def _offers(rows: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """The heads of buckets, and one pair (``id``, ``h``, ``pid``, ``ph``) for each member that isn't the first of all heads of its buckets.
 
     At first those come first whose buckets hold the most rows: of near copies of one text it is that text, whose
     minima are the commonest, and which is nearer to all of them than they are to one another. Later the order is by hash.
+    Heads are written before they meet their members, so that a join with a bucket of very many rows can be split.
     """
     if turn:
         ranked = rows.select("bucket", "id", "h", F.xxhash64(F.lit(turn), "id").alias("o"))
     else:
         weight = rows.groupBy("id", "h").agg((-F.sum("c")).alias("o"))
         ranked = rows.select("bucket", "id", "h").join(weight, ["id", "h"])
-    heads = ranked.groupBy("bucket").agg(F.min(F.struct("o", "id", "h")).alias("p"))
+    heads = cut(ranked.groupBy("bucket").agg(F.min(F.struct("o", "id", "h")).alias("p")))
     first = rows.select("bucket", "id", "h").join(heads, "bucket").groupBy("id", "h").agg(F.min("p").alias("p"))
-    return first.select("id", "h", F.col("p.id").alias("pid"), F.col("p.h").alias("ph")).where("id <> pid")
+    return heads, first.select("id", "h", F.col("p.id").alias("pid"), F.col("p.h").alias("ph")).where("id <> pid")
 
 
 def _component_of(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -372,7 +377,7 @@ def near_duplicates(
     A text's set holds its distinct shingles of ``width`` words (fewer words: all of them as one; no words: empty, linked
     with nothing). Rows are linked if 100 * |intersection| >= similar * |union| of the full sets; ``component`` is the
     smallest id reachable, the row's own included. Rows with one id are one node, whatever their texts;
-    a null id has a null component. An empty table gives no rows.
+    a null id has a null component; ids are of any type with an order. An empty table gives no rows. The result is a table in the shared folder.
 
     1. Rows with equal sets fall together (a grouped minimum), and the rest goes on with one of each.
     2. Each bucket of a band has a head, by a hash of the ids, and each member is offered the first of the heads of its
@@ -389,34 +394,39 @@ def near_duplicates(
     one = cut(solid.groupBy("set_hash").agg(F.min(F.struct("id", "h", "bands", "minima")).alias("r")).select("set_hash", "r.*"))
 
     member = one.select(F.posexplode("bands").alias("b", "x"), "id", "h").select(F.xxhash64("b", "x").alias("bucket"), "b", "id", "h")
-    several = member.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
+    several = cut(member.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"))
     shared = cut(member.join(several, "bucket"))
+    drop(several)
     sig = one.select("id", "h", "minima")
     theirs = one.select(F.col("id").alias("pid"), F.col("h").alias("ph"), F.col("minima").alias("p_minima"))
     links, found, open_rows = _same_id_links(own, one), None, shared
     for turn in range(OFFERS):
-        pairs = _offers(open_rows, turn)
+        heads, pairs = _offers(open_rows, turn)
         agreed = cut(_agree(pairs.join(sig, ["id", "h"]).join(theirs, ["pid", "ph"]), SIGNATURE))
-        links = cut(links.unionAll(_confirm(agreed, texts, width, similar)))
+        confirmed, before = _confirm(agreed, texts, width, similar), (heads, agreed, links, found)
+        links = cut(links.unionAll(confirmed))
         found = components(links)
+        drop(*before, confirmed)
         placed = _component_of(shared, found)
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a <> z").select("bucket")
-        before, open_rows = open_rows, cut(placed.join(mixed, "bucket"))
-        if turn and before is not shared:
-            drop(before)
+        mixed = cut(placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a <> z").select("bucket"))
+        still = cut(placed.join(mixed, "bucket"))
+        drop(mixed, open_rows if turn else None)
+        open_rows = still
         if open_rows.isEmpty():
             break
     if not open_rows.isEmpty():
         more = _block_links(open_rows.join(one.select("id", "h", "bands", "minima"), ["id", "h"]), texts, SIGNATURE, BLOCK, width, similar)
         if not more.isEmpty():
-            found = components(links.unionAll(more))
+            last, found = found, components(links.unionAll(more))
+            drop(last)
         drop(more)
-    for x in (shared, open_rows):
-        drop(x)
+    drop(shared, open_rows, links)
 
     node = _component_of(one.select("set_hash", "id"), found).select("set_hash", "component")
     out = own.select("id", "h", F.col("n").alias("n_shingles"), "set_hash").join(node, "set_hash", "left")
-    return out.select("id", "h", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
+    out = cut(out.select("id", "h", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component")))
+    drop(own, one, found)
+    return out
 
 
 def keep_first(df: DataFrame, width: int = 5, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
