@@ -153,6 +153,35 @@ def test_near_dedup(docs):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 1, 2, 3, 5, 9, 10, 11, 12, 13, 14, 15]
 
 
+def test_near_dedup_of_documents(spark):
+    """All components of a table of documents, against pairs that share shingles, of which none is left out."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets, holders, least = {}, defaultdict(list), {}
+    for r in df.collect():
+        w = (r.text or "").encode().lower().split()
+        sets[r.doc_id] = {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set()
+        least[r.doc_id] = r.doc_id
+        for x in sets[r.doc_id]:
+            holders[x].append(r.doc_id)
+    common = Counter((a, b) for ids in holders.values() if len(ids) > 1 for a in ids for b in ids if b < a)
+    links = [(a, b) for (a, b), n in common.items() if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n)]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            if least[a] != least[b]:
+                least[a] = least[b] = min(least[a], least[b])
+                changed = True
+    got = near_dedup.op1_near_dedup(spark, "/root/testdata/sf0.01").collect()
+    assert len(links) > 50 and {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(sets[i]), least[i], least[i] == i) for i in sets}
+
+
+def test_near_dedup_of_other_ids(spark):
+    rows = [("b", words(1, 50)), ("a", words(1, 50) + " x"), (None, words(1, 50)), ("c", words(2, 50)), ("c", words(3, 50)), ("d", words(3, 50))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((r.id or "", r.component or "") for r in got) == [("", ""), ("a", "a"), ("b", "a"), ("c", "c"), ("c", "c"), ("d", "c")]
+
+
 def test_near_dedup_in_blocks(spark, monkeypatch):
     """Walks of small changes: neighbours are links, most pairs of a bucket are close but none."""
     monkeypatch.setattr(near_dedup, "OFFERS", 1)
@@ -178,7 +207,7 @@ def test_near_dedup_in_blocks(spark, monkeypatch):
 def test_near_dedup_low_bytes(spark, monkeypatch):
     """Links that share a band, and before it one that is the same in the low bytes of its minima only."""
     offers = near_dedup._offers
-    monkeypatch.setattr(near_dedup, "_offers", lambda rows, turn: offers(rows, turn).limit(0))
+    monkeypatch.setattr(near_dedup, "_offers", lambda rows, turn: (None, offers(rows, turn)[1].limit(0)))
     rng, rows, shingle, minima = random.Random(4), [], near_dedup.Shingler(4), near_dedup.Minima(near_dedup.BANDS, near_dedup.ROWS)
     while len(rows) < 8:
         w = [f"v{rng.randrange(10**9)}" for _ in range(60)]
