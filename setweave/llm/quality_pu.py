@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import math
 import operator
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setweave.llm.common import cut, fold, map_texts, table
+from setweave.llm.common import cut, drop, fold, map_texts, table
 
-#: Rows that the model is fitted on, at most about: trusted positives and unlabelled texts, chosen by a hash of the id.
-POSITIVES, UNLABELLED = 8000, 12_000
 THRESHOLD = 0.7
+#: Weight of half the squared weights (but the bias) in what is minimised.
+DECAY = 0.01
+#: Rows in which the sums of all tasks meet before they go to the driver.
+MEET = 64
 #: Bins of a preliminary score in which all documents are counted for the class prior.
 SCORE_BINS = 200
 FEATURES = (
@@ -74,42 +80,107 @@ def shape(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.concatenate([z, np.maximum(z - 1.5, 0), np.maximum(-z - 1.5, 0)], axis=1)
 
 
-def descend(gradient, width: int, rounds: int, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Adam on weights and a bias."""
-    w, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
-    for t in range(1, rounds + 1):
-        g = gradient(w[:-1], w[-1]) + decay * np.append(w[:-1], 0)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w[:-1], float(w[-1])
-
-
-def nn_pu(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = 600) -> tuple[np.ndarray, float]:
-    """Minimises prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic loss.
-
-    Where the bracket is negative its gradient is turned round, so that the estimate comes back to 0.
+@dataclass
+class Curve:
+    """Sums over one side's rows at some weights: rows, logistic losses as negatives and as positives, rows themselves, rows by
+    probability, and rows' products by its variance."""
+
+    n: float
+    negative: float
+    positive: float
+    rows: np.ndarray
+    pulled: np.ndarray
+    bent: np.ndarray
+
+    @classmethod
+    def of(cls, x: np.ndarray, w: np.ndarray) -> Curve:
+        z = x @ w
+        s = _sigmoid(z)
+        return cls(len(x), np.logaddexp(0, z).sum(), np.logaddexp(0, -z).sum(), x.sum(axis=0), s @ x, (x * (s * (1 - s))[:, None]).T @ x)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([[self.n, self.negative, self.positive], self.rows, self.pulled, self.bent.ravel()])
+
+    @classmethod
+    def from_flat(cls, v: np.ndarray, width: int) -> Curve:
+        return cls(*v[:3], v[3 : 3 + width], v[3 + width : 3 + 2 * width], v[3 + 2 * width :].reshape(width, width))
+
+    def risk(self, positive: bool) -> tuple[float, np.ndarray, np.ndarray]:
+        """Mean logistic loss of all rows as positives or as negatives, with gradient and Hessian."""
+        value, pull = (self.positive, self.pulled - self.rows) if positive else (self.negative, self.pulled)
+        return value / self.n, pull / self.n, self.bent / self.n
+
+
+Curves = Callable[[np.ndarray], tuple[Curve, Curve]]
+Risk = tuple[float, np.ndarray, np.ndarray]
+
+
+def _sum(*parts: tuple[float, Risk], w: np.ndarray, decay: float) -> Risk:
+    """A weighted sum of risks and the decay of weights."""
+    d = np.append(np.full(len(w) - 1, decay), 0.0)
+    value, slope, bend = (sum(a * r[k] for a, r in parts) for k in range(3))
+    return value + 0.5 * (d * w * w).sum(), slope + d * w, bend + np.diag(d + 1e-9)
+
+
+def separate(curves: Curves, width: int, decay: float = DECAY, rounds: int = 30) -> np.ndarray:
+    """A logistic model of positives against unlabelled, both sides weighing the same, by damped Newton steps."""
+    w = np.zeros(width)
+
+    def at(w: np.ndarray) -> Risk:
+        p, u = curves(w)
+        return _sum((0.5, p.risk(True)), (0.5, u.risk(False)), w=w, decay=decay)
+
+    now, step = at(w), 1.0
+    for _ in range(rounds):
+        move = np.linalg.solve(now[2], now[1])
+        if now[1] @ move < 1e-5:
+            break
+        new = at(w - step * move)
+        if new[0] <= now[0]:
+            w, now, step = w - step * move, new, 1.0
+        else:
+            step /= 2
+    return w
+
+
+def nn_pu(curves: Curves, prior: float, width: int, decay: float = DECAY, rounds: int = 80) -> tuple[np.ndarray, float]:
+    """Minimises prior * R_p(+) + max(0, bracket), bracket = R_u(-) - prior * R_p(-), with the logistic loss and decay.
+
+    With this loss both prior * R_p(+) and its sum with the bracket are convex, so the risk is the greater of two convex functions. At its
+    least, prior * R_p(+) + share * bracket is least too, for some share in [0, 1]: 1 if the bracket is positive there, else
+    that at which the bracket is 0. Newton steps on the weights; whenever they have settled, one on the logarithm of the share, inside the
+    interval that the brackets' signs leave. Returns the weights and the bracket.
     """
-    p1, u1 = (np.concatenate([x, np.ones((len(x), 1))], axis=1) for x in (p, u))
-
-    def gradient(w: np.ndarray, b: float) -> np.ndarray:
-        zp, zu = p @ w + b, u @ w + b
-        sp, su = _sigmoid(zp), _sigmoid(zu)
-        bracket = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        positive = -prior * (1 - sp) @ p1 / len(p1)
-        negative = su @ u1 / len(u1) - prior * sp @ p1 / len(p1)
-        return positive + negative if bracket >= 0 else -negative
-
-    return descend(gradient, p.shape[1], rounds)
-
-
-def separate(p: np.ndarray, u: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """A logistic model of positives against unlabelled, both sides weighing the same."""
-    p1, u1 = (np.concatenate([x, np.ones((len(x), 1))], axis=1) for x in (p, u))
-
-    def gradient(w: np.ndarray, b: float) -> np.ndarray:
-        return -(1 - _sigmoid(p @ w + b)) @ p1 / (2 * len(p1)) + _sigmoid(u @ w + b) @ u1 / (2 * len(u1))
-
-    return descend(gradient, p.shape[1], rounds)
+    w, share, low, high, step = np.zeros(width), 0.3, 0.0, 1.0, 1.0
+
+    def at(w: np.ndarray) -> tuple[Risk, Risk]:
+        p, u = curves(w)
+        good, bad, whole = p.risk(True), p.risk(False), u.risk(False)
+        bracket = tuple(whole[k] - prior * bad[k] for k in range(3))
+        return (prior * good[0], prior * good[1], prior * good[2]), bracket
+
+    def total(now: tuple[Risk, Risk], w: np.ndarray) -> Risk:
+        return _sum((1.0, now[0]), (share, now[1]), w=w, decay=decay)
+
+    now = at(w)
+    for _ in range(rounds):
+        value, slope, bend = total(now, w)
+        move = np.linalg.solve(bend, slope)
+        if slope @ move > 1e-5:
+            new = at(w - step * move)
+            if total(new, w - step * move)[0] <= value:
+                w, now, step = w - step * move, new, 1.0
+            else:
+                step /= 2
+            continue
+        bracket = now[1][0]
+        low, high = (share, high) if bracket > 0 else (low, share)
+        if abs(bracket) < 1e-3 or bracket > 0 and share == 1.0 or high - low < 1e-4:
+            break
+        fall = share * (now[1][1] @ np.linalg.solve(bend, now[1][1]))
+        to = share * math.exp(min(3.0, max(-3.0, bracket / fall))) if fall > 0 else 0.0
+        share = 1.0 if bracket > 0 and to >= 1.0 else to if low < to < high else (low + high) / 2
+    return w, now[1][0]
 
 
 def class_prior(unlabelled: np.ndarray, positive: np.ndarray) -> float:
@@ -120,41 +191,59 @@ def class_prior(unlabelled: np.ndarray, positive: np.ndarray) -> float:
     return float(np.clip((u[wide] / p[wide]).min(), 0.02, 0.98)) if wide.any() else 0.5
 
 
-def fit(rows: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
-    """``rows``: ``id``, ``x`` (features) and ``good`` (true for a trusted positive, false for unlabelled), of all documents that
-    may be learned from. The fit takes about ``positives`` and ``unlabelled`` rows by hash; the class prior takes the
-    scores of all rows. None without any positive or unlabelled row.
+def summed(rows: DataFrame, sums: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """What ``sums`` gives for the features and flags of some rows, added up over all rows of ``rows``: in each task, then among the tasks
+    by their number modulo MEET, and of these rows on the driver."""
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(float)
+                total = total + sums(x, np.asarray(batch.column(0)).astype(bool))
+        if not isinstance(total, float):
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % MEET], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["k", "v"])
+
+    def some(t: pa.Table) -> pa.Table:
+        return pa.table({"v": pa.array([sum(map(np.frombuffer, t.column("v").to_pylist())).tobytes()], pa.binary())})
+
+    made = rows.select("good", "x").mapInArrow(one, "k int, v binary").groupBy("k").applyInArrow(some, "v binary").toArrow()
+    return sum(map(np.frombuffer, made.column(0).to_pylist()))
+
+
+def fit(rows: DataFrame, decay: float = DECAY) -> Model | None:
+    """``rows``: ``x`` (features) and ``good`` (true for a trusted positive), of all documents that may be learned from.
+
+    All rows count as unlabelled, and all of them, with all positives, are in every sum: of features' means and deviations (of positives), of
+    the class prior, and of each Newton step's risk, slope and curvature, which executors add up. None without any positive row.
     """
-    totals = rows.agg(F.count_if("good").alias("p"), F.count("*").alias("u")).first()
-    if not totals["p"] or not totals["u"]:
+    n = len(FEATURES)
+    totals = summed(rows, lambda x, good: np.concatenate([[good.sum()], x[good].sum(axis=0), (x[good] ** 2).sum(axis=0)]))
+    if not isinstance(totals, np.ndarray) or not totals[0]:
         return None
-    draw = F.pmod(F.xxhash64(F.lit("quality sample"), "id", "x"), F.lit(1 << 30)) / float(1 << 30)
-    one = rows.where(F.col("good") & (draw < positives / totals["p"])).select("x").toArrow()
-    two = rows.where(draw < unlabelled / totals["u"]).select("x").toArrow()
-    p, u = (np.array(t.column(0).to_pylist(), dtype=float).reshape(-1, len(FEATURES)) for t in (one, two))
-    if not len(p) or not len(u):
-        return None
-    mean, scale = p.mean(axis=0), p.std(axis=0) + 1e-3
-    ps, us = shape(p, mean, scale), shape(u, mean, scale)
-    first = Model(mean, scale, *separate(ps, us), prior=0.5)
-    binned = _scored(rows, first).withColumn("bin", F.least(F.floor(F.col("score") * SCORE_BINS), F.lit(SCORE_BINS - 1)))
-    counts = np.zeros((2, SCORE_BINS))
-    for r in binned.groupBy("bin").agg(F.count("*").alias("u"), F.count_if("good").alias("p")).collect():
-        counts[:, r["bin"]] = r["u"], r["p"]
-    prior = class_prior(*counts)
-    return Model(mean, scale, *nn_pu(ps, us, prior), prior=prior)
+    mean = totals[1 : n + 1] / totals[0]
+    scale = np.sqrt(np.maximum(totals[n + 1 :] / totals[0] - mean**2, 0)) + 1e-3
+    width = 3 * n + 1
 
+    def curves(w: np.ndarray) -> tuple[Curve, Curve]:
+        def sums(x: np.ndarray, good: np.ndarray) -> np.ndarray:
+            wide = np.concatenate([shape(x, mean, scale), np.ones((len(x), 1))], axis=1)
+            return np.concatenate([Curve.of(wide[good], w).flat(), Curve.of(wide, w).flat()])
 
-def _scored(rows: DataFrame, model: Model) -> DataFrame:
-    """``good`` and the score of each row, from its features."""
-    import pyarrow as pa
+        p, u = np.split(summed(rows, sums), 2)
+        return Curve.from_flat(p, width), Curve.from_flat(u, width)
+
+    first = separate(curves, width, decay)
+    model = Model(mean, scale, first[:-1], float(first[-1]), prior=0.5)
+    counts = summed(rows, lambda x, good: _binned(model.scores(x), good)).reshape(2, SCORE_BINS)
+    prior = class_prior(*counts)
+    w, _ = nn_pu(curves, prior, width, decay)
+    return Model(mean, scale, w[:-1], float(w[-1]), prior=prior)
 
-    def run(batches):
-        for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x))], names=["good", "score"])
 
-    return rows.select("good", "x").mapInArrow(run, "good boolean, score double")
+def _binned(scores: np.ndarray, good: np.ndarray) -> np.ndarray:
+    at = np.minimum((scores * SCORE_BINS).astype(int), SCORE_BINS - 1)
+    return np.concatenate([np.bincount(at, minlength=SCORE_BINS), np.bincount(at[good], minlength=SCORE_BINS)]).astype(float)
 
 
 def featured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,15 +262,14 @@ def classify(df: DataFrame, labels: DataFrame, parts: int = 4, held_out: int = 2
     x = cut(featured(df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))))
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().withColumn("good", F.lit(True))
     outside = x.where(fold(F.col("doc_id"), parts) != held_out)
-    rows = cut(outside.join(good, "doc_id", "left").select(F.col("doc_id").alias("id"), "x", F.coalesce("good", F.lit(False)).alias("good")))
+    rows = cut(outside.join(good, "doc_id", "left").select("x", F.coalesce("good", F.lit(False)).alias("good")))
     model = fit(rows)
+    drop(rows)
     return apply(x, model).withColumn("held_out", fold(F.col("doc_id"), parts) == held_out)
 
 
 def apply(x: DataFrame, model: Model | None) -> DataFrame:
-    import pyarrow as pa
-
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             s = model.scores(v) if model else np.full(batch.num_rows, 0.5)
