@@ -18,7 +18,7 @@ from setweave.llm.segments import TAIL
 
 VOCABULARY = "word_bpe_49k.json"
 #: Characters of the chunks of a huge text, which is any of more than one chunk, and of their overlaps.
-CHUNK, OVERLAP = 16_384, 512
+CHUNK, OVERLAP = 32_768, 512
 LIMIT = 2048
 #: Distinct words that a worker keeps counts of; beyond that it starts anew.
 CACHED = 1_000_000
@@ -92,37 +92,40 @@ def splice_count(text: str, tokenizer, kind: str | None, chunk: int = CHUNK, ove
         return len(tokenizer.encode(text, add_special_tokens=False))
     while True:
         stop, back = min(n, start + chunk), overlap
-        offsets = [start + a for a, _ in tokenizer.encode(text[start:stop], add_special_tokens=False).offsets]
-        if stop == n:
-            return total + len(offsets)
-        while True:
-            at = _boundary(text, offsets, max(start + 1, stop - back), stop, tokenizer, kind)
+        made = tokenizer.encode(text[start:stop], add_special_tokens=False)
+        while stop < n:
+            at = _boundary(text, made, start, max(start + 1, stop - back), stop, tokenizer, kind)
             if at is not None:
-                total += bisect_left(offsets, at)
-                start = at
+                total += at[1]
+                start = at[0]
                 break
             if stop - back > start:
                 back *= 2
                 continue
             stop = min(n, start + 2 * (stop - start))
-            offsets = [start + a for a, _ in tokenizer.encode(text[start:stop], add_special_tokens=False).offsets]
-            back = overlap
-            if stop == n:
-                return total + len(offsets)
+            made, back = tokenizer.encode(text[start:stop], add_special_tokens=False), overlap
+        else:
+            return total + len(made)
 
 
 _CUT = {"space": re.compile(r"[ \n]"), "word": re.compile(r" (?=\S)")}
 
 
-def _boundary(text: str, offsets: list[int], low: int, stop: int, tokenizer, kind: str) -> int | None:
-    """The first stable boundary in [low, stop) from which on both encodings agree up to the last one."""
+def _starts(made, base: int, low: int, high: int) -> tuple[int, list[int]]:
+    """The number of the first token that begins at ``low`` or later, and where those begin that do before ``high``."""
+    begin = lambda i: base + made.token_to_chars(i)[0]
+    first = bisect_left(range(len(made)), low, key=begin)
+    return first, [begin(i) for i in range(first, bisect_left(range(len(made)), high, lo=first, key=begin))]
+
+
+def _boundary(text: str, made, start: int, low: int, stop: int, tokenizer, kind: str) -> tuple[int, int] | None:
+    """The first stable boundary in [low, stop) from which on both encodings agree up to the last one, and the tokens before it."""
     cuts = [m.start() for m in _CUT[kind].finditer(text, low, stop)]
     if len(cuts) < 2:
         return None
-    first, last = cuts[0], cuts[-1]
-    after = [first + a for a, _ in tokenizer.encode(text[first:stop], add_special_tokens=False).offsets]
-    agreed = offsets[bisect_left(offsets, first) : bisect_left(offsets, last)] == after[: bisect_left(after, last)]
-    return first if agreed else None
+    after = tokenizer.encode(text[cuts[0] : stop], add_special_tokens=False)
+    first, own = _starts(made, start, cuts[0], cuts[-1])
+    return (cuts[0], first) if own == _starts(after, cuts[0], cuts[0], cuts[-1])[1] else None
 
 
 class Counter:
