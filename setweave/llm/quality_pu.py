@@ -166,7 +166,7 @@ def nn_pu(curves: Curves, prior: float, width: int, decay: float = DECAY, rounds
     for _ in range(rounds):
         value, slope, bend = total(now, w)
         move = np.linalg.solve(bend, slope)
-        if slope @ move > 1e-5:
+        if slope @ move > 1e-5 * share:
             new = at(w - step * move)
             if total(new, w - step * move)[0] <= value:
                 w, now, step = w - step * move, new, 1.0
@@ -175,11 +175,11 @@ def nn_pu(curves: Curves, prior: float, width: int, decay: float = DECAY, rounds
             continue
         bracket = now[1][0]
         low, high = (share, high) if bracket > 0 else (low, share)
-        if abs(bracket) < 1e-3 or bracket > 0 and share == 1.0 or high - low < 1e-4:
+        if abs(bracket) < 1e-3 or bracket > 0 and share == 1.0 or high - low < 1e-3 * high or high < 1e-9:
             break
         fall = share * (now[1][1] @ np.linalg.solve(bend, now[1][1]))
         to = share * math.exp(min(3.0, max(-3.0, bracket / fall))) if fall > 0 else 0.0
-        share = 1.0 if bracket > 0 and to >= 1.0 else to if low < to < high else (low + high) / 2
+        share = 1.0 if bracket > 0 and to >= 1.0 else to if low < to < high else math.sqrt(low * high) if low else high / 10
     return w, now[1][0]
 
 

@@ -306,6 +306,62 @@ def test_classifiers(labelled):
     assert toxicity.keep_civil(df, labels).columns == df.columns
 
 
+def risk(p, u, prior, decay):
+    """The non-negative risk of weights (the last one is the bias), term by term."""
+
+    def value(w):
+        zp, zu = p @ w, u @ w
+        bracket = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        return prior * np.logaddexp(0, -zp).mean() + max(0.0, bracket) + decay / 2 * (w[:-1] ** 2).sum()
+
+    return value
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.6, 0.9])
+def test_least_risk(prior):
+    """Slopes and curvatures against differences; and no step from the result lowers the non-negative risk."""
+    rng = np.random.default_rng(4)
+    good, bad = rng.normal(1, 1, (400, 3)), rng.normal(-1, 1, (300, 3))
+    one = lambda x: np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    p, u = one(good[:150]), one(np.concatenate([good, bad]))
+    curves = lambda w: (quality_pu.Curve.of(p, w), quality_pu.Curve.of(u, w))
+    w = rng.normal(size=4)
+    for side, x in enumerate((p, u)):
+        for positive in (True, False):
+            _, slope, bend = curves(w)[side].risk(positive)
+            for k, e in enumerate(np.eye(4) * 1e-4):
+                (a, sa, _), (b, sb, _) = (quality_pu.Curve.of(x, w + d).risk(positive) for d in (e, -e))
+                assert abs((a - b) / 2e-4 - slope[k]) < 1e-6 and np.abs((sa - sb) / 2e-4 - bend[k]).max() < 1e-6
+    w, bracket = quality_pu.nn_pu(curves, prior, 4)
+    value = risk(p, u, prior, quality_pu.DECAY)
+    steps = [rng.normal(size=4) * 10 ** rng.uniform(-3, 0) for _ in range(500)]
+    assert bracket > -0.01 and min(value(w + d) for d in steps) > value(w) - 2e-3
+    both = quality_pu.separate(curves, 4)
+    least = lambda w: np.logaddexp(0, -(p @ w)).mean() / 2 + np.logaddexp(0, u @ w).mean() / 2 + quality_pu.DECAY / 2 * (w[:-1] ** 2).sum()
+    assert min(least(both + d) for d in steps) > least(both) - 1e-4
+
+
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.9])
+def test_known_prior(spark, share):
+    """Documents of which a known share is good, from word statistics that overlap; the prior comes near to it."""
+    rng, n = np.random.default_rng(int(100 * share)), 1500
+    good = rng.random(n) < share
+    x = rng.normal(0, 1, (n, len(quality_pu.FEATURES))).astype(np.float32)
+    x[:, 0] += np.where(good, 2.5, -2.5)
+    rows = [(v.tolist(), bool(g and i % 2)) for i, (v, g) in enumerate(zip(x, good, strict=True))]
+    model = quality_pu.fit(spark.createDataFrame(rows, "x array<float>, good boolean"))
+    assert abs(model.prior - good.mean()) < 0.07 and ((model.scores(x) >= 0.5) == good).mean() > 0.97
+
+
+def test_fit_takes_all_rows(spark):
+    """Sums over the executors' rows are those over all rows at once."""
+    rng = np.random.default_rng(8)
+    x, good = rng.normal(0, 1, (900, 5)).astype(np.float32), rng.random(900) < 0.4
+    df = spark.createDataFrame([(v.tolist(), bool(g)) for v, g in zip(x, good, strict=True)], "x array<float>, good boolean").repartition(7)
+    made = quality_pu.summed(df, lambda a, b: np.concatenate([[len(a)], a[b].sum(axis=0)]))
+    assert np.allclose(made, np.concatenate([[900], x[good].astype(float).sum(axis=0)]))
+
+
 def test_only_near_copies_count_once(spark):
     """Long texts of the same common words: their three least word hashes are the same, but they are no copies."""
     rng, rows = random.Random(9), []
@@ -330,6 +386,24 @@ def test_language_id(labelled):
     assert [r.lang_pred for r in made if r.doc_id is None] == ["und"]
 
 
+def test_nearest_centroids(labelled):
+    """Predictions against dense cosines of TF-IDF rows, counted n-gram by n-gram."""
+    df, _ = labelled
+    model = language_id.fit(df)
+    rows = df.where("text IS NOT NULL").limit(40).collect()
+    for r, got in zip(rows, language_id.identify(df, model).where("doc_id IS NOT NULL").limit(40).collect(), strict=True):
+        low = "".join(c if c.isalpha() else " " for c in r.text.lower()) + " "
+        x = np.zeros(language_id.BINS)
+        for n in (2, 3):
+            for g, times in Counter(low[i : i + n] for i in range(len(low) - n + 1)).items():
+                x[language_id._bins(language_id._codes(g), language_id.BINS)[n - 2][0]] += times
+        x = np.log1p(x) * model.idf
+        cosines = model.centroids @ x / np.linalg.norm(x)
+        best = [max(cosines[model.owner == k]) for k in range(len(model.languages))]
+        assert got.doc_id == r.doc_id and got.lang_pred == model.languages[int(np.argmax(best))] and abs(got.cosine - max(best)) < 1e-5
+        assert abs(got.score - 1 / np.exp(language_id.SHARPNESS * (np.array(best) - max(best))).sum()) < 1e-4
+
+
 def test_n_grams_of_long_texts():
     rng = random.Random(2)
     text = "".join(rng.choice("abc dé\nİΣx") for _ in range(5000))
@@ -390,6 +464,25 @@ def test_obfuscation_with_other_gaps(restorer):
         assert toxicity._SINGLES.search(text) or not toxicity._SPACED.search(text), text
 
 
+def test_models_on_odd_rows(spark, labelled):
+    """Very long and empty texts, repeated rows, null ids, and columns that are named as the results are."""
+    df, labels = labelled
+    long = " ".join(r.text for r in df.limit(60).collect() if r.text) * 12
+    odd = [(1, long), (1, long), (2, ""), (2, ""), (3, None), (None, long), (4, "x" * 300_000), (5, " \n" * 5000)]
+    rows = spark.createDataFrame([(i, t, 0, "s", "l", "h", 9, "x") for i, t in odd], "doc_id long, text string, score int, lang_pred string, copy string, keys string, toxic int, x string")
+    model, spoken = toxicity.fit(df, toxicity.learnable(df, labels)), language_id.fit(df)
+    for made in (toxicity.score(rows, model), language_id.identify(rows, spoken), quality_pu.classify(rows, labels)):
+        got = sorted(made.collect(), key=str)
+        assert len(got) == len(odd) and all(0 <= r.score <= 1 for r in got)
+        by = defaultdict(set)
+        for r in got:
+            by[r.doc_id].add(r.score)
+        assert len(by[1]) == len(by[2]) == 1
+    both = rows.unionByName(df.select("doc_id", "text"), allowMissingColumns=True)
+    assert toxicity.fit(both, labels.unionAll(labels)).weights and quality_pu.classify(both, labels.unionAll(labels)).count() == len(odd) + 401
+    assert {r.lang_pred for r in language_id.identify(rows, spoken).where("doc_id IN (2, 3, 5)").collect()} == {"und"}
+
+
 def test_empty_tables(spark, docs, labelled):
     empty, labels = docs.limit(0), labelled[1].limit(0)
     assert bpe.encode(empty).count() == token_counts.count(empty).count() == quality_rules.rules(empty).count() == mixing.copies(empty).count() == 0
@@ -397,6 +490,43 @@ def test_empty_tables(spark, docs, labelled):
     assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == language_id.identify(empty, language_id.fit(empty)).count() == 0
     assert arrow_output.read(arrow_output.write(empty, f"{shared_dir(spark)}/arrow-empty")).count() == 0
     assert vector_search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    for made in (near_dedup.keep_first(empty), quality_rules.keep_good(empty), toxicity.keep_civil(empty, labels), mixing.mix(empty)):
+        assert made.columns == docs.columns and made.count() == 0
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("n", [255, 256, 257, 5000])
+def test_bpe_of_long_pieces(n):
+    """Pieces around the width of the matrices, of one letter, of few, and of many."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(bpe.RANKS), "rb"))}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoder, rng = bpe.Encoder(P.path(bpe.RANKS), P.PATTERN), random.Random(n)
+    some = ["a" * n, *["".join(rng.choice(kinds) for _ in range(n)) for kinds in ("ab", "etaoinshr", "日本語é")]]
+    ids, counts = encoder(some)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [own.encode_ordinary(t) for t in some]
+
+
+def test_bpe_by_another_pattern(docs):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(bpe.RANKS), "rb"))}
+    own = tiktoken.Encoding("own", pat_str=r"\w+\s*|\W", mergeable_ranks=ranks, special_tokens={})
+    for r in bpe.encode(docs, pattern=r"\w+\s*|\W").collect():
+        text = "a null id" if r.doc_id is None else texts()[r.doc_id] or ""
+        assert np.frombuffer(r.ids, "<u4").tolist() == own.encode_ordinary(text)
+
+
+def test_arrow_output_of_odd_ids(spark):
+    rows = [(None, "b c"), (None, "a"), (3, "x y"), (3, "x"), (3, "x"), (1, None), (-5, "long " * 50_000)]
+    made = arrow_output.write(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, start int"), f"{shared_dir(spark)}/arrow-odd", length=64, rows=4)
+    got = sorted(arrow_output.read(made).collect(), key=lambda r: r.start)
+    tokenizer = token_counts.load(P.path(arrow_output.VOCABULARY))
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    assert [r.doc_id for r in got] == [i for i, _ in want]
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in got] == [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for _, t in want]
 
 
 def test_pipeline_names():
