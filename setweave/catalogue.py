@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setweave.functions import scalar as S
-from setweave.operators.relation import Rel, max_of, mean_of, median_of, min_of, sum_of
+from setweave.operators.relation import Rel, down, max_of, mean_of, median_of, min_of, sum_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-#: Columns that identify the rows of a table, so that it is a set as it is.
-UNIQUE = {"region", "nation", "customer", "supplier", "part", "orders", "events"}
+#: Column that identifies the rows of a table, so that it is a set as it is.
+KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id"}
 
 
 def query(sql: str | None = None):
@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 
 def rel(spark: SparkSession, sf: str, name: str, **renamed: str) -> Rel:
-    return Rel.parquet(spark, f"{sf}/{name}.parquet", name in UNIQUE).rename(**renamed)
+    return Rel.parquet(spark, f"{sf}/{name}.parquet", [[KEYS[name]]] if name in KEYS else False).rename(**renamed)
 
 
 def customers(spark: SparkSession, sf: str) -> Rel:
@@ -46,7 +46,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Orders joined with customers, folded by market segment, ranked by revenue."""
     orders = rel(spark, sf, "orders", o_custkey="custkey").project("o_orderkey", "custkey", "o_totalprice")
     joined = orders.join(customers(spark, sf).project("custkey", "c_mktsegment"))
-    return joined.group("c_mktsegment", revenue=F.round(sum_of("o_totalprice"), 2)).rank(place=F.desc("revenue")).df
+    return joined.group("c_mktsegment", revenue=F.round(sum_of("o_totalprice"), 2)).rank(place=down("revenue")).df
 
 
 _SEG = "SELECT c_mktsegment, round(sum(o_totalprice), 2) AS revenue FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1"
@@ -229,12 +229,12 @@ def rank_global(spark, sf):
 
 @query("SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) - 1 AS DOUBLE) AS r FROM orders")
 def rank_partitioned(spark, sf):
-    return rel(spark, sf, "orders").rank(by=["o_custkey"], r=F.desc("o_totalprice")).project("o_orderkey", "r").df
+    return rel(spark, sf, "orders").rank(by=["o_custkey"], r=down("o_totalprice")).project("o_orderkey", "r").df
 
 
 @query("SELECT * FROM (SELECT o_orderkey, CAST(rank() OVER (ORDER BY o_totalprice DESC) - 1 AS DOUBLE) AS r FROM orders) WHERE r < 10")
 def top_k(spark, sf):
-    return rel(spark, sf, "orders").top(10, "r", F.desc("o_totalprice")).project("o_orderkey", "r").df
+    return rel(spark, sf, "orders").top(10, "r", down("o_totalprice")).project("o_orderkey", "r").df
 
 
 @query("SELECT string_agg(n_name, ',' ORDER BY n_regionkey, n_name) AS names FROM nation")

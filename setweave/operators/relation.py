@@ -1,19 +1,33 @@
-"""Relations: DataFrames with set semantics, a heading of attribute names, and knowledge of whether rows are unique."""
+"""Relations: DataFrames with set semantics, a heading of attribute names, and knowledge of what identifies rows."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Ranges into which distinct keys are dealt for a rank over a whole relation.
+RANGES = 128
 
 
 class RelationError(ValueError):
     """A heading doesn't fit, or a value is missing where one is needed."""
 
 
+def _least(keys: Iterable[Iterable[str]]) -> frozenset[frozenset[str]]:
+    """The keys that hold no other, 8 at most (knowledge that may be given up)."""
+    out: list[frozenset[str]] = []
+    for k in sorted({frozenset(k) for k in keys}, key=lambda k: (len(k), sorted(k))):
+        if not any(o <= k for o in out):
+            out.append(k)
+    return frozenset(out[:8])
+
+
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
@@ -26,14 +40,56 @@ def _fields(ddl: str) -> list[str]:
     return [x.strip().split(" ")[0] for x in flat.split(",")]
 
 
+@dataclass(frozen=True)
+class Key:
+    """What to order by, and whether it falls."""
+
+    column: Column
+    down: bool = False
+
+    def order(self) -> Column:
+        return self.column.desc() if self.down else self.column.asc()
+
+
+def down(c: Column | str) -> Key:
+    return Key(_expr(c), True)
+
+
+def _expr(c: Column | str) -> Column:
+    return F.expr(c) if isinstance(c, str) else c
+
+
+def _ordered(c: Column, kind: T.DataType) -> Column | None:
+    """A number that never falls where ``c`` rises, for ranges; None if there is none for the type."""
+    if isinstance(kind, T.NumericType):
+        return c.cast("double")
+    if isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType):
+        return c.cast("timestamp").cast("double")
+    if isinstance(kind, T.BooleanType):
+        return c.cast("double")
+    if isinstance(kind, T.StringType):
+        return F.conv(F.hex(F.substring(F.rpad(F.encode(c, "utf-8"), 6, F.lit(b"\0")), 1, 6)), 16, 10).cast("double")
+    if isinstance(kind, T.StructType) and len(kind):
+        return _ordered(c[kind[0].name], kind[0].dataType)
+    if isinstance(kind, T.ArrayType):
+        return _ordered(F.get(c, F.lit(0)), kind.elementType)
+    return None
+
+
 class Rel:
-    """A relation. ``unique`` says that the rows are known to differ, so that no distinct is needed to make them a set.
+    """A relation. ``keys`` are sets of attributes of which each is known to differ in all rows; with any, no distinct is
+    needed to make the rows a set. ``unique`` may be given as such sets, or as True: all attributes together.
 
     Relations without attributes are ``true`` (one empty row) and ``false`` (none).
     """
 
-    def __init__(self, df: DataFrame, unique: bool = False):
-        self._raw, self.unique = df, unique
+    def __init__(self, df: DataFrame, unique: bool | Iterable[Iterable[str]] = False):
+        self._raw = df
+        self.keys = _least([df.columns] if unique is True else unique or ())
+
+    @property
+    def unique(self) -> bool:
+        return bool(self.keys)
 
     # sources
     @classmethod
@@ -45,7 +101,7 @@ class Rel:
         return cls(spark.createDataFrame(list(rows), heading if isinstance(heading, str) else names))
 
     @classmethod
-    def parquet(cls, spark: SparkSession, path: str, unique: bool = False) -> Rel:
+    def parquet(cls, spark: SparkSession, path: str, unique: bool | Iterable[Iterable[str]] = False) -> Rel:
         return cls(spark.read.parquet(path), unique)
 
     @classmethod
@@ -71,13 +127,17 @@ class Rel:
         if missing := set(names) - set(self.names):
             raise RelationError(f"no attributes {sorted(missing)} in {self.names}")
 
+    def _without(self, names: Iterable[str]) -> list[frozenset[str]]:
+        """The keys that none of the names is in."""
+        return [k for k in self.keys if not k & set(names)]
+
     # projection, filter, map
     def where(self, pred: Column | str) -> Rel:
-        return Rel(self._raw.where(pred), self.unique)
+        return Rel(self._raw.where(pred), self.keys)
 
     def project(self, *names: str) -> Rel:
         self._need(names)
-        return Rel(self._raw.select(*names), self.unique and set(names) == set(self.names))
+        return Rel(self._raw.select(*[F.col(f"`{n}`") for n in names]), [k for k in self.keys if k <= set(names)])
 
     def without(self, *names: str) -> Rel:
         self._need(names)
@@ -86,17 +146,19 @@ class Rel:
     def rename(self, **new: str) -> Rel:
         """``old=new`` names."""
         self._need(list(new))
-        return Rel(self._raw.withColumnsRenamed(new), self.unique)
+        return Rel(self._raw.withColumnsRenamed(new), [[new.get(n, n) for n in k] for k in self.keys])
 
     def map(self, injective: bool = False, **columns: Column | str) -> Rel:
-        """A relation of computed attributes; a set, so rows that fall together are one."""
-        made = [(F.expr(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()]
-        return Rel(self._raw.select(*made), self.unique and injective)
+        """A relation of computed attributes; a set, so rows that fall together are one. A name alone stands for that
+        attribute as it is, and keys whose attributes all stand so stay keys."""
+        made = [(F.col(f"`{c}`") if isinstance(c, str) and c in self.names else _expr(c)).alias(n) for n, c in columns.items()]
+        as_is = {c: n for n, c in columns.items() if isinstance(c, str) and c in self.names}
+        kept = [[as_is[n] for n in k] for k in self.keys if k <= set(as_is)]
+        return Rel(self._raw.select(*made), [list(columns), *kept] if self.unique and injective else kept)
 
     def merge(self, **columns: Column | str) -> Rel:
         """Adds or replaces attributes; the right side wins."""
-        made = {n: F.expr(c) if isinstance(c, str) else c for n, c in columns.items()}
-        return Rel(self._raw.withColumns(made), self.unique and not set(made) & set(self.names))
+        return Rel(self._raw.withColumns({n: _expr(c) for n, c in columns.items()}), self._without(columns))
 
     def choose(self, *cases: tuple[Column, Column], name: str = "value") -> Rel:
         """Rows that any condition holds for, mapped by the first that does."""
@@ -110,7 +172,7 @@ class Rel:
 
     def without_row(self, *values) -> Rel:
         kept = reduce(lambda a, b: a & b, [same(self._raw[n], F.lit(v)) for n, v in zip(self.names, values, strict=True)])
-        return Rel(self._raw.where(~kept), self.unique)
+        return Rel(self._raw.where(~kept), self.keys)
 
     # joins
     def _common(self, other: Rel) -> tuple[list[str], list[str], list[str]]:
@@ -123,18 +185,21 @@ class Rel:
         if not common:
             some = other._raw.limit(1).select(F.lit(1).alias("__some"))
             return self._raw.join(some, how=how) if how == "left_semi" else self._raw.join(some, F.lit(True), how)
-        keys = other._raw.select(*[F.col(c).alias(f"__r_{c}") for c in common])
-        on = reduce(lambda a, b: a & b, [same(self._raw[c], keys[f"__r_{c}"]) for c in common])
+        keys = other._raw.select(*[F.col(f"`{c}`").alias(f"__r_{c}") for c in common])
+        on = reduce(lambda a, b: a & b, [same(self._raw[f"`{c}`"], keys[f"`__r_{c}`"]) for c in common])
         return self._raw.join(keys, on, how)
 
     def join(self, other: Rel) -> Rel:
-        """Natural join; without common attributes, all pairs."""
+        """Natural join; without common attributes, all pairs. Keys of both sides together are one, and a side's own
+        stay if the common attributes hold a key of the other."""
         left, common, right = self._common(other)
+        keys = [a | b for a in self.keys for b in other.keys]
+        keys += [k for mine, theirs in ((self.keys, other.keys), (other.keys, self.keys)) if any(k <= set(common) for k in theirs) for k in mine]
         if not common:
-            return Rel(self._raw.crossJoin(other._raw), self.unique and other.unique)
+            return Rel(self._raw.crossJoin(other._raw), keys)
         theirs = other._raw.withColumnsRenamed({c: f"__r_{c}" for c in common})
-        on = reduce(lambda a, b: a & b, [same(self._raw[c], theirs[f"__r_{c}"]) for c in common])
-        return Rel(self._raw.join(theirs, on).select(*self.names, *right), self.unique and other.unique)
+        on = reduce(lambda a, b: a & b, [same(self._raw[f"`{c}`"], theirs[f"`__r_{c}`"]) for c in common])
+        return Rel(self._raw.join(theirs, on).select(*[F.col(f"`{n}`") for n in (*self.names, *right)]), keys)
 
     def compose(self, other: Rel) -> Rel:
         left, _, right = self._common(other)
@@ -150,7 +215,7 @@ class Rel:
         return Rel(self._matched(other, "left_semi").select().limit(1), True)
 
     def left_match(self, other: Rel) -> Rel:
-        return Rel(self._matched(other, "left_semi"), self.unique)
+        return Rel(self._matched(other, "left_semi"), self.keys)
 
     def right_match(self, other: Rel) -> Rel:
         return other.left_match(self)
@@ -164,7 +229,7 @@ class Rel:
 
     def anti(self, other: Rel) -> Rel:
         """Rows without a partner: one anti join."""
-        return Rel(self._matched(other, "left_anti"), self.unique)
+        return Rel(self._matched(other, "left_anti"), self.keys)
 
     # set operators
     def _aligned(self, other: Rel) -> tuple[DataFrame, DataFrame]:
@@ -176,14 +241,20 @@ class Rel:
         return Rel(reduce(lambda a, b: a.unionByName(b), [o._aligned(self)[0].select(*self.names) for o in (self, *others)]))
 
     def intersect(self, *others: Rel) -> Rel:
+        if self.unique:
+            return reduce(lambda a, o: a.left_match(Rel(a._aligned(o)[1])), others, self)
         return Rel(reduce(lambda a, b: a.intersect(b), [self._aligned(o)[1] for o in (self, *others)]), True)
 
     def minus(self, other: Rel) -> Rel:
         a, b = self._aligned(other)
-        return Rel(a.subtract(b), True)
+        return self.anti(Rel(b)) if self.unique and self.names else Rel(a.subtract(b), True)
 
     def symmetric(self, other: Rel) -> Rel:
-        return Rel(self.minus(other)._raw.unionByName(other.minus(self)._raw), True)
+        """Rows of one side only: both sides marked, and one grouped aggregation."""
+        a, b = self._aligned(other)
+        both = a.withColumn("__s", F.lit(1)).unionByName(b.withColumn("__s", F.lit(2)))
+        names = [F.col(f"`{n}`") for n in self.names]
+        return Rel(both.groupBy(*names).agg(F.bit_or("__s").alias("__s")).where("__s <> 3").select(*names), True)
 
     def subset(self, other: Rel) -> bool:
         return self.minus(other)._raw.isEmpty()
@@ -192,7 +263,7 @@ class Rel:
         return self.subset(other) and not other.subset(self)
 
     def equals(self, other: Rel) -> bool:
-        return set(self.names) == set(other.names) and self.subset(other) and other.subset(self)
+        return set(self.names) == set(other.names) and self.symmetric(other)._raw.isEmpty()
 
     def has(self, *values) -> bool:
         return not Rel(self._raw, True).intersect(Rel(self.spark.createDataFrame([tuple(values)], self._raw.schema), True))._raw.isEmpty()
@@ -221,13 +292,13 @@ class Rel:
     def group(self, *keys: str, **folds: Column) -> Rel:
         """Nest by ``keys`` and fold each group, as one grouped aggregation; groups are never empty."""
         self._need(keys)
-        return Rel(self.df.groupBy(*keys).agg(*[c.alias(n) for n, c in folds.items()]), True)
+        return Rel(self.df.groupBy(*keys).agg(*[c.alias(n) for n, c in folds.items()]), [keys])
 
     def nest(self, *names: str, into: str) -> Rel:
         """Groups by the other attributes; ``into`` is the sorted set of the tuples of ``names``."""
         self._need(names)
         keys = [n for n in self.names if n not in names]
-        return Rel(self._raw.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct(*sorted(names)))).alias(into)), True)
+        return Rel(self._raw.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct(*sorted(names)))).alias(into)), [keys])
 
     def nest_by(self, *keys: str, into: str) -> Rel:
         if not set(keys) < set(self.names):
@@ -238,7 +309,7 @@ class Rel:
         """A set of plain values in place of the attribute."""
         self._need([name])
         keys = [n for n in self.names if n != name]
-        return Rel(self._raw.groupBy(*keys).agg(F.sort_array(F.collect_set(name)).alias(name)), True)
+        return Rel(self._raw.groupBy(*keys).agg(F.sort_array(F.collect_set(name)).alias(name)), [keys])
 
     def unnest(self, name: str) -> Rel:
         """The inverse of nest; rows with an empty group vanish."""
@@ -247,18 +318,27 @@ class Rel:
         return Rel(self._raw.select(*keys, F.explode(name).alias("__x")).select(*keys, "__x.*"))
 
     # order
-    def rank(self, by: Sequence[str] = (), **keys: Column | str) -> Rel:
-        """0-based competition ranks, one for each key, of the whole relation or within groups ``by``."""
+    def rank(self, by: Sequence[str] = (), **keys: Column | Key | str) -> Rel:
+        """0-based competition ranks, one for each key, of the whole relation or within groups ``by``.
+
+        A rank over the whole relation is the number of rows with a lesser key. Those are counted by key, the distinct keys dealt
+        into ranges of about the same number, and counts added up within the ranges and over them. So no task gets all rows, and a
+        key of very many rows is one row. Keys whose type has no ranges, and plain sort columns, are ranked in one task.
+        """
         base, made = self.df, {}
         for name, key in keys.items():
-            column = F.expr(key) if isinstance(key, str) else key
-            made[name] = (F.rank().over(Window.partitionBy(*by).orderBy(column)) - 1).cast("double")
-        return Rel(base.withColumns(made), not set(made) & set(self.names))
-
-    def top(self, k: int, name: str, key: Column, by: Sequence[str] = ()) -> Rel:
+            key = key if isinstance(key, Key) else Key(_expr(key))
+            if not by and (ranked := _rank_by_ranges(base, name, key)) is not None:
+                base = ranked
+            else:
+                made[name] = (F.rank().over(Window.partitionBy(*by).orderBy(key.order() if key.down else key.column)) - 1).cast("double")
+        return Rel(base.withColumns(made) if made else base, self._without(keys) or not set(keys) & set(self.names))
+
+    def top(self, k: int, name: str, key: Column | Key, by: Sequence[str] = ()) -> Rel:
         """``rank`` and rank < k: filters on the raw rank, so that partial limits apply before the shuffle."""
-        ranked = self.df.withColumn(name, F.rank().over(Window.partitionBy(*by).orderBy(key))).where(F.col(name) <= k)
-        return Rel(ranked.withColumn(name, (F.col(name) - 1).cast("double")), True)
+        order = key.order() if isinstance(key, Key) else key
+        ranked = self.df.withColumn(name, F.rank().over(Window.partitionBy(*by).orderBy(order))).where(F.col(name) <= k)
+        return Rel(ranked.withColumn(name, (F.col(name) - 1).cast("double")), self._without([name]) or name not in self.names)
 
     def order_by(self, *keys: Column | str) -> DataFrame:
         """Rows in order; ties by all attributes."""
@@ -276,6 +356,25 @@ class Rel:
         return Rel(self._raw.unionByName(moved.select(*self.names)))
 
 
+def _rank_by_ranges(base: DataFrame, name: str, key: Key) -> DataFrame | None:
+    if " ASC NULLS " in (shown := str(key.column)) or " DESC NULLS " in shown:
+        return None
+    keyed = base.withColumn("__k", key.column)
+    place = _ordered(F.col("__k"), keyed.schema["__k"].dataType)
+    if place is None:
+        return None
+    counts = keyed.groupBy("__k").agg(F.count(F.lit(1)).alias("__n")).withColumn("__x", place)
+    cuts = F.broadcast(counts.agg(F.percentile_approx("__x", [i / RANGES for i in range(1, RANGES)], 1000).alias("__b")))
+    dealt = counts.crossJoin(cuts).withColumn("__p", F.when(F.col("__x").isNull(), -1).otherwise(F.size(F.filter("__b", lambda b: b < F.col("__x"))))).drop("__b", "__x")
+    sums = dealt.groupBy("__p").agg(F.sum("__n").alias("__m")).agg(F.collect_list(F.struct("__p", "__m")).alias("__s"))
+    inside = Window.partitionBy("__p").orderBy(F.desc("__k") if key.down else F.asc("__k")).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.filter("__s", lambda s: (s["__p"] > F.col("__p")) if key.down else (s["__p"] < F.col("__p")))
+    over = F.aggregate(earlier, F.lit(0).cast("long"), lambda total, s: total + s["__m"])
+    ranks = dealt.crossJoin(F.broadcast(sums)).withColumn("__r", (F.coalesce(F.sum("__n").over(inside), F.lit(0)) + over).cast("double"))
+    ranks = ranks.select(F.col("__k").alias("__j"), "__r")
+    return keyed.join(ranks, F.col("__k").eqNullSafe(F.col("__j"))).drop(*{"__k", "__j", name} & {*keyed.columns, "__j"}).withColumnRenamed("__r", name)
+
+
 def sum_of(c: Column | str) -> Column:
     return F.coalesce(F.sum((F.expr(c) if isinstance(c, str) else c).cast("double")), F.lit(0.0))
 
