@@ -10,6 +10,8 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from setweave.plans import storage
 from setweave.plans.storage import drop, new_name, shared_dir
 
-__all__ = ["cut", "drop", "filter_texts", "fold", "map_texts", "new_name", "ranges", "raw_of", "shared_dir", "steps", "table", "texts_of", "words_of"]
+__all__ = ["cut", "drop", "filter_texts", "fold", "give_back", "map_texts", "new_name", "ranges", "raw_of", "shared_dir", "steps", "table", "texts_of", "words_of"]
 
 #: UTF-8 bytes of text that one numpy step works on at most (a single longer text is one step).
 STEP_BYTES = 4 << 20
@@ -62,6 +64,16 @@ def steps(lengths: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, in
         start = stop
 
 
+def give_back() -> None:
+    """Returns what a finished task has freed to the system: workers stay, and their memory counts beside the JVM's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
@@ -98,6 +110,8 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays(
                     kept + [pa.array(made[n]) for n in names], [f"k{i}" for i in range(len(keep))] + names
                 )
+        del work
+        give_back()
 
     made = source.mapInArrow(run, out)
     return made.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *names)
@@ -117,6 +131,8 @@ def filter_texts(df: DataFrame, kernel: Callable[[], Callable[[list[str]], list[
             for a, b in steps(lengths):
                 verdict = pa.array(np.asarray(work(texts_of(texts.slice(a, b - a))), dtype=bool))
                 yield batch.slice(a, b - a).filter(verdict)
+        del work
+        give_back()
 
     return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setweave.llm.common import cut, drop, map_texts, raw_of, table
+from setweave.llm.common import cut, drop, give_back, map_texts, raw_of, table
 from setweave.plans.storage import at
 
 WIDTH, SIMILAR = 4, 80
@@ -249,6 +249,8 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, similar: int) -> Da
         for batch in batches:
             two = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             yield batch.filter(pa.array([sets.similar(x, y, similar) for x, y in two], pa.bool_())).select([0, 1])
+        del sets
+        give_back()
 
     kind = pairs.schema["id"].dataType.simpleString()
     links = joined.mapInArrow(run, f"id {kind}, pid {kind}").select(F.greatest("id", "pid").alias("u"), F.least("id", "pid").alias("v"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setweave.llm import near_dedup
-from setweave.llm.common import cut, drop, filter_texts, fold, map_texts, steps, table, texts_of
+from setweave.llm.common import cut, drop, filter_texts, fold, give_back, map_texts, steps, table, texts_of
 
 THRESHOLD = 0.3
 #: Labelled rows that words are learned from, at most; the character model counts all documents.
@@ -26,7 +26,8 @@ LEAST_SHARE, MARGIN = 0.3, 2.0
 STEMS = (4, 5, 6)
 #: Share of toxic texts from which a piece of evidence suffices by itself, whatever others stood beside it.
 CLEAR = 0.9
-CACHED = 500_000
+#: Tokens that a task remembers, and bytes of texts whose characters are counted at once.
+CACHED, COUNTED = 200_000, 1 << 19
 
 # Letters that stand for others in obfuscated words.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "+": "t", "|": "il", "€": "e", "(": "c"}
@@ -65,9 +66,10 @@ def language_model(df: DataFrame, text_col: str = "text") -> np.ndarray:
         total = np.zeros(SIZE**3, dtype=np.int64)
         for batch in batches:
             lengths = np.asarray(pa.compute.binary_length(batch.column(0)).fill_null(0), dtype=np.int64)
-            for a, b in steps(lengths):
+            for a, b in steps(lengths, COUNTED):
                 total += trigram_counts(texts_of(batch.column(0).slice(a, b - a)))
         at = np.flatnonzero(total)
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["g", "n"])
 
     counts = df.select(df[text_col]).mapInArrow(run, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()
