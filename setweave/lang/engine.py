@@ -29,13 +29,18 @@ SCRIPT = ".sw"
 _NO = object()
 
 
+class Missing(V.EvalError):
+    """An attribute that a tuple lacks, or a call without one result."""
+
+
 class Engine:
     """``eval(text)`` gives a local value or a ``Rel``. Names bound to relations are columns and plans, never collected.
 
     ``folder`` is where imports start from; with ``safe``, texts reach neither files nor the environment.
     """
 
-    def __init__(self, spark: SparkSession | None = None, folder: str = ".", safe: bool = False, **scope: Any):
+    def __init__(self, spark: SparkSession | None = None, folder: str = ".", safe: bool = False, std: dict | None = None, **scope: Any):
+        self.std = STD if std is None else std
         self.root = self.folder = os.path.abspath(folder)
         self.safe, self.imported = safe, {}
         self.spark, self.scope = spark, {k: V.value(v) for k, v in scope.items()}
@@ -76,19 +81,31 @@ class Engine:
             return lambda text: Engine(safe=True).eval(text)
         if n[0] == "eval.eval":
             return lambda text: Engine(self.spark, self.folder, self.safe).eval(text)
+        if n[0] == "eval.evaluator":
+            return self.evaluator
         known, rest = n[0], []
-        while known not in STD and "." in known:
+        while known not in self.std and "." in known:
             known, _, last = known.rpartition(".")
             rest.insert(0, last)
-        if known not in STD or self.safe and known.startswith("os."):
+        if known not in self.std or self.safe and known.startswith(("os.", "net.")):
             raise V.EvalError(f"//{n[0]} not found")
-        found = STD[known]
+        found = self.std[known]
         for part in rest:
             if not isinstance(found, V.Tup) or part not in found:
                 raise V.EvalError(f"//{n[0]} not found")
             found = found[part]
         return found
 
+    def evaluator(self, config: Any) -> V.Tup:
+        """``(scope: names, stdlib: functions)`` to a tuple with ``eval``, for which nothing else exists."""
+        given = dict(config or {})
+
+        def run(text: Any) -> Any:
+            std = self.std if "stdlib" not in given else dict(given["stdlib"] or {})
+            return Engine(self.spark, self.folder, self.safe, std, **dict(given.get("scope") or {})).eval(text)
+
+        return V.Tup(eval=run)
+
     def _import(self, n: Node, env: ChainMap) -> Any:
         """A file: tables of Parquet and ORC as relations, other known formats decoded, the rest as texts of the language."""
         path, decoder = n.args
@@ -166,7 +183,24 @@ class Engine:
         return lambda x: self.run(n, env.new_child({".": x}))
 
     def _tuple(self, n: Node, env: ChainMap) -> Any:
-        return V.Tup({k: self.run(v, env) for k, v in n[0]})
+        return V.Tup({k: self.thunk(v, env) if k[:1] == "&" else self.run(v, env) for k, v in n[0]})
+
+    def thunk(self, n: Node, env: ChainMap) -> Callable:
+        def call(*_: Any) -> Any:
+            return self.run(n, env)
+
+        return call
+
+    def _bytes(self, n: Node, env: ChainMap) -> Any:
+        out = b""
+        for x in (self.run(e, env) for e in n[0]):
+            if isinstance(x, float) and x in range(256):
+                out += bytes([int(x)])
+            elif isinstance(x, str) or x == V.FALSE:
+                out += (x or "").encode()
+            else:
+                raise V.EvalError(f"not a byte: {V.show(x)}")
+        return out or V.FALSE
 
     def _array(self, n: Node, env: ChainMap) -> Any:
         return tuple(None if e is None else self.run(e, env) for e in n[0]) or V.FALSE
@@ -187,11 +221,26 @@ class Engine:
 
     def _get(self, n: Node, env: ChainMap) -> Any:
         x = self.run(n[0], env)
-        if isinstance(x, V.Tup) and not isinstance(x, V.Dic) and n[1] in x:
-            return x[n[1]]
+        if isinstance(x, V.Tup) and not isinstance(x, V.Dic):
+            if n[1] in x:
+                return x[n[1]]
+            if "&" + n[1] in x:
+                return x["&" + n[1]]()
         if n[2] is not None:
             return self.run(n[2], env)
-        raise V.EvalError(f"no attribute {n[1]!r}")
+        raise Missing(f"no attribute {n[1]!r}")
+
+    def _safe(self, n: Node, env: ChainMap) -> Any:
+        """Tails one after the other; where one that may fail finds nothing, the fallback."""
+        x = self.run(n[0], env)
+        for tail, may in n[1]:
+            try:
+                x = self.run(tail, env.new_child({"": x}))
+            except Missing:
+                if not may:
+                    raise
+                return self.run(n[2], env)
+        return x
 
     def _project(self, n: Node, env: ChainMap) -> Any:
         x, names = self.run(n[0], env), n[1]
@@ -208,6 +257,8 @@ class Engine:
     def apply(self, f: Any, x: Any, fallback: Callable | None = None) -> Any:
         if callable(f):
             return f(x)
+        if isinstance(f, V.Off):
+            return self.apply(f.items, x - f.at if isinstance(x, float) else x, fallback)
         if isinstance(f, Rel):
             keys = [c for c in f.names if c == "@"]
             found = f.where(F.col(keys[0]) == F.lit(x)).without("@").df.limit(2).collect() if keys else []
@@ -223,7 +274,7 @@ class Engine:
             return got[0]
         if fallback:
             return fallback()
-        raise V.EvalError("expected one result of a call, got " + str(len(got)))
+        raise Missing("expected one result of a call, got " + str(len(got)))
 
     def _count(self, n: Node, env: ChainMap) -> Any:
         x = self.run(n[0], env)
@@ -261,6 +312,8 @@ class Engine:
                 return False
             env.maps[0][p[0]] = x
             return True
+        if p.kind == "anyof":
+            return any(self.run(e, env) == x for e in p[0])
         if p.kind in ("array", "set", "tuple", "dict"):
             return getattr(self, f"_match_{p.kind}")(p, x, env)
         try:
@@ -319,12 +372,18 @@ class Engine:
         return self.match(Node("name", rest[0].args), left, env) if rest else not left
 
     def _unary(self, n: Node, env: ChainMap) -> Any:
+        if n[0] == "&":
+            return self.thunk(n[1], env)
         x = self.run(n[1], env)
+        if n[0] == "*":
+            return x()
         if n[0] == "!":
             return V.FALSE if V.true(x) else V.TRUE
         if n[0] == "^":
             return x.power_set() if isinstance(x, Rel) else V.subsets(x)
-        return -x if n[0] == "-" else x
+        if n[0] == "-":
+            return -x if isinstance(x, float) else V.Tup({"@neg": x}) if not (isinstance(x, V.Tup) and set(x) == {"@neg"}) else x["@neg"]
+        return x
 
     def _compare(self, n: Node, env: ChainMap) -> Any:
         left = self.run(n[0], env)
@@ -336,20 +395,32 @@ class Engine:
         return V.TRUE
 
     def compare(self, op: str, a: Any, b: Any) -> bool:
+        if op[0] == "!" and op != "!=":
+            return not self.compare(op[1:], a, b)
         if isinstance(a, Rel) or isinstance(b, Rel):
-            a, b = self.rel(a), self.rel(b)
-            tests = {"=": a.equals, "!=": lambda o: not a.equals(o), "(<=)": a.subset, "(<)": a.proper_subset, "(>=)": lambda o: o.subset(a), "(>)": lambda o: o.proper_subset(a)}
-            return tests[op](b)
+            return self.compare_rels(op, a, b)
         if op in ("=", "!="):
             return (a == b) == (op == "=")
-        if op in ("<:", "!<:"):
-            return (a in V.elements(b)) == (op == "<:")
+        if op == "<:":
+            return a in V.elements(b)
         if op[0] == "(":
             x, y = set(V.elements(a)), set(V.elements(b))
-            return {"(<)": x < y, "(<=)": x <= y, "(>)": x > y, "(>=)": x >= y, "(<>)": x < y or x > y}[op]
+            return {"(<)": x < y, "(<=)": x <= y, "(>)": x > y, "(>=)": x >= y, "(<>)": x < y or x > y, "(<>=)": x <= y or x >= y}[op]
         x, y = V.order(a), V.order(b)
         return {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
 
+    def compare_rels(self, op: str, a: Any, b: Any) -> bool:
+        if op == "<:":
+            return isinstance(a, V.Tup) and set(a) == set(b.names) and b.has(*[a[n] for n in b.names])
+        a, b = self.rel(a), self.rel(b)
+        tests = {
+            "=": a.equals, "!=": lambda o: not a.equals(o), "(<=)": a.subset, "(<)": a.proper_subset, "(>=)": lambda o: o.subset(a), "(>)": lambda o: o.proper_subset(a),
+            "(<>)": lambda o: a.subset(o) != o.subset(a), "(<>=)": lambda o: a.subset(o) or o.subset(a),
+        }
+        if op not in tests:
+            raise V.EvalError(f"{op} of relations")
+        return tests[op](b)
+
     def rel(self, x: Any) -> Rel:
         """A local relation as a plan."""
         if isinstance(x, Rel):
@@ -365,9 +436,11 @@ class Engine:
             return a if V.true(a) else self.run(n[2], env)
         b = self.run(n[2], env.new_child({"": a}) if op == "+>" else env)
         if isinstance(a, Rel) or isinstance(b, Rel):
-            if op in ("with", "without"):
+            if op in ("with", "without") and isinstance(a, Rel):
                 return getattr(a, op + "_row")(*[b[k] for k in a.names])
-            name = JOINS.get(op) or SETS.get(op) or {"++": "concat"}[op]
+            name = JOINS.get(op) or SETS.get(op) or {"++": "concat"}.get(op)
+            if not name:
+                raise V.EvalError(f"{op} of relations")
             return getattr(self.rel(a), name)(self.rel(b))
         return self.local(op, a, b)
 
@@ -382,8 +455,15 @@ class Engine:
         if op == "without":
             return V.as_set(set(V.elements(a)) - {b})
         if op == "++":
-            empty = b if a == V.FALSE else a if b == V.FALSE else _NO
-            return empty if empty is not _NO else a + b
+            if V.FALSE in (a, b):
+                return b if a == V.FALSE else a
+            if type(a) is type(b) and isinstance(a, str | bytes | tuple):
+                return a + b
+            return V.as_set([*V.elements(a), *[V.Tup({**t, "@": t["@"] + len(V.elements(a))}) for t in V.elements(b)]])
+        if op == "\\":
+            if not isinstance(a, float):
+                raise V.EvalError(f"not a position: {V.show(a)}")
+            return V.offset(int(a), b)
         if op == "+>":
             if a == V.FALSE:
                 return b
@@ -423,11 +503,30 @@ class Engine:
         return V.as_set(V.Tup({**k, name: V.as_set(g)}) for k, g in groups.items())
 
     def _unnest(self, n: Node, env: ChainMap) -> Any:
+        if ranked := self.ranked_groups(n, env):
+            return ranked
         x = self.run(n[0], env)
         if isinstance(x, Rel):
             return x.unnest(n[1])
         return V.as_set(V.Tup({**{k: v for k, v in t.items() if k != n[1]}, **u}) for t in V.elements(x) for u in V.elements(t[n[1]]))
 
+    def ranked_groups(self, n: Node, env: ChainMap) -> Rel | None:
+        """``R nest ~|k|g => (k: .k, g: .g rank (r: .x)) unnest g``: ranks within groups, without collecting them."""
+        dot, body = Node("name", (".",)), n[0].args[2] if n[0].kind == "arrow" and n[0][0] == "=>" else None
+        if body is None or n[0][1].kind != "nest" or body.kind != "tuple":
+            return None
+        nest, named = n[0][1], dict(body[0])
+        inner = named.pop(n[1], None)
+        if inner is None or inner.kind != "rank" or inner[0] != Node("get", (dot, nest[3], None)):
+            return None
+        x = self.run(nest[0], env)
+        if not isinstance(x, Rel):
+            return None
+        keys = list(nest[1]) if nest[2] else [k for k in x.names if k not in nest[1]]
+        if named != {k: Node("get", (dot, k, None)) for k in keys}:
+            return None
+        return x.rank(by=keys, **{k: self.key(v, x, env) for k, v in inner[1][0]})
+
     def _rank(self, n: Node, env: ChainMap) -> Any:
         x = self.run(n[0], env)
         if isinstance(x, Rel):
@@ -440,20 +539,20 @@ class Engine:
                 t[name] = float(sum(o < k for o in keys))
         return V.as_set(out)
 
-    def key(self, node: Node, x: Rel, env: ChainMap) -> Column:
-        if node.kind == "unary" and node[0] == "-":
-            return self.column(node[1], x, env)[0].desc()
-        return self.column(node, x, env)[0]
+    def key(self, node: Node, x: Rel, env: ChainMap) -> R.Key:
+        falls = node.kind == "unary" and node[0] == "-"
+        return R.Key(self.column(node[1] if falls else node, x, env)[0], falls)
 
     def _filter(self, n: Node, env: ChainMap) -> Any:
         x, out = self.run(n[0], env), []
         if isinstance(x, Rel):
-            return self.filtered(x, n[1], env)
+            return self.filtered(x, n[1], n[2], env)
         for e in V.elements(x):
-            for pattern, value in n[1]:
-                inner = env.new_child()
-                if self.match(pattern, e, inner):
-                    out.append(self.run(value, inner.new_child({".": e})))
+            here = env.new_child({".": e})
+            for pattern, value in n[2]:
+                inner = here.new_child()
+                if self.match(pattern, self.run(n[1], here), inner):
+                    out.append(self.run(value, inner))
                     break
         return V.as_set(out)
 
@@ -461,6 +560,8 @@ class Engine:
         op, left, right = n.args
         if op == "=>" and left.kind == "nest" and (fused := self.fused(left, right, env)):
             return fused
+        if op == "where" and left.kind == "rank" and (top := self.first_ranks(left, right, env)):
+            return top
         x = self.run(left, env)
         if op == "->":
             return self.body(right, env)(x) if right.kind != "name" or right[0] == "." else self.apply(self.run(right, env), x)
@@ -478,6 +579,8 @@ class Engine:
             less = functools.cmp_to_key(lambda a, b: V.true(f(b)(a)) - V.true(f(a)(b)))
             return tuple(sorted(sorted(V.elements(x), key=V.order), key=less)) or V.FALSE
         if op == ":>":
+            if not isinstance(x, V.Tup) or isinstance(x, V.Dic):
+                raise V.EvalError(f":> needs a tuple, not {V.show(x)}")
             return V.Tup({k: f(v) for k, v in x.items()})
         if op in (">>", ">>>"):
             return self.mapped(x, (lambda i, v: f(i)(v)) if op == ">>>" else (lambda i, v: f(v)))
@@ -491,6 +594,11 @@ class Engine:
         return float(statistics.median(got) if op == "median" else sum(got) / len(got))
 
     def mapped(self, x: Any, f: Callable) -> Any:
+        if isinstance(x, V.Off):
+            return V.offset(x.at, self.mapped(x.items, lambda i, v: f(i + x.at, v)))
+        if isinstance(x, bytes):
+            made = [f(float(i), float(c)) for i, c in enumerate(x)]
+            return bytes(map(int, made)) if all(isinstance(c, float) and c in range(256) for c in made) else tuple(made)
         if isinstance(x, str):
             made = [f(float(i), float(ord(c))) for i, c in enumerate(x)]
             return "".join(chr(int(c)) for c in made) if all(isinstance(c, float) for c in made) else tuple(made)
@@ -498,9 +606,22 @@ class Engine:
             return tuple(None if v is None else f(float(i), v) for i, v in enumerate(x))
         if isinstance(x, V.Dic):
             return V.Dic({k: f(k, v) for k, v in x.items()})
+        if x != V.FALSE and (not V.is_relation(x) or any(len(t) != 2 or "@" not in t for t in x)):
+            raise V.EvalError(f"no sequence: {V.show(x)}")
         return V.as_set(V.Tup({"@": t["@"], **{k: f(t["@"], v) for k, v in t.items() if k != "@"}}) for t in V.elements(x))
 
     # plans
+    def first_ranks(self, ranked: Node, test: Node, env: ChainMap) -> Rel | None:
+        """``R rank (r: key) where .r < k``, so that only the first ranks leave their partitions."""
+        fields, own = ranked[1][0], Node("get", (Node("name", (".",)), ranked[1][0][0][0], None))
+        if test.kind != "compare" or len(fields) != 1 or len(test[1]) != 1 or test[0] != own:
+            return None
+        (op, limit), x = test[1][0], self.run(ranked[0], env)
+        if not isinstance(x, Rel) or op not in ("<", "<=", "=") or limit.kind != "lit" or not isinstance(limit[0], float) or op == "=" and limit[0]:
+            return None
+        k = math.ceil(limit[0]) if op == "<" else math.floor(limit[0]) + 1
+        return x.top(k, fields[0][0], self.key(fields[0][1], x, env))
+
     def over(self, op: str, x: Rel, body: Node, env: ChainMap) -> Any:
         if op == "where":
             c, kind = self.column(body, x, env)
@@ -509,25 +630,48 @@ class Engine:
             if body.kind == "project":
                 return x.without(*body[1]) if body[2] else x.project(*body[1])
             if body.kind == "tuple":
-                return x.map(**{k: self.column(v, x, env)[0] for k, v in body[0]})
+                return x.map(**{k: self.attribute(v, x) or self.column(v, x, env)[0] for k, v in body[0]})
             if body.kind == "bin" and body[0] == "+>" and body[1] == Node("name", (".",)) and body[2].kind == "tuple":
                 inner = env.new_child({"": body[1]})
                 return x.merge(**{k: self.column(v, x, inner)[0] for k, v in body[2][0]})
             return x.map(value=self.column(body, x, env)[0])
         if op == "orderby":
-            return x.order_by(self.key(body, x, env))
+            return x.order_by(self.key(body, x, env).order())
+        if op == "order" and body.kind == "fn" and body[1].kind == "fn":
+            less = lambda a, b: self._column(body[1][1], x, env.new_child({body[0][0]: a, body[1][0][0]: b}))
+            return x.order_array(into="items", less=less)
+        if op in (">>", ">>>"):
+            rest = [n for n in x.names if n != "@"]
+            if len(rest) != 1 or "@" not in x.names:
+                raise V.EvalError(f"no sequence: a relation of {x.names}")
+            place, item = F.col("`@`"), F.col(f"`{rest[0]}`")
+            made = self.lambda_of(body, x, env, place, item) if op == ">>>" else self.lambda_of(body, x, env, item)
+            return Rel(x._raw.select(place, made.alias(rest[0])), [["@"]] if frozenset(["@"]) in x.keys else False)
         if op in FOLDS:
             fold = getattr(R, f"{op}_of")
             return V.value(x.fold(v=fold(self.column(body, x, env)[0])).single()[0])
         raise V.EvalError(f"{op} of a relation")
 
-
-    def filtered(self, x: Rel, cases: tuple, env: ChainMap) -> Rel:
+    def attribute(self, n: Node, x: Rel) -> str | None:
+        """The attribute that a node stands for as it is."""
+        plain = n.kind == "get" and n[0] == Node("name", (".",)) and n[2] is None and n[1] in x.names
+        return n[1] if plain else None
+
+    def lambda_of(self, body: Node, x: Rel, env: ChainMap, *args: Column) -> Column:
+        """A function of some columns, or an expression of the dot, as a column."""
+        inner = env.new_child({".": args[-1]})
+        for a in args:
+            if body.kind == "fn":
+                inner = inner.new_child({body[0][0]: a})
+                body = body[1]
+        return self._column(body, x, inner)
+
+    def filtered(self, x: Rel, control: Node, cases: tuple, env: ChainMap) -> Rel:
         """Rows that fit any pattern, mapped by the first that they fit: one filter and one projection."""
         tests, values = [], []
         for pattern, value in cases:
             inner = env.new_child()
-            tests.append(self.fits(pattern, Node("name", (".",)), x, inner))
+            tests.append(self.fits(pattern, control, x, inner))
             values.append((value, inner))
         kept = x.where(functools.reduce(lambda a, b: a | b, tests, F.lit(False)))
         shapes = {tuple(sorted(k for k, _ in v[0])) if v.kind == "tuple" else None for v, _ in values}
@@ -564,10 +708,33 @@ class Engine:
                 where = Node("get", (at, k, None)) if k in names else v[1]
                 made = made & self.fits(v[0] if v.kind == "optional" else v, where, x, env)
             return made
-        if p.kind in ("array", "set", "dict"):
+        if p.kind == "anyof":
+            value = self._column(at, x, env)
+            return functools.reduce(lambda a, b: a | b, [value.eqNullSafe(self._column(e, x, env)) for e in p[0]], F.lit(False))
+        if p.kind == "array":
+            return self.fits_array(p, at, x, env)
+        if p.kind in ("set", "dict"):
             raise V.EvalError(f"a pattern of a {p.kind} cannot be a column")
         return self._column(at, x, env).eqNullSafe(self._column(p, x, env))
 
+    def fits_array(self, p: Node, at: Node, x: Rel, env: ChainMap) -> Column:
+        """Whether an array column has a pattern's length and items; a rest is a slice."""
+        c, kind = self.column(at, x, env)
+        if not isinstance(kind, T.ArrayType):
+            return F.lit(False)
+        rest = [i for i, e in enumerate(p[0]) if e is not None and e.kind == "rest"]
+        if len(rest) > 1:
+            raise V.EvalError("a pattern of an array has one rest at most")
+        n = len(p[0]) - len(rest)
+        made = F.size(c) >= n if rest else F.size(c) == n
+        for i, e in enumerate(p[0]):
+            if rest and i == rest[0]:
+                if e[0] != "_":
+                    env.maps[0][e[0]] = Node("slice", (at, i, n))
+            elif e is not None:
+                made = made & self.fits(e, Node("item", (at, i if not rest or i < rest[0] else i - n - 1)), x, env)
+        return made
+
     def fused(self, nest: Node, body: Node, env: ChainMap) -> Rel | None:
         """``nest ~|k|g => (k: .k, s: .g sum .x)`` as one grouped aggregation, without collecting groups."""
         x = self.run(nest[0], env)
@@ -592,7 +759,10 @@ class Engine:
     def column(self, n: Node, x: Rel, env: ChainMap) -> tuple[Column, T.DataType]:
         """An expression of the dot as a column over a relation, and its type."""
         c = self._column(n, x, env)
-        return c, x._raw.select(c.alias("c")).schema[0].dataType
+        return c, self.kind_of(c, x)
+
+    def kind_of(self, c: Column, x: Rel) -> T.DataType:
+        return x._raw.select(c.alias("c")).schema[0].dataType
 
     def _column(self, n: Node, x: Rel, env: ChainMap) -> Column:
         def sub(m: Node) -> Column:
@@ -600,8 +770,14 @@ class Engine:
 
         if n.kind == "fn":
             return self._column(n[1], x, env.new_child({n[0][0]: Node("name", (".",))}))
+        if n.kind == "name" and isinstance(env.get(n[0]), Column):
+            return env[n[0]]
         if n.kind == "name" and n[0] == ".":
-            return F.struct(*sorted(x.names))
+            return F.struct(*[F.col(f"`{c}`") for c in sorted(x.names)])
+        if n.kind == "item":
+            return F.get(sub(n[0]), F.lit(n[1])) if n[1] >= 0 else F.try_element_at(sub(n[0]), F.lit(n[1]))
+        if n.kind == "slice":
+            return F.slice(sub(n[0]), n[1] + 1, F.greatest(F.size(sub(n[0])) - n[2], F.lit(0)))
         if n.kind == "name" and isinstance(env.get(n[0]), Node):
             return sub(env[n[0]])
         if n.kind in ("lit", "name"):
@@ -610,21 +786,24 @@ class Engine:
                 return F.lit(n[0])
             return F.lit("" if v == V.FALSE else list(v) if isinstance(v, tuple | frozenset) else v)
         if n.kind == "get":
-            if Node("name", (".",)) in (n[0], n[0].kind == "name" and env.get(n[0][0])):
+            if self.is_row(n[0], env):
                 if n[1] not in x.names and n[2] is not None:
                     return sub(n[2])
                 x._need([n[1]])
                 return F.col(f"`{n[1]}`")
             return sub(n[0])[n[1]]
         if n.kind == "unary":
-            c, kind = self.column(n[1], x, env)
-            return ~S.truthy(c, kind) if n[0] == "!" else -c if n[0] == "-" else c
+            if n[0] == "!":
+                return ~self.truth(n[1], x, env)
+            if n[0] not in "+-":
+                raise V.EvalError(f"cannot be a column: {n[0]}")
+            return -sub(n[1]) if n[0] == "-" else sub(n[1])
         if n.kind == "compare":
             return self._compared(n, x, env)
         if n.kind == "bin":
             return self._operated(n, x, env)
         if n.kind == "cond":
-            cases = [(F.lit(True) if t == Node("name", ("_",)) else S.truthy(*self.column(t, x, env)), sub(v)) for t, v in n[0]]
+            cases = [(F.lit(True) if t == Node("name", ("_",)) else self.truth(t, x, env), sub(v)) for t, v in n[0]]
             return S.cond(*cases, otherwise=None if n[1] is None else sub(n[1]))
         if n.kind == "match":
             cases = []
@@ -640,23 +819,95 @@ class Engine:
             return S.as_set(F.array(*map(sub, n[0])))
         if n.kind == "count":
             return F.size(sub(n[0])).cast("double")
+        if n.kind == "safe":
+            return self._column(self.plain_tails(n, x, env), x, env)
         if n.kind == "call":
-            name = n[0][0]
-            if n[0].kind == "std" and name in STD and hasattr(STD[name], "column"):
-                return STD[name].column(*[m if m.kind == "lit" else sub(m) for m in n[1]])
-            if name in self.columns:
-                return self.columns[name](*map(sub, n[1]))
-        if n.kind == "arrow" and n[0] in FOLDS | {">>"}:
-            arr = sub(n[1])
-            f = self._inner(n[2], env)
-            if n[0] == ">>":
-                return F.transform(arr, f)
-            made = F.transform(arr, f)
-            if n[0] == "sum":
-                return F.aggregate(made, F.lit(0.0), lambda a, b: a + b.cast("double"))
-            return {"max": F.array_max, "min": F.array_min, "mean": lambda a: F.aggregate(a, F.lit(0.0), lambda p, q: p + q) / F.size(a)}[n[0]](made)
+            return self._called(n, x, env)
+        if n.kind == "arrow":
+            return self._folded(n, x, env)
         raise V.EvalError(f"cannot be a column: {n.kind}")
 
+    def is_row(self, n: Node, env: ChainMap) -> bool:
+        """Whether a node is the dot that stands for a relation's row, or a name for it."""
+        bound = env.get(n[0]) if n.kind == "name" else None
+        return not isinstance(bound, Column) and (n == Node("name", (".",)) or isinstance(bound, Node) and bound == Node("name", (".",)))
+
+    def truth(self, n: Node, x: Rel, env: ChainMap) -> Column:
+        c = self._column(n, x, env)
+        return c if n.kind == "compare" or n.kind == "unary" and n[0] == "!" else S.truthy(c, self.kind_of(c, x))
+
+    def plain_tails(self, n: Node, x: Rel, env: ChainMap) -> Node:
+        """A chain of tails over a column: attributes are there or not by the type, whatever the row."""
+        node = n[0]
+        for tail, may in n[1]:
+            if tail.kind != "get":
+                raise V.EvalError("a call in a chain cannot be a column")
+            names = x.names if self.is_row(node, env) else getattr(self.column(node, x, env)[1], "names", [])
+            if tail[1] not in names:
+                if may:
+                    return n[2]
+                raise Missing(f"no attribute {tail[1]!r}")
+            node = Node("get", (node, tail[1], None))
+        return node
+
+    def _called(self, n: Node, x: Rel, env: ChainMap) -> Column:
+        f, args = n[0], n[1]
+        if f.kind == "std" and hasattr(self.std.get(f[0]), "column"):
+            known, subject = self.std[f[0]], None
+            if getattr(known, "array", None) and args[-1].kind != "lit":
+                subject = self._column(args[-1], x, env)
+            if subject is not None and isinstance(self.kind_of(subject, x), T.ArrayType):
+                return known.array(*[self._column(m, x, env) for m in args[:-1]], subject)
+            return known.column(*[m if m.kind == "lit" else self._column(m, x, env) for m in args])
+        if f.kind == "name" and f[0] in self.columns:
+            return self.columns[f[0]](*[self._column(m, x, env) for m in args])
+        if f.kind == "name" and isinstance(env.get(f[0]), Callable) and hasattr(env[f[0]], "node"):
+            body = env[f[0]].node
+            return self.lambda_of(body, x, env, *[self._column(m, x, env) for m in args])
+        if f.kind not in ("get", "item", "call", "name") or len(args) != 1:
+            raise V.EvalError("cannot be a column: a call")
+        c, kind = self.column(f, x, env)
+        at = self._column(args[0], x, env)
+        if isinstance(kind, T.ArrayType) and not (isinstance(kind.elementType, T.StructType) and "key" in kind.elementType.names):
+            found = F.get(c, at.cast("int"))
+        elif isinstance(kind, T.MapType):
+            found = F.try_element_at(c, at)
+        elif isinstance(kind, T.StringType):
+            found = F.when((at >= 0) & (at < F.length(c)), S.char_at(c, at.cast("int")))
+        else:
+            return S.lookup(c, at, n[2] and self._column(n[2], x, env))
+        return F.coalesce(found, F.raise_error(F.lit("expected one result")) if n[2] is None else self._column(n[2], x, env))
+
+    def _folded(self, n: Node, x: Rel, env: ChainMap) -> Column:
+        op, arr = n[0], self._column(n[1], x, env)
+        if op == "->":
+            return self.lambda_of(n[2], x, env, arr)
+        if op == ":>":
+            kind = self.kind_of(arr, x)
+            return S.tuple_map(arr, kind, lambda c: self.lambda_of(n[2], x, env, c))
+        if op == ">>>":
+            return F.transform(arr, lambda e, i: self.lambda_of(n[2], x, env, i.cast("double"), e))
+        if op == "where":
+            return F.filter(arr, lambda e: self.lambda_of(n[2], x, env, e))
+        made = F.transform(arr, lambda e: self.lambda_of(n[2], x, env, e))
+        if op == ">>":
+            return made
+        if op == "=>":
+            return S.as_set(made)
+        if op == "orderby":
+            pairs = F.transform(arr, lambda e: F.struct(self.lambda_of(n[2], x, env, e).alias("k"), e.alias("v")))
+            return F.transform(F.array_sort(pairs), lambda p: p["v"])
+        if op == "sum":
+            return F.aggregate(made, F.lit(0.0), lambda a, b: a + b.cast("double"))
+        if op == "mean":
+            return F.aggregate(made, F.lit(0.0), lambda a, b: a + b.cast("double")) / F.size(arr)
+        if op == "median":
+            rising, size = F.array_sort(made), F.size(arr)
+            return (F.get(rising, ((size - 1) / 2).cast("int")) + F.get(rising, (size / 2).cast("int"))) / 2.0
+        if op in ("max", "min"):
+            return {"max": F.array_max, "min": F.array_min}[op](made)
+        raise V.EvalError(f"cannot be a column: {op}")
+
     def _expanded(self, part: tuple, x: Rel, env: ChainMap) -> Column:
         """A text's part as a column; formats are those of printf for numbers."""
         node, form, delimiter, tail = part
@@ -668,32 +919,17 @@ class Engine:
             made = S.shown(c, kind, form)
         return F.when(made == "", made).otherwise(F.concat(made, F.lit(tail))) if tail else made
 
-    def _inner(self, n: Node, env: ChainMap) -> Callable[[Column], Column]:
-        """The body of a fold or map over a column's elements: the dot is the element."""
-
-        def f(e: Column) -> Column:
-            if n.kind == "name" and n[0] == ".":
-                return e
-            if n.kind == "get" and n[0] == Node("name", (".",)):
-                return e[n[1]]
-            if n.kind == "lit":
-                return F.lit(n[0])
-            if n.kind == "bin" and n[0] in ("+", "-", "*"):
-                a, b = self._inner(n[1], env)(e), self._inner(n[2], env)(e)
-                return {"+": a + b, "-": a - b, "*": a * b}[n[0]]
-            raise V.EvalError("too much for an element")
-
-        return f
-
     def _compared(self, n: Node, x: Rel, env: ChainMap) -> Column:
         left, out = self._column(n[0], x, env), None
         for op, node in n[1]:
             right = self._column(node, x, env)
-            made = {
+            test = {
                 "=": lambda a, b: a.eqNullSafe(b), "!=": lambda a, b: ~a.eqNullSafe(b), "<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b,
-                "<:": lambda a, b: F.array_contains(b, a), "!<:": lambda a, b: ~F.array_contains(b, a), "(<=)": S.s_subset, "(<)": lambda a, b: S.s_subset(a, b, True),
-                "(>=)": lambda a, b: S.s_subset(b, a), "(>)": lambda a, b: S.s_subset(b, a, True),
-            }[op](left, right)
+                "<:": lambda a, b: F.array_contains(b, a), "(<=)": S.s_subset, "(<)": lambda a, b: S.s_subset(a, b, True),
+                "(>=)": lambda a, b: S.s_subset(b, a), "(>)": lambda a, b: S.s_subset(b, a, True), "(<>=)": lambda a, b: S.s_subset(a, b) | S.s_subset(b, a),
+                "(<>)": lambda a, b: S.s_subset(a, b, True) | S.s_subset(b, a, True),
+            }
+            made = test[op](left, right) if op in test else ~test[op[1:]](left, right)
             out, left = made if out is None else out & made, right
         return out
 
@@ -710,9 +946,13 @@ class Engine:
                 return a & b if op == "&&" else a | b
             return F.when(S.truthy(a, kind), b if op == "&&" else a).otherwise(a if op == "&&" else b)
         b = self._column(n[2], x, env)
+        if op in ("with", "without"):
+            return F.array_sort(F.array_union(a, F.array(b)) if op == "with" else F.array_except(a, F.array(b)))
         if op == "++":
             return F.concat(a, b)
         made = {"/": S.divide, "//": S.floor_divide, "%": S.modulo, "-%": S.round_down, "^": S.power, "|": S.s_union, "&": S.s_common, "&~": S.s_minus, "~~": S.s_symmetric}
         if op in made:
             return made[op](a, b)
-        return {"+": a + b, "-": a - b, "*": a * b}[op]
+        if op not in ("+", "-", "*"):
+            raise V.EvalError(f"cannot be a column: {op}")
+        return {"+": a.__add__, "-": a.__sub__, "*": a.__mul__}[op](b)

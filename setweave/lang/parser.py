@@ -26,7 +26,7 @@ _TOKEN = re.compile(
     |(?P<str>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`[^`]*`)
     |(?P<char>%\\.|%(?=[^\s\d(.])[^\s](?![\w]))
     |(?P<id>[A-Za-z_@$][\w@$]*)
-    |(?P<op><&>|<->|-&-|---|<&-|-&>|<--|-->|!<:|<:|>>>|=>|>>|:>|->|\+>|\+\+|&&|\|\||&~|~~|-%|//|!=|!\(<=\)|\(<=\)|\(<\)|\(>=\)|\(>\)|\(<>\)|<=|>=|\{\||\?:|\.\.\.|[-+*/%^(){}\[\],;:.|&~<>=!\\?])
+    |(?P<op><&>|<->|-&-|---|<&-|-&>|<--|-->|!<:|<:|>>>|=>|>>|:>|->|\+>|\+\+|&&|\|\||&~|~~|-%|//|!=|!?\((?:<>=|<=|>=|<>|<|>)\)|<<|<=|>=|\{\||\?:|\.\.\.|[-+*/%^(){}\[\],;:.|&~<>=!\\?])
     """,
     re.X,
 )
@@ -41,11 +41,11 @@ LEVELS = [
     {"||"},
     {"&&"},
     {"+>"},
-    {"=", "!=", "<", ">", "<=", ">=", "<:", "!<:", "(<)", "(<=)", "(>)", "(>=)", "(<>)"},
+    {"=", "!=", "<", ">", "<=", ">=", "<:", "!<:"} | {n + c for c in ("(<)", "(<=)", "(>)", "(>=)", "(<>)", "(<>=)") for n in ("", "!")},
     {"if"},
     {"++", "+", "|", "-", "-%"},
     {"&~", "&", "~~", "<&>", "<->", "-&-", "---", "<&-", "-&>", "<--", "-->"},
-    {"*", "/", "%", "//"},
+    {"*", "/", "%", "//", "\\"},
 ]
 WORDS = {w for level in LEVELS for w in level if w.isalpha()} | {"count", "single", "let", "cond", "else", "rec"}
 FOLDS = {"sum", "max", "min", "mean", "median"}
@@ -133,7 +133,7 @@ class Parser:
             if m.lastgroup:
                 self.tokens.append((m.lastgroup, m[m.lastgroup]))
         self.tokens.append(("end", ""))
-        self.at = 0
+        self.at, self.patterns = 0, 0
 
     def peek(self, *values: str) -> bool:
         kind, value = self.tokens[self.at]
@@ -180,6 +180,11 @@ class Parser:
     def binary(self, level: int) -> Node:
         if level == len(LEVELS):
             return self.power()
+        if level == 1 and self.peek("=>", ">>", ":>"):
+            # Without a left side: an arrow from the dot.
+            op = self.tokens[self.at][1]
+            self.at += 1
+            return Node("arrow", (op, Node("name", (".",)), Node("fn", (self.pattern(), self.expr())) if self.take("\\") else self.binary(1)))
         left = self.binary(level + 1)
         chain: list = []
         while self.tokens[self.at][0] in ("op", "id") and self.tokens[self.at][1] in LEVELS[level]:
@@ -198,7 +203,7 @@ class Parser:
             elif op == "rank":
                 left = Node("rank", (left, self.power()))
             elif op == "filter":
-                left = Node("filter", (left, self.cases_after_control()))
+                left = Node("filter", (left, Node("name", (".",)) if self.peek("{") else self.postfix(), self.cases(True)))
             elif level == 0:
                 right = Node("fn", (self.pattern(), self.expr())) if self.take("\\") else self.binary(1)
                 left = Node("arrow", (op, left, right))
@@ -222,15 +227,11 @@ class Parser:
             self.take(",")
         return out
 
-    def cases_after_control(self) -> tuple:
-        self.take(".")
-        return self.cases()
-
-    def cases(self) -> tuple:
+    def cases(self, patterns: bool = False) -> tuple:
         self.need("{")
         out = []
         while not self.take("}"):
-            test = self.expr()
+            test = self.pattern(True) if patterns else self.expr()
             self.need(":")
             out.append((test, self.expr()))
             self.take(",")
@@ -243,7 +244,7 @@ class Parser:
         return left
 
     def unary(self) -> Node:
-        for op in ("-", "+", "!", "^"):
+        for op in ("-", "+", "!", "^", "*", "&"):
             if self.take(op):
                 return Node("unary", (op, self.unary()))
         return self.postfix()
@@ -255,31 +256,52 @@ class Parser:
                 node = Node("count", (node,))
             elif self.take("single"):
                 node = Node("single", (node,))
-            elif self.peek("("):
-                self.at += 1
-                args = []
-                while not self.take(")"):
-                    args.append(self.expr())
-                    self.take(",")
-                node = Node("call", (node, tuple(args), self.expr() if self.take("?:") else None))
-            elif self.peek(".") and self.tokens[self.at + 1][0] in ("id", "str") or self.peek(".") and self.tokens[self.at + 1][1] in ("|", "~"):
-                self.at += 1
-                node = self.attribute(node)
+            elif (tail := self.tail(node)) is not None:
+                node = self.safe(tail) if self.peek("?") and tail.args[-1] is None else tail
             else:
                 return node
 
+    def tail(self, node: Node) -> Node | None:
+        """A call or an attribute after ``node``, if one follows."""
+        if self.take("("):
+            args = []
+            while not self.take(")"):
+                args.append(self.expr())
+                self.take(",")
+            return Node("call", (node, tuple(args), self.fallback()))
+        kind, value = self.tokens[self.at + 1] if self.peek(".") else ("", "")
+        if kind in ("id", "str") or value in ("|", "~", "&"):
+            self.at += 1
+            return self.attribute(node)
+        return None
+
+    def fallback(self) -> Node | None:
+        if self.take("?:") or self.peek("?") and self.tokens[self.at + 1][1] == ":" and self.take("?") and self.take(":"):
+            return self.unary()
+        return None
+
+    def safe(self, first: Node) -> Node:
+        """``a.b?.c(k)?:d``: tails after the first that may fail, and whether each may, up to what is taken if one does."""
+        hole, tails = Node("name", ("",)), []
+        node = Node(first.kind, (hole, *first.args[1:]))
+        while True:
+            may = self.take("?")
+            tails.append((node, may or self.peek("?:")))
+            if self.take(":") or self.take("?:"):
+                return Node("safe", (first[0], tuple(tails), self.unary()))
+            start = self.at
+            node = self.tail(hole)
+            if node is None:
+                raise ParseError(f"expected a fallback, found {self.tokens[start][1]!r}")
+            if node.args[-1] is not None and node.kind in ("get", "call"):
+                return Node("safe", (first[0], (*tails, (Node(node.kind, (*node.args[:-1], None)), True)), node.args[-1]))
+
     def attribute(self, node: Node) -> Node:
         inverse = self.take("~")
         if self.take("|"):
             return Node("project", (node, tuple(self.names("|")), inverse))
-        name = self.name()
-        fallback = None
-        if self.take("?"):
-            self.need(":")
-            fallback = self.unary()
-        elif self.take("?:"):
-            fallback = self.unary()
-        return Node("get", (node, name, fallback))
+        name = "&" * self.take("&") + self.name()
+        return Node("get", (node, name, self.fallback()))
 
     def primary(self) -> Node:
         kind, value = self.tokens[self.at]
@@ -303,7 +325,7 @@ class Parser:
             return Node("lit", (value == "true",)) if value in ("true", "false") else Node("name", (value,))
         if self.take("cond"):
             control = None if self.peek("{") else self.postfix()
-            return Node("cond", (self.cases(), None)) if control is None else Node("match", (control, self.cases()))
+            return Node("cond", (self.cases(), None)) if control is None else Node("match", (control, self.cases(True)))
         if self.take("//"):
             path = [self.name()]
             while self.take("."):
@@ -317,6 +339,12 @@ class Parser:
             return self.tuple_or_group()
         if self.take("["):
             return Node("array", (tuple(self.items("]")),))
+        if self.take("<<"):
+            items = []
+            while not self.take(">>"):
+                items.append(self.primary())
+                self.take(",")
+            return Node("bytes", (tuple(items),))
         if self.take("{|"):
             names = self.names("|")
             rows = []
@@ -346,6 +374,8 @@ class Parser:
     def tuple_or_group(self) -> Node:
         if self.take(")"):
             return Node("tuple", ((),))
+        if self.peek("&") and self.tokens[self.at + 1][0] == "id" and self.tokens[self.at + 2][1] == ":":
+            self.tokens[self.at : self.at + 2] = [("id", "&" + self.tokens[self.at + 1][1])]
         named = self.tokens[self.at][0] in ("id", "str")
         if self.peek(":", "?:", "...") or named and (self.tokens[self.at + 1][1] in (":", "?:") or self.merges(1)):
             fields = []
@@ -360,7 +390,7 @@ class Parser:
                     inner = self.expr()
                     fields.append((inner.args[1] if inner.kind == "get" else inner.args[0], inner))
                 else:
-                    name = self.name()
+                    name = "&" * self.take("&") + self.name()
                     if self.merges(0):
                         op = self.tokens[self.at][1]
                         self.at += 2
@@ -375,9 +405,11 @@ class Parser:
                         fields.append((name, self.expr()))
                 self.take(",")
             return Node("tuple", (tuple(fields),))
-        inner = self.expr()
+        items = [self.expr()]
+        while self.patterns and self.take(","):
+            items.append(self.expr())
         self.need(")")
-        return inner
+        return Node("anyof", (tuple(items),)) if self.patterns else items[0]
 
     def merges(self, ahead: int) -> bool:
         """Whether an operator with a colon follows, as in ``a +> (b+>: (c: 1))``."""
@@ -406,8 +438,13 @@ class Parser:
             self.need("}")
         return Node("set", (tuple(items),))
 
-    def pattern(self) -> Node:
-        return self.primary()
+    def pattern(self, whole: bool = False) -> Node:
+        """A pattern; in one, an expression in parentheses, or several, stand for their values. ``whole``: any expression."""
+        self.patterns += 1
+        try:
+            return self.expr() if whole else self.primary()
+        finally:
+            self.patterns -= 1
 
 
 def parse(text: str) -> Node:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
@@ -17,6 +18,27 @@ class Dic(Tup):
     """A dictionary."""
 
 
+@dataclass(frozen=True)
+class Off:
+    """A string, array or bytes that begins at another position than 0."""
+
+    at: int
+    items: Any
+
+
+def offset(n: int, x: Any) -> Any:
+    if isinstance(x, Off):
+        return offset(n + x.at, x.items)
+    if x != FALSE and not isinstance(x, str | bytes | tuple):
+        raise EvalError(f"{show(x)} has no positions")
+    return Off(n, x) if n and x != FALSE else x
+
+
+def bare(x: Any) -> Any:
+    """A sequence as if it began at 0."""
+    return x.items if isinstance(x, Off) else x
+
+
 class EvalError(ValueError):
     pass
 
@@ -48,6 +70,8 @@ def true(x: Any) -> bool:
 def kind(x: Any) -> int:
     if isinstance(x, float):
         return 100
+    if isinstance(x, Off):
+        return kind(x.items)
     if x == FALSE:
         return 198
     if x == TRUE:
@@ -64,11 +88,16 @@ def is_relation(x: Any) -> bool:
 
 def order(x: Any):
     """A key of the universal order: by kind, then by value."""
+    if x is None:
+        return (0,)
     k = kind(x)
     if isinstance(x, float | str | bytes):
         return (k, x)
+    if isinstance(x, Off):
+        inner = order(x.items)
+        return (k, x.at, inner[2]) if k == 208 else (*inner, x.at)
     if isinstance(x, tuple):
-        return (k, tuple(map(order, x)))
+        return (k, 0, tuple(map(order, x)))
     if isinstance(x, Dic):
         return (k, tuple(sorted((order(a), order(b)) for a, b in x.items())))
     if isinstance(x, Tup):
@@ -82,6 +111,8 @@ def elements(x: Any) -> list:
     """The elements of any set: sequences are positions with items, dictionaries keys with values."""
     if isinstance(x, frozenset):
         return list(x)
+    if isinstance(x, Off):
+        return [Tup({**t, "@": t["@"] + x.at}) for t in elements(x.items)]
     if isinstance(x, str):
         return [Tup({"@": float(i), "@char": float(ord(c))}) for i, c in enumerate(x)]
     if isinstance(x, bytes):
@@ -104,8 +135,10 @@ def as_set(items) -> Any:
     for part, make in (("@char", lambda v: "".join(chr(int(c)) for c in v)), ("@byte", lambda v: bytes(int(c) for c in v)), ("@item", tuple)):
         if names == {frozenset(["@", part])}:
             at = sorted(got, key=lambda t: t["@"])
-            if [t["@"] for t in at] == [float(i) for i in range(len(at))]:
-                return make([t[part] for t in at])
+            first, last = int(at[0]["@"]), int(at[-1]["@"])
+            places = {t["@"]: t[part] for t in at}
+            if len(places) == len(at) and all(p == int(p) for p in places) and (part == "@item" or last - first + 1 == len(at)):
+                return offset(first, make([places.get(float(i)) for i in range(first, last + 1)]))
     if names == {frozenset(["@", "@value"])} and len({t["@"] for t in got}) == len(got):
         return Dic({t["@"]: t["@value"] for t in got})
     return got
@@ -139,6 +172,8 @@ def subsets(x: Any) -> frozenset:
 
 
 def show(x: Any) -> str:
+    if isinstance(x, Off):
+        return f"{x.at}\\{show(x.items)}"
     if isinstance(x, float):
         return f"{int(x)}" if x == int(x) and abs(x) < 1e15 else repr(x)
     if x == FALSE:
@@ -160,8 +195,48 @@ def show(x: Any) -> str:
     return repr(x)
 
 
+def pretty(x: Any, depth: int = 0) -> str:
+    """A value on several lines: plain ones stand in one line, the parts of others on lines of their own, each with a comma."""
+
+    def plain(v: Any) -> bool:
+        v = bare(v)
+        if v is None or isinstance(v, float | str) or v == FALSE:
+            return True
+        return isinstance(v, tuple | frozenset) and not is_relation(v) and v != TRUE and all(map(plain, v))
+
+    def block(parts: list[str], brackets: str, flat: bool = False) -> str:
+        if flat or not parts:
+            return brackets[0] + ", ".join(parts) + brackets[1]
+        return brackets[0] + "".join(f"\n{'  ' * (depth + 1)}{p}," for p in parts) + "\n" + "  " * depth + brackets[1]
+
+    def inside(v: Any) -> str:
+        return "" if v is None else pretty(v, depth + 1)
+
+    x = bare(x)
+    if isinstance(x, Dic):
+        return block([f"{inside(k)}: {inside(v)}" for k, v in sorted(x.items(), key=lambda e: order(e[0]))], "{}")
+    if isinstance(x, Tup):
+        return block([f"{k or repr(k)}: {inside(x[k])}" for k in sorted(x)], "()")
+    if isinstance(x, tuple):
+        return block(list(map(inside, x)), "[]", plain(x))
+    if not isinstance(x, frozenset) or x in (FALSE, TRUE):
+        return show(x)
+    items = sorted(x, key=order)
+    if not is_relation(x) or len({frozenset(t) for t in x}) > 1:
+        return block(list(map(inside, items)), "{}", plain(x))
+    names, margin, rows = heading(x), "\n" + "  " * (depth + 1), ""
+    for t in sorted(items, key=lambda t: [order(t[n]) for n in names]):
+        values = [t[n] for n in names]
+        if all(map(plain, values)):
+            rows += f"{margin}({', '.join(pretty(v, depth + 2) for v in values)}),"
+        else:
+            rows += f"{margin}(" + "".join(f"{margin}  {pretty(v, depth + 2)}," for v in values) + f"{margin}),"
+    return "{" + margin + "|" + ", ".join(names) + "|" + rows + "\n" + "  " * depth + "}"
+
+
 def shown(form: str, x: Any) -> str:
     """A value in a text: strings as they are, others as they are written; ``form`` as in printf."""
+    x = bare(x)
     plain = "" if x == FALSE else x if isinstance(x, str) else x.decode("utf-8", "replace") if isinstance(x, bytes) else show(x)
     last = form[-1:]
     if last in ("", "v", "s"):

@@ -344,13 +344,19 @@ class Rel:
         """Rows in order; ties by all attributes."""
         return self.df.orderBy(*keys, *self.names)
 
-    def order_array(self, *keys: str, into: str = "items") -> Rel:
-        """The relation as one array of its tuples in order of ``keys``."""
-        tagged = F.struct(F.struct(*[F.expr(k) for k in keys]).alias("k"), F.struct(*self.names).alias("v"))
-        return Rel(self.df.agg(F.expr("1").alias("__"), F.sort_array(F.collect_list(tagged)).alias("s")).select(F.transform("s", lambda x: x["v"]).alias(into)), True)
-
-    def concat(self, other: Rel) -> Rel:
+    def order_array(self, *keys: str, into: str = "items", less: Callable[[Column, Column], Column] | None = None) -> Rel:
+        """The relation as one array of its tuples in order of ``keys``, or of a comparison of two tuples."""
+        row = F.struct(*[F.col(f"`{n}`") for n in self.names])
+        if less is not None:
+            made = F.array_sort(F.sort_array(F.collect_list(row)), lambda a, b: F.when(less(a, b), F.lit(-1)).when(less(b, a), F.lit(1)).otherwise(F.lit(0)))
+            return Rel(self.df.agg(made.alias(into)), True)
+        tagged = F.struct(F.struct(*[F.expr(k) for k in keys]).alias("k"), row.alias("v"))
+        return Rel(self.df.agg(F.sort_array(F.collect_list(tagged)).alias("s")).select(F.transform("s", lambda x: x["v"]).alias(into)), True)
+
+    def concat(self, other: Rel, *more: Rel) -> Rel:
         """Sequence relations (attribute ``@``): the right one's positions move up by the left one's count."""
+        if more:
+            return self.concat(other).concat(*more)
         shift = self.df.agg(F.count("*").alias("__n"))
         moved = other.df.crossJoin(F.broadcast(shift)).withColumn("@", F.col("@") + F.col("__n")).drop("__n")
         return Rel(self._raw.unionByName(moved.select(*self.names)))
