@@ -71,21 +71,21 @@ def split(delimiter: str, s: Column) -> Column:
     return F.split(s, quoted)
 
 
-def sub(old: str, new: str, s: Column) -> Column:
-    return F.replace(s, F.lit(old), F.lit(new))
+def sub(old: Column, new: Column, s: Column) -> Column:
+    return F.replace(s, old, new)
 
 
-def trim_prefix(p: str, s: Column) -> Column:
-    return F.when(s.startswith(p), F.substring(s, len(p) + 1, 2**31 - 1)).otherwise(s)
+def trim_prefix(p: Column, s: Column) -> Column:
+    return F.when(F.startswith(s, p), s.substr(F.length(p) + 1, F.length(s))).otherwise(s)
 
 
-def trim_suffix(p: str, s: Column) -> Column:
-    return F.when(s.endswith(p) & F.lit(bool(p)), s.substr(F.lit(1), F.length(s) - len(p))).otherwise(s)
+def trim_suffix(p: Column, s: Column) -> Column:
+    return F.when(F.endswith(s, p), s.substr(F.lit(1), F.length(s) - F.length(p))).otherwise(s)
 
 
 def title(s: Column) -> Column:
-    """The first letter of each word in upper case; the others stay."""
-    return F.array_join(F.transform(F.split(s, " "), lambda w: F.concat(F.upper(w.substr(1, 1)), F.substring(w, 2, 2**31 - 1))), " ")
+    """The first letter of each word in upper case; the others, and white space of any kind, stay."""
+    return F.array_join(F.transform(F.split(s, r"(?<=\s)"), lambda w: F.concat(F.upper(w.substr(1, 1)), F.substring(w, 2, 2**31 - 1))), "")
 
 
 def char_at(s: Column, i: Column | int) -> Column:
@@ -110,8 +110,16 @@ def a_suffix(p: Column, a: Column) -> Column:
     return F.when(n == 0, F.lit(True)).otherwise((n <= F.size(a)) & (F.slice(a, F.greatest(F.size(a) - n + 1, F.lit(1)), n) == p))
 
 
-def a_repeat(n: int, a: Column) -> Column:
-    return F.flatten(F.array_repeat(a, n))
+def a_repeat(n: Column, a: Column) -> Column:
+    return F.flatten(F.array_repeat(a, n.cast("int")))
+
+
+def a_trim_prefix(p: Column, a: Column) -> Column:
+    return F.when(a_prefix(p, a), F.slice(a, F.size(p) + 1, F.size(a))).otherwise(a)
+
+
+def a_trim_suffix(p: Column, a: Column) -> Column:
+    return F.when(a_suffix(p, a), F.slice(a, F.lit(1), F.size(a) - F.size(p))).otherwise(a)
 
 
 def a_join(separator: Column, arrays: Column) -> Column:

@@ -87,13 +87,13 @@ class Engine:
         while known not in self.std and "." in known:
             known, _, last = known.rpartition(".")
             rest.insert(0, last)
-        if known not in self.std or self.safe and known.startswith(("os.", "net.")):
+        if known not in self.std or self.safe and known.split(".")[0] in ("os", "net"):
             raise V.EvalError(f"//{n[0]} not found")
         found = self.std[known]
         for part in rest:
-            if not isinstance(found, V.Tup) or part not in found:
+            if not isinstance(found, V.Tup) or part not in found and "&" + part not in found:
                 raise V.EvalError(f"//{n[0]} not found")
-            found = found[part]
+            found = found[part] if part in found else found["&" + part]()
         return found
 
     def evaluator(self, config: Any) -> V.Tup:
@@ -120,7 +120,8 @@ class Engine:
         if not os.path.isfile(full):
             raise V.EvalError(f"no file {path}")
         if decoder:
-            return V.value(self.run(decoder, env)["decode"](formats.read_file(full, bytes)))
+            made = self.run(decoder, env)
+            return V.value((made if callable(made) else made["decode"])(formats.read_file(full, bytes)))
         if kind != SCRIPT[1:]:
             return formats.read_file(full)
         if full not in self.imported:
@@ -203,7 +204,7 @@ class Engine:
         return out or V.FALSE
 
     def _array(self, n: Node, env: ChainMap) -> Any:
-        return tuple(None if e is None else self.run(e, env) for e in n[0]) or V.FALSE
+        return V.array([None if e is None else self.run(e, env) for e in n[0]])
 
     def _set(self, n: Node, env: ChainMap) -> Any:
         return V.as_set(self.run(e, env) for e in n[0])
@@ -834,7 +835,13 @@ class Engine:
 
     def truth(self, n: Node, x: Rel, env: ChainMap) -> Column:
         c = self._column(n, x, env)
-        return c if n.kind == "compare" or n.kind == "unary" and n[0] == "!" else S.truthy(c, self.kind_of(c, x))
+        return c if self.is_test(n) else S.truthy(c, self.kind_of(c, x))
+
+    def is_test(self, n: Node) -> bool:
+        """Whether a node's column is a truth value by its form, also where types aren't known: over the elements of a column."""
+        if n.kind == "bin" and n[0] in ("&&", "||"):
+            return self.is_test(n[1]) and self.is_test(n[2])
+        return n.kind == "compare" or n.kind == "unary" and n[0] == "!"
 
     def plain_tails(self, n: Node, x: Rel, env: ChainMap) -> Node:
         """A chain of tails over a column: attributes are there or not by the type, whatever the row."""
@@ -864,7 +871,7 @@ class Engine:
         if f.kind == "name" and isinstance(env.get(f[0]), Callable) and hasattr(env[f[0]], "node"):
             body = env[f[0]].node
             return self.lambda_of(body, x, env, *[self._column(m, x, env) for m in args])
-        if f.kind not in ("get", "item", "call", "name") or len(args) != 1:
+        if f.kind not in ("get", "item", "call", "name", "arrow", "array") or len(args) != 1:
             raise V.EvalError("cannot be a column: a call")
         c, kind = self.column(f, x, env)
         at = self._column(args[0], x, env)
@@ -939,13 +946,14 @@ class Engine:
             own = Node("get", (env[""], *n[1].args[1:])) if n[1].kind == "get" and n[1][0] == Node("name", ("",)) else n[1]
             inner = env.new_child({"": own})
             return functools.reduce(lambda c, kv: c.withField(kv[0], self._column(kv[1], x, inner)), n[2][0], self._column(n[1], x, env))
-        a, kind = self.column(n[1], x, env)
+        a, b = self._column(n[1], x, env), self._column(n[2], x, env)
         if op in ("&&", "||"):
-            b, other = self.column(n[2], x, env)
+            if self.is_test(n):
+                return a & b if op == "&&" else a | b
+            kind, other = self.kind_of(a, x), self.kind_of(b, x)
             if isinstance(kind, T.BooleanType) and isinstance(other, T.BooleanType):
                 return a & b if op == "&&" else a | b
             return F.when(S.truthy(a, kind), b if op == "&&" else a).otherwise(a if op == "&&" else b)
-        b = self._column(n[2], x, env)
         if op in ("with", "without"):
             return F.array_sort(F.array_union(a, F.array(b)) if op == "with" else F.array_except(a, F.array(b)))
         if op == "++":

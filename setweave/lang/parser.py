@@ -203,7 +203,7 @@ class Parser:
             elif op == "rank":
                 left = Node("rank", (left, self.power()))
             elif op == "filter":
-                left = Node("filter", (left, Node("name", (".",)) if self.peek("{") else self.postfix(), self.cases(True)))
+                left = Node("filter", (left, Node("name", (".",)) if self.peek("{") else self.binary(1), self.cases(True)))
             elif level == 0:
                 right = Node("fn", (self.pattern(), self.expr())) if self.take("\\") else self.binary(1)
                 left = Node("arrow", (op, left, right))
@@ -251,6 +251,8 @@ class Parser:
 
     def postfix(self) -> Node:
         node = self.primary()
+        if node.kind == "get" and node[2] is None and self.peek("?"):
+            node = self.safe(node)
         while True:
             if self.take("count"):
                 node = Node("count", (node,))
@@ -324,7 +326,7 @@ class Parser:
             self.at += 1
             return Node("lit", (value == "true",)) if value in ("true", "false") else Node("name", (value,))
         if self.take("cond"):
-            control = None if self.peek("{") else self.postfix()
+            control = None if self.peek("{") else self.binary(1)
             return Node("cond", (self.cases(), None)) if control is None else Node("match", (control, self.cases(True)))
         if self.take("//"):
             path = [self.name()]

@@ -34,6 +34,12 @@ def offset(n: int, x: Any) -> Any:
     return Off(n, x) if n and x != FALSE else x
 
 
+def array(items: Any) -> Any:
+    """An array of items, None for holes; holes at either end are no part of it."""
+    held = [i for i, x in enumerate(items) if x is not None]
+    return offset(held[0], tuple(items[held[0] : held[-1] + 1])) if held else FALSE
+
+
 def bare(x: Any) -> Any:
     """A sequence as if it began at 0."""
     return x.items if isinstance(x, Off) else x

@@ -1,10 +1,15 @@
 """Both sides are texts of the language and must be the same value."""
 
+import http.server
+import io
+import threading
+
 import pytest
 
 from setweave.lang.engine import Engine
-from setweave.lang.values import EvalError
+from setweave.lang.values import EvalError, Tup, true, value
 from setweave.operators.relation import Rel
+from setweave.sources import formats
 
 SAME = [
     ("{|a,b,c| (1,4,2)}", "{|a,b| (1,4),(2,5)} <&> {|b,c| (4,2),(6,7)}"),
@@ -41,7 +46,7 @@ SAME = [
     ("9", "{'k': 7}('z')?:9"),
     ("3", "(a: 1).b?:3"),
     ("{1,3,5}", "//bits.set(42)"),
-    ("['', 'B', 'CD']", "//seq.split('A')('ABACD')"),
+    ("['', 'x', '', 'yz']", "//seq.split('-')('-x--yz')"),
     ("{}", "//seq.split('')('')"),
     ("'a-b'", "//seq.join('-')(['a','b'])"),
     ("120", "//fn.fix(\\f \\n cond {n < 2: 1, _: n * f(n - 1)})(5)"),
@@ -51,27 +56,72 @@ SAME = [
     ("0", "{} count"),
     ("[3,2,1]", "{1,2,3} order \\a \\b a > b"),
     ("{}", "{} order \\a \\b a < b"),
-    ("'a00042z'", '$"a${6*7:05d}z"'),
-    ("'a001, 002, 003z'", '$"a${[1, 2, 3]:03d:, }z"'),
-    ("'3.142'", '$"${//math.pi:.3f}"'),
-    ("'      abc'", "$\"     ${$' abc'}\""),
-    ("{}", "$\"     ${''}\""),
-    ("'{[1], [1, 1]}'", "$'${{[1, 1], [1]}}'"),
+    ("'<000099>'", '$"<${9 * 11:06d}>"'),
+    ("'(0007/0040)'", '$"(${[7, 40]:04d:/})"'),
+    ("'2.7'", "$'${//math.e:.1f}'"),
+    ("'--  q--'", "$\"--${$'  q'}--\""),
+    ("'top\\n\\nend'", "$'top\\n   ${{}}\\nend'"),
+    ("'{(k: 1), (k: 2)}'", "$'${{(k: 2), (k: 1)}}'"),
     ("'a\\nb\\n  c'", "$'\n  a\n  b\n    c'"),
     ("'x: 12;y'", "$`x: ${(a: [1, 2]).a:::;}y`"),
     ("'1-2!'", "$'${[1, 2]::-:!}'"),
-    ("(b: 2)", "let (...tail, a:1, c: 3) = (a: 1, b: 2, c: 3); tail"),
-    ("[(b: 2), 1]", "let (?:a:1, ...tail) = (b: 2); [tail, a]"),
-    ("[1, 42]", "let (a: x, b?: y:42) = (a: 1); [x, y]"),
+    ("(x: 6, y: 7)", "let (w: 5, ...others) = (w: 5, x: 6, y: 7); others"),
+    ("[10, (name: 'n')]", "let (?:size:10, ...t) = (name: 'n'); [size, t]"),
+    ("['z', 0]", "let (p: l, q?: r:0) = (p: 'z'); [l, r]"),
     ("1", "let (?:a:1) = {}; a"),
     ("{'k': 2}", "let {'a': 1, ...t} = {'a': 1, 'k': 2}; t"),
     ("9", "let f = \\x x + @y; let (@y: 4); f(5)"),
-    ("'A1B2'", "//re.compile(`.(\\d)`).subf(//str.upper, 'a1b2')"),
-    ("'-1-2'", "//re.compile(`.(\\d)`).sub(`-$1`)('a1b2')"),
+    ("'1 UP 2 LOW'", "//re.compile(`[a-z]+`).subf(//str.upper, '1 up 2 low')"),
+    ("'1,2'", "//re.compile(`(\\w)=(\\d)`).sub(`$2`)('a=1,b=2')"),
     ("true", "//test.assert.size(2, {1, 2})"),
     ("(a: (b: 1, c: 5), d: 3)", "(a: (b: 1, c: 2), d: 3) +> (a+>: (c: 5))"),
     ("(a: (b: (x: 1, y: 2)), s: {1, 2}, t: 'uv')", "(a: (b: (x: 1)), s: {1}, t: 'u') +> (a+>: (b+>: (y: 2)), s|: {2}, t++: 'v')"),
     ("'007'", "//str.expand('03d', 7, '', '')"),
+    ("true", "{1} !(<=) {2} && {1, 2} (<>) {1} && {1, 2} (<>=) {1, 2} && {1, 2} !(<>) {3} && {3} !(<>=) {4} && {5} !(>) {5}"),
+    ("{}", "{1, 2} (<>) {1, 2}"),
+    ("{'even', 'odd'}", "{1, 2, 3, 5} filter . % 2 {0: 'even', 1: 'odd'}"),
+    ("{10}", "{(a: 1, b: 10), (a: 2, b: 20)} filter .a {1: .b}"),
+    ("{8, 9}", "{7, 8, 9} filter . {(8, 9): .}"),
+    ("{{2, 3}, {4}}", "{{1, 2}, {3}} => => . + 1"),
+    ("{[2, 3]}", "{[1, 2]} => >> . + 1"),
+    ("{(a: 2)}", "{(a: 1)} => :> . + 1"),
+    ("2\\[5, 6]", "1\\(1\\[5, 6])"),
+    ("2\\[1]", "[, , 1, , ]"),
+    ("<<'ab', 10>>", "<<97, 'b', 10>>"),
+    ("7", "let f = &(3 + 4); *f"),
+    ("7", "(&x: 3 + 4).x"),
+    ("[3, 9, 9, 9]", "[(a: (b: 3)).a?.b:9, (a: (c: 3)).a?.b?:9, (a: (c: 3)).z?.b:9, (a: {'k': 5}).a?('j')?:9]"),
+    ("%c", "(2\\[%b, %c])(3)"),
+    ("4\\'yz'", "'uvwxyz' where .@ > 3"),
+    ("1\\[20, , 40]", "[10, 20, 30, 40] where .@item != 10 && .@item != 30"),
+    ("[[1\\'a1', 2\\'1'], [3\\'b2', 4\\'2']]", "//re.compile(`[ab](\\d)`).match(':a1b2')"),
+    ("[['p', 'p'], [1\\'q', , 1\\'q']]", "//re.compile('(p)|(q)').match('pq')"),
+    ("'(\n  a: 1,\n  b: [1, , {2}],\n  c: {\n    3: (),\n  },\n)'", "//fmt.pretty((b: [1, , {2}], a: 1, c: {3: ()}))"),
+    ("'{\n  |a, b|\n  (1, 2),\n  (3, 4),\n}'", "//fmt.pretty({|a, b| (3, 4), (1, 2)})"),
+    ("[true, {}]", "let t = //fn.fixt((even: \\t \\n cond {n = 0: true, _: t.odd(n - 1)}, odd: \\t \\n cond {n = 0: {}, _: t.even(n - 1)})); [t.even(6), t.even(7)]"),
+    ("{1, 2, 3}", "//rel.union({{1}, {2, 3}})"),
+    ("-6", "//util.reduce(\\a \\x a - x, 0, [1, 2, 3])"),
+    ("(a: (b: 1, c: 2), d: 4)", "//util.merge((a: (b: 1), d: 3), (a: (c: 2), d: 4))"),
+    ("['a2', 'a10']", "//util.natural_order({'a10', 'a2'})"),
+    ("{'x': {'a.txt': '1'}}", "//util.filter_tree(\\p p(0) = 'x', {'x': {'a.txt': '1'}, 'y': {'b.txt': '2'}})"),
+    ("'| a | b |\n|---|---|\n| 1 | x |\n'", "//table.markdown({|a, b| (1, 'x')})"),
+    ("'<table><tr><th>a</th></tr><tr><td>1 &lt; 2</td></tr></table>'", "//table.html({|a| ('1 < 2')})"),
+    ("8", "//eval.evaluator((scope: (x: 5))).eval('x + 3')"),
+    ("(a: [1, (b: 'c')])", "//json.tuplify(//json.simplify(//encoding.json.decode('{\"a\": [1, {\"b\": \"c\"}]}')))"),
+    ("[['a', 'x\n#y'], ['1', '2']]", "//encoding.csv.decoder((comment: %#))('a,\"x\n#y\"\n#left out\n1,2\n')"),
+    ("[['a', 'b'], ['1']]", "//encoding.csv.decoder((fieldsPerRecord: -1))('a,b\n1\n')"),
+    ("<<'a;b\r\n'>>", "//encoding.csv.encoder((comma: %;, crlf: true))([['a', 'b']])"),
+    ("[(xmldecl: 'version=\"1.0\"'), (elem: 'r', attrs: {(name: 'k', value: 'v')}, children: ['t', (comment: 'c'), (elem: 'e')])]", "//encoding.xml.decode('<?xml version=\"1.0\"?><r k=\"v\">t<!--c--><e/></r>')"),
+    ("[(elem: 'r', children: [(elem: 'e', ns: 'u', attrs: {(name: 'p', ns: 'xmlns', value: 'u')})])]", "//encoding.xml.decoder((trimSurroundingWhitespace: true))('<r> <p:e xmlns:p=\"u\"/> </r>')"),
+    ("<<'<r k=\"&lt;\">a &amp; b<e></e></r>'>>", "//encoding.xml.encode(//encoding.xml.decode('<r k=\"&lt;\">a &amp; b<e/></r>'))"),
+    ("(r: (@k: 'v', e: ['1', '2']))", "//xml.to_tuple(//encoding.xml.decode('<r k=\"v\"><e>1</e><e>2</e></r>'))"),
+    ("<<'{\"a\":\"\\\\u003c\"}'>>", "//encoding.json.encoder((escapeHTML: true))({'a': (s: '<')})"),
+    ("<<'{\n>  \"a\": 1\n>}'>>", "//encoding.json.encoder((prefix: '>', indent: '  '))({'a': 1})"),
+    ("<<'a:\n   b: 1\n'>>", "//encoding.yaml.encoder((indent: 3))({'a': {'b': 1}})"),
+    ("(name: 'v', n: 3, args: ['rest'])", "//flag.parser({'name': (type: 'string', alias: 'm'), 'n': (type: 'number')}).parse(['-m', 'v', '--n', '3', 'rest'])"),
+    ("(@neg: {1})", "-{1}"),
+    ("true", "//seq.contains({}, 'abc')"),
+    ("[1, 2]", "//log.printf('%s and %d', [1, 2])"),
 ]
 
 
@@ -80,7 +130,7 @@ def test_same(expected, code):
     assert Engine().eval(code) == Engine().eval(expected)
 
 
-@pytest.mark.parametrize("code", ["{} max .", "{1,2} single", "[1](5)", "(a: 1).|b|", "nothing", "{|a,b| (1)}", "{'a': 1}('b')", "//test.assert.equal(1, 2)", "let (a: 1) = (a: 1, b: 2); 3", "$'${1::,}'", "@y"])
+@pytest.mark.parametrize("code", ["{} max .", "{1,2} single", "[1](5)", "(a: 1).|b|", "nothing", "{|a,b| (1)}", "{'a': 1}('b')", "//test.assert.equal(1, 2)", "let (a: 1) = (a: 1, b: 2); 3", "$'${1::,}'", "@y", "{1, 2} >> .", "(a: 1).b?.c?.d:(2).e", "//encoding.csv.decode('a,b\n1\n')", "//encoding.csv.decode('a\"b')", "//encoding.xml.decode('<a>')", "<<300>>", "'a'\\[1]", "//flag.parser({}).parse(['--x'])"])
 def test_errors(code):
     with pytest.raises(EvalError):
         Engine().eval(code)
@@ -113,6 +163,38 @@ def test_text_over_relations(spark):
     assert "collect_set" not in plan
 
 
+def test_the_language_over_relations(spark):
+    """The same texts over local relations and over Spark's give the same rows."""
+    data = [("a", 1.0, [1.0, 2.0], "x y"), ("a", 2.0, [3.0], "y"), ("b", 5.0, [4.0, 5.0, 9.0], "z y x"), ("c", 7.0, [8.0, 1.0], "y z")]
+    engine, local = Engine(spark), Engine()
+    for e in (engine, local):
+        e.bind("T", Rel.of(spark, "k string, x double, l array<double>, w string, g array<double>", [(*r, sorted(r[2])) for r in data]) if e is engine else {Tup(k=k, x=x, l=tuple(l), w=w, g=frozenset(l)) for k, x, l, w in data})
+        e.bind("S", Rel.of(spark, "`@` double, v double", [(0.0, 3.0), (2.0, 4.0)]) if e is engine else {Tup({"@": 0.0, "v": 3.0}), Tup({"@": 2.0, "v": 4.0})})
+    same = [
+        "T filter .k {'a': (x: .x), ('b', 'c'): (x: .x + 100)}", "T filter .l {[a, b]: (p: a, q: b), [a, ...t]: (p: a, q: 0 - (t count))}", "T => (:.k, m: .g median ., s: .g => . * 2 sum ., a: .g mean ., z: .g max -.)",
+        "T => (:.k, c: (.g where . > 2 && . < 9) count)", "T => (:.x, h: //seq.contains([5], .l), p: //seq.has_prefix('x', .w), t: //str.title(.w))", "S >> . + 1", "S >>> \\i \\v i + v",
+        "T rank (r: -.x) where .r < 2 => (:.k, :.r)", "T rank (r: .k) where .r <= 1 => (:.x, :.r)", "(T nest ~|k|g => (:.k, g: .g rank (r: -.x))) unnest g => (:.x, :.r)", "T => (:.x, z: .q?.r?:3)",
+        "T => (:.x, u: .l(0) + .l(9)?:0.5)", "T => (:.x, c: {.x} (<=) {1, 2}, d: {.x} (<>) {1, 7}, e: {.x} !(<) {1, 2})", "T where !(.x = 1) && .x <: {1, 2, 5} => (:.k)", "T => (:.x, o: (.g orderby -.)(0), i: (.l >>> \\i \\v i * v)(0))",
+        "(T => (:.k)) | (T => (k: .w))", "//rel.union({T => (:.k), T => (k: .w)})", "T => (:.x, s: //seq.sub('y', .k, .w))", "T => (:.x, r: //seq.repeat(2, .k), j: //seq.trim_suffix(.k, 'ba'))",
+        "let f = \\a a * 10; T => (v: f(.x))", "T => (:.x, p: .g => . + 1 sum .)", "T -> (. where .x > 1) => (:.x)",
+    ]
+    for text in same:
+        got = engine.eval(text)
+        names = sorted(got.names)
+        want = sorted(tuple(value(t[n]) for n in names) for t in local.eval(text))
+        assert sorted(tuple(value(r[n]) for n in names) for r in got.df.collect()) == want, text
+    items = engine.eval("T order \\a \\b a.x > b.x").df.first()["items"]
+    assert [r.x for r in items] == [7.0, 5.0, 2.0, 1.0]
+    member = "(k: 'a', x: 2) <: (T => (:.k, :.x))"
+    assert true(engine.eval(member)) and true(local.eval(member)) and not true(engine.eval("(k: 'z', x: 2) <: (T => (:.k, :.x))"))
+    assert true(engine.eval("(T where .x > 1) (<>) T")) and not true(engine.eval("T (<>) T")) and true(engine.eval("T (<>=) T && T !(<) T"))
+    for text in ("T % T", "T < T", "T >> .", "T filter . {{1: 2}: 3}"):
+        with pytest.raises(EvalError):
+            engine.eval(text)
+    plan = engine.eval("T rank (r: -.x) where .r < 2").df._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
 def test_templates_over_relations(spark):
     engine = Engine(spark)
     engine.bind("R", Rel.of(spark, "k string, x double", [("a", 1.0), ("b", 2.5), ("b", 2.5)]))
@@ -133,7 +215,7 @@ def test_imports_and_formats(spark, tmp_path):
     assert engine.eval("//{./t.parquet} sum .id") == 3.0
     assert engine.eval("//[//encoding.json]{./raw.txt}") == engine.eval("(a: [1])")
     assert engine.eval("//encoding.json.decode('[1]')") == engine.eval("(a: [1])")
-    assert engine.eval("//encoding.csv.decoder((comma: ';')).decode('a;b')") == (("a", "b"),)
+    assert engine.eval("//encoding.csv.decoder((comma: ';'))('a;b')") == (("a", "b"),)
     assert engine.eval("//eval.value('1 + 2')") == 3.0
     for text in ("//{./loop}", "//{./nothing}", "//{https://example.org/x.json}", "//encoding.json.other"):
         with pytest.raises(EvalError):
@@ -142,6 +224,41 @@ def test_imports_and_formats(spark, tmp_path):
         Engine(safe=True).eval("//os.file('/etc/hosts')")
 
 
+def test_files_and_http(tmp_path, monkeypatch):
+    """The tree of a folder, standard input read once, wire texts, and requests to a server of this machine."""
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "f.txt").write_text("12345")
+    engine = Engine()
+    tree = engine.eval(f"//os.tree('{tmp_path}') => .|name,size,is_dir| where .name = 'f.txt' || .name = 'd' => (:.name, :.is_dir)")
+    assert tree == {Tup(name="f.txt", is_dir=frozenset()), Tup(name="d", is_dir=frozenset([Tup()]))}
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(b"in")))
+    assert engine.eval("//os.stdin") == engine.eval("//os.stdin") == b"in"
+    for x in (engine.eval("{1, {2}, (a: [1, 2], b: 'c')}"), engine.eval("[{3}]")):
+        assert formats.from_wire(formats.to_wire(x)) == x
+
+    class Answers(http.server.BaseHTTPRequestHandler):
+        def do_GET(self, body=b"got"):
+            self.send_response(200 if self.path == "/here" else 404)
+            self.end_headers()
+            self.wfile.write(body + self.headers.get("X-Own", "").encode())
+
+        def do_POST(self):
+            self.do_GET(self.rfile.read(int(self.headers["Content-Length"])))
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    got = engine.eval(f"//net.http.get((header: (`X-Own`: ['!'])), '{url}/here')")
+    assert got["status_code"] == 200.0 and got["body"] == b"got!"
+    assert engine.eval(f"//net.http.get((), '{url}/gone').status_code") == 404.0 and engine.eval(f"//net.http.post((), '{url}/here', 'sent').body") == b"sent"
+    server.shutdown()
+    with pytest.raises(EvalError):
+        Engine(safe=True).eval(f"//net.http.get((), '{url}')")
+
+
 def test_command_line(tmp_path, capsys):
     from setweave.__main__ import main
 

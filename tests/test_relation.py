@@ -1,7 +1,11 @@
+import datetime
+import random
+
 import pytest
+from pyspark.sql import Window
 
 from setweave.functions import scalar as S
-from setweave.operators.relation import Rel, RelationError, max_of, sum_of
+from setweave.operators.relation import Rel, RelationError, down, max_of, sum_of
 from setweave.plans import recursion
 from setweave.sources import formats
 from setweave.streaming.observe import Reactor
@@ -41,8 +45,37 @@ def test_folds_of_nothing(spark):
 
 
 def test_rank_ties(spark):
-    r = Rel.of(spark, "x int, y int", [(1, 0), (1, 1), (2, 1), (3, 1)]).rank(r="x")
-    assert sorted(t[-1] for t in rows(r)) == [0.0, 0.0, 2.0, 3.0]
+    """Ranks of whole relations, by ranges, are the numbers of rows with lesser keys; nulls come first, and last if the key falls."""
+    rng = random.Random(7)
+    kinds = {
+        "double": lambda: rng.choice([0.0, -0.0, 1.5, float("nan"), -3.0, None, rng.random()]), "string": lambda: rng.choice(["", "b", "bb", "é", "zz", None, f"k{rng.randrange(99)}"]),
+        "date": lambda: rng.choice([None, datetime.date(2020, 1, 1 + rng.randrange(28))]), "struct<a: int, b: string>": lambda: (rng.randrange(3), rng.choice("xy")), "array<int>": lambda: [rng.randrange(3) for _ in range(rng.randrange(3))],
+        "binary": lambda: rng.choice([b"a", b"b"]),
+    }
+    for kind, make in kinds.items():
+        df = spark.createDataFrame([(i, make()) for i in range(60)], f"i int, x {kind}").repartition(5)
+        for falls in (False, True):
+            got = Rel(df, [["i"]]).rank(r=down("x") if falls else "x").df
+            want = df.withColumn("r", (F.rank().over(Window.orderBy(F.desc("x") if falls else F.asc("x"))) - 1).cast("double"))
+            assert sorted((r.i, r.r) for r in got.collect()) == sorted((r.i, r.r) for r in want.collect()), (kind, falls)
+    both = Rel(df, [["i"]]).rank(r="i % 4", s=down("i")).df
+    assert sorted((t.i % 4, t.r, t.s) for t in both.collect())[0] == (0, 0.0, 3.0) and Rel(df.limit(0), [["i"]]).rank(r="i").df.count() == 0
+
+
+def test_keys(spark):
+    """What is known to be unique, through operators; and no distinct in plans where it is."""
+    a = Rel(spark.createDataFrame([(1, 7, "x"), (2, 7, "y")], "i int, j int, k string"), [["i"]])
+    b = Rel(spark.createDataFrame([(7, "p")], "j int, z string"), [["j"]])
+    key = frozenset(["i"])
+    assert key in a.project("i", "k").keys and not a.project("j").keys and a.rename(i="n").keys == {frozenset(["n"])}
+    assert a.join(b).keys == {key} and a.left_match(b).keys == a.anti(b).keys == a.where("i > 1").keys == {key}
+    assert a.map(n="i", m="j + 1").keys == {frozenset(["n"])} and not a.map(n="i + 0").keys and not a.merge(i="1").keys and a.merge(q="1").keys == {key}
+    assert a.group("j", n=F.count("*")).keys == {frozenset(["j"])} and a.rank(r="j").keys == {key} and not a.union(a).keys
+    assert a.join(Rel(b._raw)).keys == frozenset() and a.nest_by("j", into="g").keys == {frozenset(["j"])}
+    plan = a.join(b).project("i", "z").df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and rows(a.join(b).project("i", "z")) == [(1, "p"), (2, "p")]
+    c = Rel(spark.createDataFrame([(1, 7, "x"), (3, 7, "x")], "i int, j int, k string"), [["i"]])
+    assert rows(a.symmetric(c)) == [(2, 7, "y"), (3, 7, "x")] and rows(a.minus(c)) == [(2, 7, "y")] and rows(a.intersect(c)) == [(1, 7, "x")]
 
 
 def test_division(spark):
