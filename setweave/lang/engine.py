@@ -781,8 +781,13 @@ class Engine:
             return F.slice(sub(n[0]), n[1] + 1, F.greatest(F.size(sub(n[0])) - n[2], F.lit(0)))
         if n.kind == "name" and isinstance(env.get(n[0]), Node):
             return sub(env[n[0]])
-        if n.kind in ("lit", "name"):
+        if n.kind in ("arrow", "count", "single") and isinstance(self.bound(n[1] if n.kind == "arrow" else n[0], env), Rel):
+            # A fold over another relation doesn't depend on the row.
+            return F.lit(self.run(n, env.new_child({".": V.FALSE})))
+        if n.kind in ("lit", "name", "std"):
             v = self.run(n, env)
+            if callable(v) or isinstance(v, Rel):
+                raise V.EvalError("a function or a relation cannot be a column")
             if n.kind == "lit" and isinstance(n[0], bool):
                 return F.lit(n[0])
             return F.lit("" if v == V.FALSE else list(v) if isinstance(v, tuple | frozenset) else v)
@@ -828,6 +833,9 @@ class Engine:
             return self._folded(n, x, env)
         raise V.EvalError(f"cannot be a column: {n.kind}")
 
+    def bound(self, n: Node, env: ChainMap) -> Any:
+        return env.get(n[0]) if n.kind == "name" else None
+
     def is_row(self, n: Node, env: ChainMap) -> bool:
         """Whether a node is the dot that stands for a relation's row, or a name for it."""
         bound = env.get(n[0]) if n.kind == "name" else None
@@ -863,7 +871,8 @@ class Engine:
             known, subject = self.std[f[0]], None
             if getattr(known, "array", None) and args[-1].kind != "lit":
                 subject = self._column(args[-1], x, env)
-            if subject is not None and isinstance(self.kind_of(subject, x), T.ArrayType):
+            kind = None if subject is None else self.kind_of(subject, x)
+            if isinstance(kind, T.ArrayType) and (isinstance(kind.elementType, T.ArrayType) or not known.nested):
                 return known.array(*[self._column(m, x, env) for m in args[:-1]], subject)
             return known.column(*[m if m.kind == "lit" else self._column(m, x, env) for m in args])
         if f.kind == "name" and f[0] in self.columns:

@@ -24,10 +24,10 @@ from setweave.sources import formats
 STD: dict[str, Any] = {"math.pi": math.pi, "math.e": math.e}
 
 
-def std(name: str, arity: int = 1, column: Callable | None = None, array: Callable | None = None):
+def std(name: str, arity: int = 1, column: Callable | None = None, array: Callable | None = None, nested: bool = False):
     """A curried function; string arguments may be ``{}``, the empty string.
 
-    ``column`` gets Columns, or syntax nodes for constants; ``array`` gets Columns, the last one an array.
+    ``column`` gets Columns, or syntax nodes for constants; ``array`` gets Columns, the last one an array (``nested``: of arrays).
     """
 
     def add(f: Callable) -> Callable:
@@ -37,7 +37,7 @@ def std(name: str, arity: int = 1, column: Callable | None = None, array: Callab
                 return V.value(f(*args)) if len(args) == arity else curried(*args)
 
             if column and not got:
-                call.column, call.array = column, array
+                call.column, call.array, call.nested = column, array, nested
             return call
 
         STD[name] = curried()
@@ -89,7 +89,7 @@ def _items(x: Any) -> Any:
     return () if x == V.FALSE else x
 
 
-@std("seq.concat", 1, lambda a: F.concat_ws("", _col(a)), F.flatten)
+@std("seq.concat", 1, lambda a: F.concat_ws("", _col(a)), F.flatten, nested=True)
 def concat(parts: Any) -> Any:
     parts = [p for p in _items(parts) if p != V.FALSE]
     return sum(parts[1:], parts[0]) if parts and not isinstance(parts[0], str | bytes) else (type(parts[0])().join(parts) if parts else V.FALSE)
@@ -127,7 +127,7 @@ def split(d: Any, s: Any) -> Any:
     return [*out, s[at:]] if len(s) else [s]
 
 
-@std("seq.join", 2, lambda d, s: F.array_join(_col(s), _const(d)), lambda d, s: F.array_join(s, "") if d is None else F.concat_ws("", F.flatten(F.transform(s, lambda x, i: F.when(i == 0, F.array(x)).otherwise(F.array(d, x))))))
+@std("seq.join", 2, lambda d, s: F.array_join(_col(s), _const(d)), S.a_join, nested=True)
 def join(d: Any, parts: Any) -> Any:
     out: Any = None
     for p in _items(parts):

@@ -166,9 +166,13 @@ class Rel:
         value = reduce(lambda w, ce: w.when(*ce), cases[1:], F.when(*cases[0]))
         return Rel(self._raw.where(reduce(lambda a, b: a | b, conds)).select(value.alias(name)))
 
+    def _row(self, values: Sequence) -> Rel:
+        """A relation of one row, of this one's types."""
+        kinds = self._raw.schema
+        return Rel(self.spark.range(1).select(*[F.lit(v).cast(kinds[n].dataType).alias(n) for n, v in zip(self.names, values, strict=True)]), True)
+
     def with_row(self, *values) -> Rel:
-        row = self.spark.createDataFrame([tuple(values)], self._raw.schema)
-        return self.union(Rel(row, True))
+        return self.union(self._row(values))
 
     def without_row(self, *values) -> Rel:
         kept = reduce(lambda a, b: a & b, [same(self._raw[n], F.lit(v)) for n, v in zip(self.names, values, strict=True)])
@@ -266,7 +270,7 @@ class Rel:
         return set(self.names) == set(other.names) and self.symmetric(other)._raw.isEmpty()
 
     def has(self, *values) -> bool:
-        return not Rel(self._raw, True).intersect(Rel(self.spark.createDataFrame([tuple(values)], self._raw.schema), True))._raw.isEmpty()
+        return not self._raw.where(reduce(lambda a, b: a & b, [same(F.col(f"`{n}`"), F.lit(v)) for n, v in zip(self.names, values, strict=True)], F.lit(True))).isEmpty()
 
     def power_set(self, most: int = 20) -> Rel:
         """All subsets, each a sorted array; at most ``most`` elements."""
@@ -294,6 +298,26 @@ class Rel:
         self._need(keys)
         return Rel(self.df.groupBy(*keys).agg(*[c.alias(n) for n, c in folds.items()]), [keys])
 
+    def reduce(self, *keys: str, **folds: tuple[Callable, str]) -> Rel:
+        """A fold of one's own: for each group, what functions make of its rows (a pandas DataFrame), as (function, type).
+
+        A group is in one task and in memory there; ``group`` with built-in folds is for groups of any size.
+        """
+        import pandas as pd
+
+        self._need(keys)
+        kinds = {n: self._raw.schema[n].dataType.simpleString() for n in keys}
+        schema = ", ".join(f"`{n}` {t}" for n, t in (*kinds.items(), *((n, t) for n, (_, t) in folds.items())))
+
+        def one(rows: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({**{n: rows[n].iloc[:1].reset_index(drop=True) for n in keys}, **{n: [f(rows)] for n, (f, _) in folds.items()}})
+
+        return Rel(self.df.groupBy(*keys).applyInPandas(one, schema), [keys])
+
+    def expand(self, rows: Column) -> Rel:
+        """The tuples of an array column that a function gives for each row: the union of all such sets."""
+        return Rel(self._raw.select(F.explode(rows).alias("__x")).select("__x.*"))
+
     def nest(self, *names: str, into: str) -> Rel:
         """Groups by the other attributes; ``into`` is the sorted set of the tuples of ``names``."""
         self._need(names)

@@ -45,9 +45,9 @@ class Reactor:
             on_close(error)
 
 
-def observe_stream(stream: DataFrame, evaluate: Callable[[DataFrame], DataFrame], on_update: Callable[[DataFrame, int], None], checkpoint: str):
+def observe_stream(stream: DataFrame, evaluate: Callable[[DataFrame], DataFrame], on_update: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"):
     """Evaluates each micro-batch and hands over the result."""
-    return stream.writeStream.foreachBatch(lambda df, n: on_update(evaluate(df), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(lambda df, n: on_update(evaluate(df), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def watch_files(spark: SparkSession, path: str) -> DataFrame:
@@ -58,10 +58,18 @@ def watch_files(spark: SparkSession, path: str) -> DataFrame:
 
 def windowed(events: DataFrame, time: str, width: str, late: str, slide: str | None = None, **folds) -> DataFrame:
     """Tumbling or sliding windows over event time, with a watermark for late rows."""
-    grouped = events.withWatermark(time, late).groupBy(F.window(time, width, slide))
-    return grouped.agg(*[c.alias(n) for n, c in folds.items()]).select("window.start", *folds)
+    kind = events.schema[time].dataType.simpleString()
+    grouped = _timed(events, time).withWatermark(time, late).groupBy(F.window(time, width, slide))
+    return grouped.agg(*[c.alias(n) for n, c in folds.items()]).select(F.col("window.start").cast(kind).alias("start"), *folds)
+
+
+def _timed(events: DataFrame, time: str) -> DataFrame:
+    """Watermarks need times with a zone: the session's."""
+    return events.withColumn(time, F.col(time).cast("timestamp"))
 
 
 def sessions(events: DataFrame, time: str, gap: str, late: str, *keys: str, **folds) -> DataFrame:
-    grouped = events.withWatermark(time, late).groupBy(F.session_window(time, gap), *keys)
-    return grouped.agg(*[c.alias(n) for n, c in folds.items()]).select("session_window.start", *keys, *folds)
+    """Windows that end once a key has no event for ``gap``."""
+    kind = events.schema[time].dataType.simpleString()
+    grouped = _timed(events, time).withWatermark(time, late).groupBy(F.session_window(time, gap), *keys)
+    return grouped.agg(*[c.alias(n) for n, c in folds.items()]).select(F.col("session_window.start").cast(kind).alias("start"), *keys, *folds)
