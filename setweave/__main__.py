@@ -1,4 +1,5 @@
-"""The command line: ``python -m setweave eval TEXT``, ``run FILE`` and ``json`` (JSON from standard input as a value).
+"""The command line: ``python -m setweave eval TEXT``, ``run FILE`` (a script or a bundle), ``bundle FILE ZIP``, and ``json`` (JSON from
+standard input as a value).
 
 ``--out=file:PATH`` writes a string or bytes, ``--out=dir:PATH`` a dictionary as a tree; otherwise the value is printed.
 Spark starts only if a text makes use of it.
@@ -11,6 +12,7 @@ import os
 import sys
 from typing import Any
 
+from setweave.lang import bundle
 from setweave.lang import values as V
 from setweave.lang.engine import Engine
 from setweave.operators.relation import Rel
@@ -54,7 +56,7 @@ def output(x: Any, out: str | None) -> None:
 def main(argv: list[str] | None = None) -> None:
     known = argparse.ArgumentParser(prog="setweave")
     known.add_argument("--out")
-    known.add_argument("command", choices=("eval", "run", "json"))
+    known.add_argument("command", choices=("eval", "run", "bundle", "json"))
     known.add_argument("rest", nargs="*")
     given = known.parse_args(argv)
     if given.command == "json":
@@ -63,6 +65,10 @@ def main(argv: list[str] | None = None) -> None:
         known.error("a text or a file is missing")
     elif given.command == "eval":
         value = Engine(_Session()).eval(given.rest[0])
+    elif given.command == "bundle":
+        return bundle.write(*given.rest[:2])
+    elif given.rest[0].endswith(".zip"):
+        value = bundle.run(given.rest[0], _Session())
     else:
         value = Engine(_Session(), os.path.dirname(os.path.abspath(given.rest[0]))).script(given.rest[0])
     output(value, given.out)

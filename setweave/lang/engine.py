@@ -648,6 +648,8 @@ class Engine:
             place, item = F.col("`@`"), F.col(f"`{rest[0]}`")
             made = self.lambda_of(body, x, env, place, item) if op == ">>>" else self.lambda_of(body, x, env, item)
             return Rel(x._raw.select(place, made.alias(rest[0])), [["@"]] if frozenset(["@"]) in x.keys else False)
+        if op == "median":
+            return V.value(x.median(self.column(body, x, env)[0]).single()[0])
         if op in FOLDS:
             fold = getattr(R, f"{op}_of")
             return V.value(x.fold(v=fold(self.column(body, x, env)[0])).single()[0])

@@ -293,6 +293,15 @@ class Rel:
         """Folds over all tuples. ``sum_of`` of nothing is 0; the other folds of nothing are errors."""
         return Rel(self.df.agg(*[c.alias(n) for n, c in folds.items()]), True)
 
+    def median(self, c: Column | str, name: str = "median") -> Rel:
+        """The exact median of the whole relation, by ranges of distinct values: no task holds all of them. Of nothing it is an error."""
+        keyed = self.df.select(_expr(c).cast("double").alias("__k")).where("__k IS NOT NULL")
+        ranks = _ranks_of_keys(keyed, False)
+        total = F.broadcast(keyed.agg(F.count(F.lit(1)).alias("__t")))
+        middle = [F.floor((F.col("__t") - d) / 2).between(F.col("__r"), F.col("__r") + F.col("__n") - 1) for d in (1, 0)]
+        found = ranks.crossJoin(total).where(middle[0] | middle[1])
+        return Rel(found.agg(F.when(F.count(F.lit(1)) > 0, F.avg("__k")).otherwise(F.raise_error(F.lit("median of an empty set"))).alias(name)), True)
+
     def group(self, *keys: str, **folds: Column) -> Rel:
         """Nest by ``keys`` and fold each group, as one grouped aggregation; groups are never empty."""
         self._need(keys)
@@ -369,7 +378,9 @@ class Rel:
         return self.df.orderBy(*keys, *self.names)
 
     def order_array(self, *keys: str, into: str = "items", less: Callable[[Column, Column], Column] | None = None) -> Rel:
-        """The relation as one array of its tuples in order of ``keys``, or of a comparison of two tuples."""
+        """The relation as one array of its tuples in order of ``keys``, or of a comparison of two tuples.
+
+        An array is one value in one row, so it is for relations that a task can hold; ``order_by`` is for those of any size."""
         row = F.struct(*[F.col(f"`{n}`") for n in self.names])
         if less is not None:
             made = F.array_sort(F.sort_array(F.collect_list(row)), lambda a, b: F.when(less(a, b), F.lit(-1)).when(less(b, a), F.lit(1)).otherwise(F.lit(0)))
@@ -390,6 +401,15 @@ def _rank_by_ranges(base: DataFrame, name: str, key: Key) -> DataFrame | None:
     if " ASC NULLS " in (shown := str(key.column)) or " DESC NULLS " in shown:
         return None
     keyed = base.withColumn("__k", key.column)
+    ranks = _ranks_of_keys(keyed, key.down)
+    if ranks is None:
+        return None
+    ranks = ranks.select(F.col("__k").alias("__j"), F.col("__r").cast("double").alias("__r"))
+    return keyed.join(ranks, F.col("__k").eqNullSafe(F.col("__j"))).drop(*{"__k", "__j", name} & {*keyed.columns, "__j"}).withColumnRenamed("__r", name)
+
+
+def _ranks_of_keys(keyed: DataFrame, falls: bool) -> DataFrame | None:
+    """Each distinct ``__k`` with its number of rows ``__n`` and that of rows before it ``__r``; None for types without ranges."""
     place = _ordered(F.col("__k"), keyed.schema["__k"].dataType)
     if place is None:
         return None
@@ -397,12 +417,10 @@ def _rank_by_ranges(base: DataFrame, name: str, key: Key) -> DataFrame | None:
     cuts = F.broadcast(counts.agg(F.percentile_approx("__x", [i / RANGES for i in range(1, RANGES)], 1000).alias("__b")))
     dealt = counts.crossJoin(cuts).withColumn("__p", F.when(F.col("__x").isNull(), -1).otherwise(F.size(F.filter("__b", lambda b: b < F.col("__x"))))).drop("__b", "__x")
     sums = dealt.groupBy("__p").agg(F.sum("__n").alias("__m")).agg(F.collect_list(F.struct("__p", "__m")).alias("__s"))
-    inside = Window.partitionBy("__p").orderBy(F.desc("__k") if key.down else F.asc("__k")).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.filter("__s", lambda s: (s["__p"] > F.col("__p")) if key.down else (s["__p"] < F.col("__p")))
+    inside = Window.partitionBy("__p").orderBy(F.desc("__k") if falls else F.asc("__k")).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.filter("__s", lambda s: (s["__p"] > F.col("__p")) if falls else (s["__p"] < F.col("__p")))
     over = F.aggregate(earlier, F.lit(0).cast("long"), lambda total, s: total + s["__m"])
-    ranks = dealt.crossJoin(F.broadcast(sums)).withColumn("__r", (F.coalesce(F.sum("__n").over(inside), F.lit(0)) + over).cast("double"))
-    ranks = ranks.select(F.col("__k").alias("__j"), "__r")
-    return keyed.join(ranks, F.col("__k").eqNullSafe(F.col("__j"))).drop(*{"__k", "__j", name} & {*keyed.columns, "__j"}).withColumnRenamed("__r", name)
+    return dealt.crossJoin(F.broadcast(sums)).select("__k", "__n", (F.coalesce(F.sum("__n").over(inside), F.lit(0)) + over).alias("__r"))
 
 
 def sum_of(c: Column | str) -> Column:
@@ -427,4 +445,10 @@ def mean_of(c: Column | str) -> Column:
 
 
 def median_of(c: Column | str) -> Column:
+    """Exact: a group's distinct values are in one buffer. ``Rel.median`` is for whole relations, ``median_near`` for groups of any size."""
     return _some(lambda x: F.median(x.cast("double")), c, "median")
+
+
+def median_near(c: Column | str, accuracy: int = 10_000) -> Column:
+    """A value whose share of lesser ones is off 1/2 by 1/accuracy at most, in bounded memory."""
+    return _some(lambda x: F.percentile_approx(x.cast("double"), 0.5, accuracy), c, "median")

@@ -37,10 +37,13 @@ def explore(source: DataFrame, edges: DataFrame, rounds: int | None = None) -> D
             parts = [seen, front]
 
 
-def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """Transitive closure of ``src``, ``dst``: new pairs are composed with all known ones until none is new."""
+def closure(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Transitive closure of ``src``, ``dst``: new pairs are composed with all known ones until none is new, so paths double in
+    length with each round. More than ``rounds`` (None: no limit) are an error."""
     known = new = cut(edges.select("src", "dst").distinct())
-    for _ in range(rounds):
+    for n in count():
+        if rounds is not None and n > rounds:
+            raise ValueError(f"more pairs after {rounds} rounds")
         far = known.select(F.col("src").alias("dst"), F.col("dst").alias("end"))
         made = new.join(far, "dst").select("src", F.col("end").alias("dst")).distinct()
         new = cut(made.join(known, ["src", "dst"], "left_anti"))

@@ -282,22 +282,49 @@ def _parts(content: Any, prefix: str = "") -> dict[str, bytes]:
 
 
 def write_dir(content: Any, path: str, if_exists: str = "merge") -> None:
-    """A dictionary of files and folders as a tree; all of it is checked before anything is written."""
-    parts = _parts(content)
-    if os.path.exists(path):
-        if if_exists == "fail":
+    """A dictionary of files and folders as a tree; all of it is checked before anything is written.
+
+    Entries are texts, bytes, dictionaries (folders), or tuples ``(ifExists:, file:)`` and ``(ifExists:, dir:)`` that say what happens to what is
+    there: merge (folders only), replace, ignore, fail, or remove (with neither).
+    """
+    for step, at, data in _steps(V.Tup(ifExists=if_exists, **({} if if_exists == "remove" else {"dir": content})), path):
+        if step == "remove":
+            shutil.rmtree(at) if os.path.isdir(at) else os.remove(at)
+        elif step == "dir":
+            os.makedirs(at, exist_ok=True)
+        else:
+            with open(at, "wb") as f:
+                f.write(data)
+
+
+def _steps(x: Any, path: str, fresh: bool = False) -> list[tuple[str, str, bytes]]:
+    """What writing an entry takes, in order; ``fresh``: nothing will be there by then."""
+    x = V.bare(x)
+    if isinstance(x, V.Tup) and not isinstance(x, V.Dic):
+        rule, there = x.get("ifExists"), not fresh and os.path.exists(path)
+        if rule not in (None, "merge", "replace", "ignore", "fail", "remove") or set(x) - {"ifExists", "dir", "file"}:
+            raise ValueError(f"not a rule for what exists: {V.show(x)}")
+        if ("dir" in x) + ("file" in x) != (rule != "remove") or rule == "merge" and "file" in x:
+            raise ValueError(f"{path}: {rule} with these parts")
+        if rule == "remove":
+            return [("remove", path, b"")] if there else []
+        if there and rule == "ignore":
+            return []
+        if there and rule == "fail":
             raise FileExistsError(path)
-        if if_exists == "ignore":
-            return
-        if if_exists in ("replace", "remove"):
-            shutil.rmtree(path)
-            if if_exists == "remove":
-                return
-    for name, data in parts.items():
-        full = os.path.join(path, name)
-        os.makedirs(os.path.dirname(full), exist_ok=True)
-        with open(full, "wb") as f:
-            f.write(data)
+        body = V.Dic() if x.get("dir") == V.FALSE else x["dir"] if "dir" in x else x["file"]
+        over = there and rule == "replace"
+        return [("remove", path, b"")] * over + _steps(body, path, fresh or over)
+    if isinstance(x, dict):
+        out = [("dir", path, b"")]
+        for name, v in x.items():
+            if not isinstance(name, str) or name in ("", ".", "..") or "/" in name:
+                raise ValueError(f"not a file name: {name!r}")
+            out += _steps(v, os.path.join(path, name), fresh)
+        return out
+    if isinstance(x, str | bytes) or x == V.FALSE:
+        return [("file", path, x.encode() if isinstance(x, str) else x or b"")]
+    raise ValueError(f"not a file's content: {path!r}")
 
 
 def archive(content: Any, kind: str = "zip") -> bytes:

@@ -2,6 +2,7 @@
 
 import http.server
 import io
+import os
 import threading
 
 import pytest
@@ -271,6 +272,40 @@ def test_command_line(tmp_path, capsys):
     assert (tmp_path / "tree" / "a" / "b.txt").read_text() == "text"
 
 
+def test_bundles(tmp_path, capsys):
+    from setweave.__main__ import main
+    from setweave.lang import bundle
+
+    (tmp_path / "lib").mkdir()
+    (tmp_path / "main.sw").write_text("//{./lib/add}(//{/data.json}('n'), 1)")
+    (tmp_path / "lib" / "add.sw").write_text("\\a \\b a + b")
+    (tmp_path / "data.json").write_text('{"n": 41}')
+    main(["bundle", str(tmp_path / "main.sw"), str(tmp_path / "out.zip")])
+    for name in ("main.sw", "lib/add.sw", "data.json"):
+        (tmp_path / name).unlink()
+    main(["run", str(tmp_path / "out.zip")])
+    assert capsys.readouterr().out == "42\n"
+    (tmp_path / "far.sw").write_text("//{../elsewhere}")
+    with pytest.raises(EvalError):
+        bundle.write(str(tmp_path / "far.sw"), str(tmp_path / "far.zip"))
+
+
+def test_trees_of_files(tmp_path):
+    """What each entry says of what exists; nothing is written if anything is wrong."""
+    at, engine = str(tmp_path / "t"), Engine()
+    write = lambda code: formats.write_dir(engine.eval(code), at)
+    seen = lambda: {os.path.relpath(os.path.join(top, f), at): open(os.path.join(top, f)).read() for top, _, names in os.walk(at) for f in names}
+    write("{'a': 'one', 'd': {'x': '1', 'y': '2'}, 'e': {'k': 'v'}}")
+    write("{'a': (ifExists: 'replace', file: 'two'), 'd': (ifExists: 'merge', dir: {'z': '3'}), 'e': (ifExists: 'replace', dir: {'n': 'w'})}")
+    assert seen() == {"a": "two", "d/x": "1", "d/y": "2", "d/z": "3", "e/n": "w"}
+    write("{'a': (ifExists: 'ignore', file: 'three'), 'd': (ifExists: 'remove'), 'new': (ifExists: 'fail', file: 'f'), 'gone': (ifExists: 'remove')}")
+    assert seen() == {"a": "two", "e/n": "w", "new": "f"}
+    for code in ("{'b': 'b', 'new': (ifExists: 'fail', file: 'g')}", "{'b': 'b', 'a': (ifExists: 'merge', file: 'g')}", "{'b': 'b', 'a': (ifExists: 'replace')}", "{'b': 'b', 'c': (ifExists: 'x', file: '')}", "{'b': 'b', '..': ''}", "{'b': 1}"):
+        with pytest.raises((ValueError, FileExistsError)):
+            write(code)
+    assert seen() == {"a": "two", "e/n": "w", "new": "f"}
+
+
 def test_patterns_over_relations(spark):
     data = [("a", 1.0), ("a", 2.0), ("b", 5.0), ("c", 7.0)]
     engine = Engine(spark)

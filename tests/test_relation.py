@@ -1,11 +1,12 @@
 import datetime
 import random
+import statistics
 
 import pytest
 from pyspark.sql import Window
 
 from setweave.functions import scalar as S
-from setweave.operators.relation import Rel, RelationError, down, max_of, sum_of
+from setweave.operators.relation import Rel, RelationError, down, max_of, median_near, sum_of
 from setweave.plans import recursion
 from setweave.sources import formats
 from setweave.streaming.observe import Reactor
@@ -62,6 +63,14 @@ def test_rank_ties(spark):
     assert sorted((t.i % 4, t.r, t.s) for t in both.collect())[0] == (0, 0.0, 3.0) and Rel(df.limit(0), [["i"]]).rank(r="i").df.count() == 0
 
 
+@pytest.mark.parametrize("values", [[3.0], [4.0, 1.0], [1.0] * 5 + [9.0] * 4, [2.0, 2.0, 7.0, 7.0], [random.Random(1).random() for _ in range(400)]])
+def test_median_by_ranges(spark, values):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(-1, None)], "i int, x double").repartition(3)
+    got = Rel(df, [["i"]]).median("x").single()[0]
+    near = Rel(df, [["i"]]).fold(m=median_near("x")).single()[0]
+    assert abs(got - statistics.median(values)) < 1e-12 and near in values
+
+
 def test_keys(spark):
     """What is known to be unique, through operators; and no distinct in plans where it is."""
     a = Rel(spark.createDataFrame([(1, 7, "x"), (2, 7, "y")], "i int, j int, k string"), [["i"]])
