@@ -19,6 +19,8 @@ RANKS = "byte_bpe_50k.tiktoken"
 NONE = np.int32(2**31 - 1)
 #: Bytes of a piece up to which it is a matrix row; longer pieces merge from a heap, in n log n.
 MATRIX_BYTES = 256
+#: Segments that a task remembers.
+CACHED = 300_000
 
 
 class PairTable:
@@ -207,7 +209,7 @@ class Encoder:
         self.bpe, self.split = load(path), regex.compile(pattern).findall
         # What segments rest on is known of this pattern only; by others each text is one segment.
         self.cached = pattern == public_tokenizers.PATTERN
-        self.segments = SegmentEncoder(self._many)
+        self.segments = SegmentEncoder(self._many, CACHED)
 
     def _many(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         number: dict[bytes, int] = {}

@@ -25,7 +25,7 @@ from setweave.plans.storage import drop, new_name, shared_dir
 __all__ = ["cut", "drop", "filter_texts", "fold", "give_back", "map_texts", "new_name", "ranges", "raw_of", "shared_dir", "steps", "table", "texts_of", "words_of"]
 
 #: UTF-8 bytes of text that one numpy step works on at most (a single longer text is one step).
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 #: Bytes of an Arrow batch on its way to Python, as a session's setting may allow far more, for the JVM and for Python at once.
 BATCH_BYTES = 4 << 20
 

@@ -24,8 +24,6 @@ BLOCK = 512
 OFFERS = 2
 #: Characters of texts whose sets a task keeps while it confirms pairs.
 KEPT = 4_000_000
-#: Bytes of texts whose signatures are made at once.
-SIGNED = 1 << 20
 #: Bits of the filter that keeps texts nobody asks for out of the shuffle; its table has a fixed size of BITS / 64 rows.
 BITS = 1 << 23
 SEED = 20_240_229
@@ -170,7 +168,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int, bands: int
         return work
 
     keyed = df.select(df[id_col].alias("id"), text_hash(df[text_col]).alias("h"), df[text_col].alias("text"))
-    return map_texts(keyed, kernel, "n long, set_hash binary, bands array<long>, minima binary", ["id", "h"], most=SIGNED, arrow=True)
+    return map_texts(keyed, kernel, "n long, set_hash binary, bands array<long>, minima binary", ["id", "h"], arrow=True)
 
 
 def text_hash(text: Column) -> Column:
@@ -330,6 +328,7 @@ def _block_links(members: DataFrame, texts: DataFrame, least: float, block: int,
         sets, ids, text = Sets(width, 8 * KEPT), t.column("id").to_pylist(), t.column("text").to_pylist()
         near = zip(*(x.tolist() for x in _near_in_block(t, least)), strict=True)
         good = [(max(ids[a], ids[b]), min(ids[a], ids[b])) for a, b in near if ids[a] != ids[b] and sets.similar(text[a], text[b], similar)]
+        del sets, text
         kind = t.column("id").type
         return pa.table({"u": pa.array([u for u, _ in good], kind), "v": pa.array([v for _, v in good], kind)})
 
