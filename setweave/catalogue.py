@@ -253,7 +253,7 @@ def arithmetic(spark, sf):
 @query("SELECT p_partkey, upper(string_split(p_name, ' ')[1]) AS first, len(string_split(p_name, ' ')) AS n, replace(p_brand, 'Brand', 'B') AS b, starts_with(p_type, 'S') AS s, unicode(p_name) AS c FROM part")
 def sequences(spark, sf):
     words = S.split(" ", F.col("p_name"))
-    made = dict(first=F.upper(F.get(words, F.lit(0))), n=F.size(words).cast("long"), b=S.sub("Brand", "B", F.col("p_brand")), s=F.col("p_type").startswith("S"))
+    made = dict(first=F.upper(F.get(words, F.lit(0))), n=F.size(words).cast("long"), b=S.sub(F.lit("Brand"), F.lit("B"), F.col("p_brand")), s=F.col("p_type").startswith("S"))
     return rel(spark, sf, "part").map(p_partkey="p_partkey", c=S.char_at(F.col("p_name"), 0).cast("int"), **made).df
 
 
