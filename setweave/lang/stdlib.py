@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from setweave.functions import scalar as S
 from setweave.lang import values as V
 from setweave.operators.relation import Rel
-from setweave.sources import formats
+from setweave.sources import formats, protobuf
 
 STD: dict[str, Any] = {"math.pi": math.pi, "math.e": math.e}
 
@@ -389,6 +389,11 @@ _codec("yaml", formats.decode_yaml, formats.encode_yaml, decoder=_decoder(format
 _codec("xml", formats.decode_xml, formats.encode_xml, decoder=_decoder(formats.decode_xml, trimSurroundingWhitespace="trim"))
 _codec("xlsx", formats.decode_xlsx, decodeToRelation=lambda c: lambda x: V.value(formats.decode_xlsx(_bytes(x), int(c.get("sheet", 0)), int(c.get("headRow", 0)))))
 
+STD["encoding.proto"] = V.Tup(
+    descriptor=lambda x: protobuf.descriptor(_bytes(x)),
+    decode=lambda types: lambda name: lambda x: protobuf.decode(types, _text(name), _bytes(x)),
+)
+
 STD["os.args"] = tuple(sys.argv) or V.FALSE
 STD["os.path_separator"], STD["os.path_list_separator"] = os.sep, os.pathsep
 std("os.cwd")(lambda _: os.getcwd())

@@ -3,6 +3,7 @@
 import http.server
 import io
 import os
+import struct
 import threading
 
 import pytest
@@ -272,6 +273,36 @@ def test_command_line(tmp_path, capsys):
     assert (tmp_path / "tree" / "a" / "b.txt").read_text() == "text"
 
 
+def test_protobuf():
+    """A descriptor and a message written part by part."""
+
+    def number(n):
+        n &= 2**64 - 1
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + number(n >> 7)
+
+    def part(n, x):
+        return number(n << 3) + number(x) if isinstance(x, int) else number(n << 3 | 2) + number(len(x)) + x
+
+    def held(name, at, kind, label=1, of=b""):
+        return part(2, part(1, name) + part(3, at) + part(4, label) + part(5, kind) + (part(6, of) if of else b""))
+
+    entry = part(1, b"TagsEntry") + held(b"key", 1, 9) + held(b"value", 2, 5) + part(7, part(7, 1))
+    inner = part(1, b"Inner") + held(b"x", 1, 17)
+    kinds = part(1, b"Kind") + part(2, part(1, b"ZERO") + part(2, 0)) + part(2, part(1, b"ONE") + part(2, 1))
+    fields = [(b"id", 1, 5), (b"name", 2, 9), (b"ratio", 3, 1), (b"on", 4, 8), (b"nums", 5, 5, 3), (b"kind", 6, 14, 1, b".p.Kind"), (b"one", 7, 11, 1, b".p.M.Inner"), (b"many", 8, 11, 3, b".p.M.Inner"), (b"tags", 9, 11, 3, b".p.M.TagsEntry"), (b"raw", 10, 12)]
+    message = part(1, b"M") + b"".join(held(*f) for f in fields) + part(3, entry) + part(3, inner)
+    files = part(1, part(1, b"m.proto") + part(2, b"p") + part(4, message) + part(5, kinds))
+    data = part(1, -5) + part(2, "né".encode()) + number(3 << 3 | 1) + struct.pack("<d", 0.5) + part(4, 1) + part(5, number(1) + number(300)) + part(5, 7) + part(6, 1)
+    data += part(7, part(1, 3)) + part(8, part(1, 4)) + part(8, b"") + part(9, part(1, b"k") + part(2, 9)) + part(9, part(1, b"z")) + part(10, b"ab") + part(99, 1)
+    engine = Engine(d=files, m=data)
+    got = engine.eval("let p = //encoding.proto; p.decode(p.descriptor(d))('M')(m)")
+    want = "(id: -5, name: 'né', ratio: 0.5, on: true, nums: [1, 300, 7], kind: 'ONE', one: (x: -2), many: [(x: 2), ()], tags: {'k': 9, 'z': 0}, raw: <<'ab'>>)"
+    assert got == engine.eval(want)
+    for code in ("//encoding.proto.decode(//encoding.proto.descriptor(d))('N')(m)", "//encoding.proto.decode(//encoding.proto.descriptor(d))('M')(<<8>>)"):
+        with pytest.raises(EvalError):
+            engine.eval(code)
+
+
 def test_bundles(tmp_path, capsys):
     from setweave.__main__ import main
     from setweave.lang import bundle
