@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from typing import Any
 
@@ -29,6 +30,12 @@ class Reactor:
             self._push(key)
         return self.engine.scope["$"]
 
+    def replace(self, root: Any) -> None:
+        """Another value as the root."""
+        self.engine.bind("$", root)
+        for key in list(self.watchers):
+            self._push(key)
+
     def observe(self, text: str, on_update: Callable, on_close: Callable = lambda error: None) -> Callable[[], None]:
         self.last += 1
         key = self.last
@@ -56,6 +63,23 @@ def watch_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(path)
 
 
+def folder(path: str) -> dict:
+    """The files of a folder of the driver as a nested dictionary of bytes."""
+    out: dict = {}
+    for entry in sorted(os.scandir(path), key=lambda e: e.name):
+        if entry.is_dir():
+            out[entry.name] = folder(entry.path)
+        else:
+            with open(entry.path, "rb") as f:
+                out[entry.name] = f.read()
+    return out
+
+
+def sync(reactor: Reactor, spark: SparkSession, path: str, checkpoint: str):
+    """Makes a folder's tree the root, anew with each batch of new or changed files; the stream that does so."""
+    return observe_stream(watch_files(spark, path), lambda df: df, lambda df, n: reactor.replace(folder(path)), checkpoint)
+
+
 def windowed(events: DataFrame, time: str, width: str, late: str, slide: str | None = None, **folds) -> DataFrame:
     """Tumbling or sliding windows over event time, with a watermark for late rows."""
     kind = events.schema[time].dataType.simpleString()

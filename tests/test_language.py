@@ -4,7 +4,9 @@ import http.server
 import io
 import os
 import struct
+import tarfile
 import threading
+import zipfile
 
 import pytest
 
@@ -273,6 +275,57 @@ def test_command_line(tmp_path, capsys):
     assert (tmp_path / "tree" / "a" / "b.txt").read_text() == "text"
 
 
+def test_sheets(tmp_path):
+    """Shared and inline strings, numbers, merged cells, blank rows and columns; a second sheet with its head further down."""
+    cell = lambda at, kind, x: f'<c r="{at}" t="inlineStr"><is><t>{x}</t></is></c>' if kind == "i" else f'<c r="{at}"{" t=" + chr(34) + "s" + chr(34) if kind == "s" else ""}><v>{x}</v></c>'
+    sheet = lambda cells, more="": f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row>{"".join(cell(*c) for c in cells)}</row></sheetData>{more}</worksheet>'
+    one = [("A1", "s", 0), ("B1", "i", "Unit Price"), ("D1", "i", "n"), ("A2", "s", 1), ("B2", "n", 2.5), ("D2", "n", 1), ("B5", "n", 3), ("D5", "n", 2)]
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("xl/sharedStrings.xml", '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>Name</t></si><si><r><t>ab</t></r><r><t>c</t></r></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet(one, '<mergeCells><mergeCell ref="A2:A5"/></mergeCells>'))
+        z.writestr("xl/worksheets/sheet2.xml", sheet([("A1", "i", "title"), ("A3", "i", "k"), ("A4", "n", 7)]))
+    (tmp_path / "book.xlsx").write_bytes(data.getvalue())
+    engine = Engine(folder=str(tmp_path))
+    rows = "{|@row, name, unit_price, n| (1, 'abc', '2.5', '1'), (2, 'abc', {}, {}), (3, 'abc', {}, {}), (4, 'abc', '3', '2')}"
+    assert engine.eval("//{./book.xlsx}") == engine.eval(rows)
+    engine.bind("book", data.getvalue())
+    assert engine.eval("//encoding.xlsx.decodeToRelation((sheet: 1, headRow: 2))(book)") == engine.eval("{|@row, k| (3, '7')}")
+
+
+def test_archives_and_json(capsys, monkeypatch):
+    from setweave.__main__ import main
+
+    engine = Engine()
+    for kind in ("zip", "tar"):
+        data = io.BytesIO(engine.eval(f"//archive.{kind}.{kind}({{'a': {{'b.txt': 'text'}}, 'c': <<1>>, 'd': {{}}}})"))
+        if kind == "zip":
+            with zipfile.ZipFile(data) as z:
+                held = {n: z.read(n) for n in z.namelist()}
+        else:
+            with tarfile.open(fileobj=data) as t:
+                held = {m.name: t.extractfile(m).read() for m in t.getmembers()}
+        assert held == {"a/b.txt": b"text", "c": b"\x01", "d": b""}
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(b'{"a": [1, "x"]}')))
+    main(["json"])
+    assert capsys.readouterr().out == "{'a': (a: [1, (s: 'x')])}\n"
+
+
+def test_a_folder_as_the_root(spark, tmp_path):
+    from setweave.streaming import observe
+
+    at, seen = tmp_path / "watched", []
+    (at / "d").mkdir(parents=True)
+    (at / "a").write_text("1")
+    reactor = observe.Reactor()
+    reactor.observe("$", seen.append)
+    for name, text in (("d/b", "2"), ("a2", "3")):
+        (at / name).write_text(text)
+        observe.sync(reactor, spark, str(at), str(tmp_path / "state")).awaitTermination()
+    want = [Engine().eval(x) for x in ("{}", "{'a': <<'1'>>, 'd': {'b': <<'2'>>}}", "{'a': <<'1'>>, 'a2': <<'3'>>, 'd': {'b': <<'2'>>}}")]
+    assert seen == want
+
+
 def test_protobuf():
     """A descriptor and a message written part by part."""
 
