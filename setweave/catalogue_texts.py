@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Callable
 from typing import Any
 
@@ -341,3 +342,35 @@ def _values(kind: str) -> None:
 
 for _kind in VALUES:
     _values(_kind)
+
+
+#: A tree of files, written first, and texts that read them: imports by extension, by decoder and of scripts, and functions of the system.
+TREE = "{'a.json': '{\"n\": [1, 2]}', 'b.csv': 'k,v\\nx,1\\n', 'c.yaml': 'a: [1, x]', 'd.xml': '<r>t</r>', 'e.bin': <<1, 2>>, 'f.txt': '[5]', 'lib': {'twice.sw': '\\\\x x * 2'}, 'g': (ifExists: 'replace', dir: {'h': 'i'}), 'gone': (ifExists: 'remove')}"
+FILES = [
+    ("//{./a.json}", "{'n': (a: [1, 2])}"), ("//{./b.csv}", "[['k', 'v'], ['x', '1']]"), ("//{./c.yaml}", "{'a': (a: [1, (s: 'x')])}"), ("//{./d.xml}", "[(children: ['t'], elem: 'r')]"), ("//{./e.bin}", "<<1, 2>>"),
+    ("//[//encoding.json]{./f.txt}", "(a: [5])"), ("//[//encoding.csv.decoder((comma: %;))]{./f.txt}", "[['[5]']]"), ("//{./lib/twice}(21)", "42"), ("//{/lib/twice}(4)", "8"), ("//os.file(dir ++ '/f.txt')", "<<91, 53, 93>>"),
+    ("//os.exists(dir ++ '/gone')", "{}"), ("//os.exists(dir ++ '/g/h')", "true"), ("((//os.tree(dir) where .is_dir) count) - 1", "2"), ("//os.tree(dir) where .name = 'e.bin' => .size", "{2}"), ("//os.path_separator", "'/'"),
+    ("cond (//os.get_env('no such name')) {{}: 'unset'}", "'unset'"), ("//eval.value('//math.pi > 3')", "true"),
+]
+
+
+@query(f"SELECT i::INTEGER AS i, value FROM (VALUES {', '.join(f'({i}, {chr(39)}{want.replace(chr(39), chr(39) * 2)}{chr(39)})' for i, (_, want) in enumerate(FILES))}) AS t(i, value)")
+def values_files(spark, sf):
+    """Files of the driver, written as a tree and read by texts."""
+    with tempfile.TemporaryDirectory(prefix="setweave-") as folder:
+        formats.write_dir(Engine().eval(TREE), folder)
+        engine = Engine(folder=folder, dir=folder)
+        return spark.createDataFrame([(i, V.show(engine.eval(code))) for i, (code, _) in enumerate(FILES)], "i int, value string")
+
+
+@query("SELECT i::INTEGER AS i, refused FROM (VALUES (0, TRUE), (1, TRUE), (2, TRUE), (3, FALSE)) AS t(i, refused)")
+def safe_texts(spark, sf):
+    """Texts that a safe engine refuses, and one that it doesn't."""
+    rows = []
+    for i, code in enumerate(("//os.file('/etc/hosts')", "//{./a.json}", "//net.http.get((), 'http://127.0.0.1/')", "//math.pi")):
+        try:
+            Engine(safe=True).eval(code)
+            rows.append((i, False))
+        except V.EvalError:
+            rows.append((i, True))
+    return spark.createDataFrame(rows, "i int, refused boolean")
