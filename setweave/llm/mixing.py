@@ -40,7 +40,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
     rest = (F.sum("source_size").over(all_rows) - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))).cast("double")
     left = F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     level = weighed.withColumn("level", rest / left).withColumn("ends", F.col("level") * F.col("weight") > most * F.col("source_size"))
-    final = F.min(F.when(~F.col("ends"), F.struct(F.col("source_size") / F.col("weight"), F.col("level")))).over(all_rows)["level"]
+    first = F.struct(F.col("source_size") / F.col("weight"), F.col("source").isNull(), "source", "level")
+    final = F.min(F.when(~F.col("ends"), first)).over(all_rows)["level"]
     target = F.least(F.col("weight") * F.coalesce(final, F.lit(0.0)), (most * F.col("source_size")).cast("double"))
     return level.select("source", "source_size", target.alias("target"))
 
@@ -93,7 +94,7 @@ w AS (SELECT *, [1, 2, 3][1 + (row_number() OVER (ORDER BY source IS NULL, sourc
 l AS (SELECT *, source_size::DOUBLE / weight AS ratio,
  (sum(source_size) OVER () - {MOST} * coalesce(sum(source_size) OVER b, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::DOUBLE AS lev
  FROM w WINDOW b AS (ORDER BY source_size::DOUBLE / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-f AS (SELECT arg_min(lev, ratio) AS lev FROM l WHERE lev * weight <= {MOST} * source_size),
+f AS (SELECT lev FROM l WHERE lev * weight <= {MOST} * source_size ORDER BY ratio, source IS NULL, source LIMIT 1),
 t AS (SELECT source, source_size, least(weight * coalesce((SELECT lev FROM f), 0), ({MOST} * source_size)::DOUBLE) AS target FROM l),
 r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
  ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / {16**13}::DOUBLE AS coin
