@@ -242,6 +242,30 @@ def test_mixing(docs):
     assert mixed.columns == docs.columns and mixed.count() == sum(r.n_copies for r in got)
 
 
+def shared_out(sizes, most=3, weights=(1, 2, 3)):
+    """Targets by sharing what is over again and again."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, rest, free = {}, sum(sizes.values()), set(sizes)
+    while free:
+        level = rest / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > most * sizes[s]}
+        for s in over or free:
+            target[s] = most * sizes[s] if over else level * weight[s]
+        rest -= sum(most * sizes[s] for s in over)
+        free = free - over if over else set()
+    return target
+
+
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 0, "c": 5, None: 7}, {"a": 10, "b": 20, "c": 30, "d": 10}, {"a": 1, "b": 9, "c": 90, "d": 1, "e": 2, "f": 3}, {"a": 100, "b": 1, "c": 1, "d": 100, None: 2}, {"a": 4}, {"a": 0, "b": 0}])
+def test_targets(spark, sizes):
+    """Also where sources tie in size for their weight, or have no words."""
+    rows = [(s, "w " * n) for s, n in sizes.items()]
+    got = {r.source: r.target for r in mixing.copies(spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, source string")).collect()}
+    want = shared_out(sizes)
+    assert all(abs(got[s] - want[s]) < 1e-9 for s in sizes) and abs(sum(got.values()) - sum(sizes.values())) < 1e-6 or not any(sizes.values())
+
+
 def best(rows, k=5, every=50):
     """Every query's best rows, from whole numbers of any size."""
     v = [(i, [min(max(int(np.floor(256 * float(c))), -(2**63)), 2**63) for c in x]) for i, x in rows if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)]
