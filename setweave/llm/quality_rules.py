@@ -228,10 +228,10 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(t
 win AS (SELECT doc_id, unnest(range(1, len(w) - {WINDOW - 2})) AS i, w FROM d WHERE len(w) >= {WINDOW}),
 rep AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i + {WINDOW - 1}]) AS n FROM win),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM rep WHERE n > 1) GROUP BY doc_id),
-win2 AS (SELECT doc_id, unnest(range(1, len(w) - {LEAST - 2})) AS i, w FROM d WHERE len(w) >= {LEAST}),
+win2 AS (SELECT doc_id, unnest(range(1, len(w) - {LEAST - 2})) AS i, w FROM d WHERE len(w) >= {LEAST} AND doc_id IN (SELECT doc_id FROM cov)),
 rep2 AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i + {LEAST - 1}]) AS n FROM win2),
 cov2 AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {LEAST})) AS p FROM rep2 WHERE n > 1) GROUP BY doc_id),
-far AS (SELECT doc_id, unnest(range(1, len(w) - {LONGEST - 1})) AS i, w FROM d WHERE len(w) > {LONGEST}),
+far AS (SELECT doc_id, unnest(range(1, len(w) - {LONGEST - 1})) AS i, w FROM d WHERE len(w) > {LONGEST} AND doc_id IN (SELECT doc_id FROM cov)),
 deep AS (SELECT DISTINCT doc_id FROM (SELECT doc_id FROM far GROUP BY doc_id, w[i:i + {LONGEST}] HAVING count(*) > 1)),
 lin AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lin WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
