@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from setweave.plans import storage
 from setweave.plans.storage import drop, new_name, shared_dir
 
-__all__ = ["cut", "drop", "filter_texts", "fold", "give_back", "map_texts", "new_name", "ranges", "raw_of", "shared_dir", "steps", "table", "texts_of", "words_of"]
+__all__ = ["cut", "drop", "filter_texts", "fold", "give_back", "likely_first", "map_texts", "new_name", "ranges", "raw_of", "shared_dir", "steps", "table", "texts_of", "words_of"]
 
 #: UTF-8 bytes of text that one numpy step works on at most (a single longer text is one step).
 STEP_BYTES = 1 << 20
@@ -53,6 +53,16 @@ def fold(id_col: Column, parts: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % parts, F.lit(0))
 
 
+def likely_first(df: DataFrame, n: int, salt: str, *keys: str) -> tuple[DataFrame, Column]:
+    """Some more than ``n`` rows of ``df``, among them those with the ``n`` least hashes of ``keys``, and that hash.
+
+    The filter needs a count only, so that what a sort then gathers from each task is its share of ``n`` rows, and not ``n``.
+    """
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(salt), *keys), 2)
+    share = (1.2 * n + 200) / max(1, df.count())
+    return (df.where(h < int(share * 2**62)) if share < 1 else df), h
+
+
 def steps(lengths: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose lengths sum to about ``most`` at most, one row at least."""
     ends = np.cumsum(lengths)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setweave.llm import near_dedup
-from setweave.llm.common import cut, drop, filter_texts, fold, give_back, map_texts, steps, table, texts_of
+from setweave.llm.common import cut, drop, filter_texts, fold, give_back, likely_first, map_texts, steps, table, texts_of
 
 THRESHOLD = 0.3
 #: Labelled rows that words are learned from, at most; the character model counts all documents.
@@ -238,7 +238,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     """
     letters = language_model(df, text_col)
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = known.orderBy(F.xxhash64(F.lit("toxicity sample"), "doc_id"), "doc_id").limit(sample)
+    likely, h = likely_first(known, sample, "toxicity sample", "doc_id")
+    some = likely.orderBy(h, "doc_id").limit(sample)
     texts = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")).join(F.broadcast(some), "doc_id")
     texts = cut(texts.withColumn("doc_id", F.xxhash64("doc_id")))
 

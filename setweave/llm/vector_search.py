@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from setweave.llm.common import cut, drop, table
+from setweave.llm.common import cut, drop, likely_first, table
 
 K, EVERY, SCALE = 5, 50, 256.0
 #: Queries that are sent to the executors at once (bytes: times dimension and 8), and candidates in one numpy step.
@@ -179,7 +179,7 @@ def top_k(
 
     Blocks of about ``block`` queries go to the executors one after the other; of each only the current one is on the driver and
     broadcast. Its pass over all candidates shuffles no vectors, and each task keeps k rows a query at most. It starts from
-    the k-th best scores among ``seeds`` candidates, chosen by a hash of the id: a lower bound of the final ones, so that bounds prune from
+    the k-th best scores among ``seeds`` candidates at most, chosen by a hash of the id: a lower bound of the final ones, so that bounds prune from
     the first step on and tasks give only rows that may be final. Each pass is written to the shared folder.
     """
     spark = df.sparkSession
@@ -189,7 +189,7 @@ def top_k(
     if not total:
         drop(asked)
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    first = _blocks(scaled.orderBy(F.xxhash64("i"), "i").limit(seeds).toArrow())
+    first = _blocks(likely_first(scaled, seeds, "first thresholds", "i")[0].limit(seeds).toArrow())
     n_blocks, passes = -(-total // block), []
     numbered = asked.withColumn("b", F.pmod(F.xxhash64(F.lit("block"), "i"), F.lit(n_blocks)))
     for b in range(n_blocks):
