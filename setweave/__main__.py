@@ -1,5 +1,5 @@
-"""The command line: ``python -m setweave eval TEXT``, ``run FILE`` (a script or a bundle), ``bundle FILE ZIP``, and ``json`` (JSON from
-standard input as a value).
+"""The command line: ``python -m setweave eval TEXT``, ``run FILE`` (a script or a bundle), ``bundle FILE ZIP``, ``json`` (JSON from
+standard input as a value), and ``serve [PORT]`` (a root for updates and observations).
 
 ``--out=file:PATH`` writes a string or bytes, ``--out=dir:PATH`` a dictionary as a tree; otherwise the value is printed.
 Spark starts only if a text makes use of it.
@@ -56,11 +56,16 @@ def output(x: Any, out: str | None) -> None:
 def main(argv: list[str] | None = None) -> None:
     known = argparse.ArgumentParser(prog="setweave")
     known.add_argument("--out")
-    known.add_argument("command", choices=("eval", "run", "bundle", "json"))
+    known.add_argument("command", choices=("eval", "run", "bundle", "json", "serve"))
     known.add_argument("rest", nargs="*")
     given = known.parse_args(argv)
     if given.command == "json":
         value = formats.decode_json(sys.stdin.buffer.read())
+    elif given.command == "serve":
+        from setweave.streaming.observe import Reactor
+        from setweave.streaming.server import Server
+
+        return Server(Reactor(_Session()), port=int(given.rest[0]) if given.rest else 42241).serve_forever()
     elif not given.rest:
         known.error("a text or a file is missing")
     elif given.command == "eval":

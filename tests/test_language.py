@@ -3,6 +3,7 @@
 import http.server
 import io
 import os
+import socket
 import struct
 import tarfile
 import threading
@@ -11,7 +12,7 @@ import zipfile
 import pytest
 
 from setweave.lang.engine import Engine
-from setweave.lang.values import EvalError, Tup, true, value
+from setweave.lang.values import EvalError, Tup, show, true, value
 from setweave.operators.relation import Rel
 from setweave.sources import formats
 
@@ -326,6 +327,44 @@ def test_a_folder_as_the_root(spark, tmp_path):
     assert seen == want
 
 
+def test_server():
+    """Updates by HTTP, and a WebSocket whose observations follow them."""
+    from setweave.streaming import server as S
+    from setweave.streaming.observe import Reactor
+
+    server = S.Server(Reactor())
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    post = lambda code: Engine().eval(f"//net.http.post((), 'http://127.0.0.1:{server.server_port}/update', {show(code)})")
+    link = socket.create_connection(("127.0.0.1", server.server_port), timeout=20)
+    link.sendall(b"GET /observe HTTP/1.1\r\nHost: x\r\nUpgrade: websocket\r\nConnection: Upgrade\r\nSec-WebSocket-Key: dGhlIHNhbXBsZSBub25jZQ==\r\n\r\n")
+    back = link.makefile("rb")
+    head = b"".join(iter(back.readline, b"\r\n"))
+    assert b"101" in head and b"s3pPLMBiTxaQ9kYGzzhZRbK+xOo=" in head
+
+    def send(text, kind=1):
+        data = text.encode()
+        link.sendall(bytes([0x80 | kind, 0x80 | len(data)]) + b"mask" + bytes(c ^ b"mask"[i % 4] for i, c in enumerate(data)))
+
+    def heard():
+        kind, size = back.read(2)
+        return kind & 15, back.read(size).decode(errors="replace")
+
+    send("$ count")
+    assert heard() == (1, "0")
+    assert post("{1, 2, 3}")["status_code"] == 200.0 and heard() == (1, "3")
+    send("$ sum .")
+    assert heard() == (1, "6")
+    assert post("$ | {4}")["body"] == b'{"{||}": [1, 2, 3, 4]}' and heard() == (1, "10")
+    send("", 9)
+    assert heard() == (10, "")
+    assert post("$ +")["status_code"] == 400.0 and post("{{1}}")["status_code"] == 200.0
+    kind, error = heard()
+    assert kind == 1 and "error" in error and heard()[0] == 8
+    assert Engine().eval(f"//net.http.get((), 'http://127.0.0.1:{server.server_port}/other').status_code") == 404.0
+    link.close()
+    server.shutdown()
+
+
 def test_protobuf():
     """A descriptor and a message written part by part."""
 
