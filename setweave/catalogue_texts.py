@@ -82,6 +82,7 @@ _A, _B = "SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 45", "SELECT l_
 for _name, _op, _sql in (("union", "|", f"{_A} UNION {_B}"), ("intersect", "&", f"{_A} INTERSECT {_B}"), ("minus", "&~", f"{_A} EXCEPT {_B}"), ("symmetric", "~~", f"({_A} EXCEPT {_B}) UNION ({_B} EXCEPT {_A})")):
     text(f"text_{_name}", "lineitem", f"{A} {_op} {B}", _sql)
 text("text_rel_union", "lineitem part", f"//rel.union({{{A}, {B}, part where .p_size < 5 => (k: .p_partkey)}})", f"{_A} UNION {_B} UNION SELECT p_partkey FROM part WHERE p_size < 5")
+text("text_mixed", "region nation", "//rel.mixed({region => (name: .r_name, a: .r_regionkey), nation => (k: .n_regionkey)})", """SELECT '{"a":' || r_regionkey || ',"name":"' || r_name || '"}' AS value FROM region UNION SELECT '{"k":' || n_regionkey || '}' FROM nation""")
 text("text_with_without", "nation", "(nation => (k: .n_nationkey)) with (k: 99) with (k: 3) without (k: 4)", "SELECT n_nationkey AS k FROM nation WHERE n_nationkey <> 4 UNION SELECT 99")
 text(
     "text_set_tests", "lineitem",

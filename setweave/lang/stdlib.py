@@ -84,6 +84,9 @@ def rel_union(sets: Any) -> Any:
     return V.as_set(e for x in parts for e in V.elements(x))
 
 
+std("rel.mixed")(lambda sets: Rel.mixed(*V.elements(sets)) if V.elements(sets) and all(isinstance(x, Rel) for x in V.elements(sets)) else rel_union(sets))
+
+
 def _items(x: Any) -> Any:
     x = V.bare(x)
     return () if x == V.FALSE else x

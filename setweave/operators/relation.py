@@ -244,6 +244,12 @@ class Rel:
     def union(self, *others: Rel) -> Rel:
         return Rel(reduce(lambda a, b: a.unionByName(b), [o._aligned(self)[0].select(*self.names) for o in (self, *others)]))
 
+    @staticmethod
+    def mixed(*parts: Rel) -> Rel:
+        """A union of relations with any headings: one attribute ``value``, each tuple as JSON with its attributes in order."""
+        rows = [r._raw.select(F.to_json(F.struct(*[F.col(f"`{n}`") for n in sorted(r.names)]), {"ignoreNullFields": "false"}).alias("value")) for r in parts]
+        return Rel(reduce(DataFrame.unionAll, rows))
+
     def intersect(self, *others: Rel) -> Rel:
         if self.unique:
             return reduce(lambda a, o: a.left_match(Rel(a._aligned(o)[1])), others, self)
