@@ -9,7 +9,9 @@ padded (mask 0). A second file beside it lists the shard's documents: id, first
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -20,12 +22,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from setweave.llm.common import cut, new_name, shared_dir, steps, table, texts_of
+from setweave.llm.common import cut, new_name, ranges, shared_dir, steps, table, texts_of
 from setweave.llm.segments import SegmentEncoder
 from setweave.llm.token_counts import cuts_at, load
 
 VOCABULARY = "byte_bpe_50k.json"
 LENGTH, ROWS = 2048, 64
+#: Segments in one text for the library, and those that a worker remembers, from task to task.
+JOINED, CACHED = 2048, 600_000
+NUL = "\0"
+_PLAIN = re.compile(r" [^\s\0]+").fullmatch
 MANIFEST = "shard int, path string, n_ids long, n_docs long"
 
 
@@ -36,8 +42,35 @@ class LibraryEncoder:
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cached = cuts_at(self.tokenizer) == "word"
-        self.segments = SegmentEncoder(self._many)
+        self.cached, self.barrier = cuts_at(self.tokenizer) == "word", self._barrier()
+        self.segments = SegmentEncoder(self._new, CACHED)
+
+    def _barrier(self) -> int | None:
+        """The id of the NUL character, if no other token holds it: then no token reaches over one."""
+        ids = self.tokenizer.encode(NUL, add_special_tokens=False).ids
+        if len(ids) != 1:
+            return None
+        own = self.tokenizer.id_to_token(ids[0])
+        return ids[0] if sum(own in t for t in self.tokenizer.get_vocab()) == 1 else None
+
+    def _new(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``_many`` for segments. Those of a space and then no white space go to the library in long texts, with NULs between: a
+        NUL takes part in no word, ends the marks before it, and a space begins a new match after it."""
+        plain = [i for i, s in enumerate(segments) if _PLAIN(s)] if self.barrier is not None else []
+        if not plain:
+            return self._many(segments)
+        joined = [NUL.join(segments[i] for i in plain[a : a + JOINED]) + NUL for a in range(0, len(plain), JOINED)]
+        ids, _ = self._many(joined)
+        ends = np.flatnonzero(ids == self.barrier)
+        counts = np.zeros(len(segments), dtype=np.int64)
+        counts[plain] = np.diff(ends, prepend=-1) - 1
+        rest = np.setdiff1d(np.arange(len(segments)), plain, assume_unique=True)
+        others, n = self._many([segments[i] for i in rest.tolist()])
+        counts[rest] = n
+        out, start = np.empty(int(counts.sum()), dtype=np.int32), np.cumsum(counts) - counts
+        out[ranges(start[plain], counts[plain])] = np.delete(ids, ends)
+        out[ranges(start[rest], n)] = others
+        return out, counts
 
     def _many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -54,6 +87,11 @@ class LibraryEncoder:
         return np.concatenate([p for p, _ in parts]), np.concatenate([n for _, n in parts])
 
 
+@lru_cache(maxsize=1)
+def library_encoder(path: str) -> LibraryEncoder:
+    return LibraryEncoder(path)
+
+
 class ShardWriter:
     """Appends documents to one shard; holds at most a batch of sequences besides the document at hand."""
 
@@ -111,7 +149,7 @@ def write(
     ranged = source.repartitionByRange(F.col("i")).sortWithinPartitions("i", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out = LibraryEncoder(path), None
+        encoder, out = library_encoder(path), None
         context = TaskContext.get()
         name = f"{directory}/part-{context.partitionId():06d}-{context.taskAttemptId()}.arrow"
         for batch in batches:

@@ -70,7 +70,7 @@ class SegmentEncoder:
         for i, (own, key) in enumerate(self.new):
             own[key] = self.n + i
         ids, counts = self.encode_many([key if own is self.first else " " + key for own, key in map(self.new.__getitem__, whole)])
-        self._put(self.n + np.array(whole), ids, counts)
+        self._put(self.n + np.array(whole, dtype=np.int64), ids, counts)
         if parted:
             cores, tails = (np.where(x < 0, self.n - 1 - x, x) for x in (np.array(cores), np.array(tails)))
             both = np.stack([cores, tails], axis=1).ravel()
