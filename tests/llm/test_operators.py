@@ -92,6 +92,18 @@ def test_arrow_output(spark, docs):
     assert len(ids) == len(mask) == 64
 
 
+def test_segments_of_any_text():
+    """Ids of texts of odd characters: white space of all kinds, NULs, contractions, special strings; joined or not."""
+    encoder, rng = arrow_output.LibraryEncoder(P.path(arrow_output.VOCABULARY)), random.Random(3)
+    tokenizer = token_counts.load(P.path(arrow_output.VOCABULARY))
+    parts = ["a", "b", "'s", "'", "s", " ", "  ", "\n", "\t", ".", "!!", "1", "22", "é", "日", "\0", "\x1c", "\x85", "<|endoftext|>", "😀", "'re", "\u00a0", "-", "#"]
+    assert encoder.barrier is not None
+    for _ in range(20):
+        some = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(100)]
+        ids, counts = encoder(some)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+
+
 def test_quality_rules(docs):
     for r in quality_rules.rules(docs).collect():
         w = (("a null id" if r.doc_id is None else texts()[r.doc_id] or "")).split()
