@@ -29,7 +29,7 @@ from setweave.llm.token_counts import cuts_at, load
 VOCABULARY = "byte_bpe_50k.json"
 LENGTH, ROWS = 2048, 64
 #: Segments in one text for the library, and those that a worker remembers, from task to task.
-JOINED, CACHED = 2048, 600_000
+JOINED, CACHED = 2048, 1_300_000
 NUL = "\0"
 _PLAIN = re.compile(r" [^\s\0]+").fullmatch
 MANIFEST = "shard int, path string, n_ids long, n_docs long"
@@ -56,7 +56,7 @@ class LibraryEncoder:
     def _new(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``_many`` for segments. Those of a space and then no white space go to the library in long texts, with NULs between: a
         NUL takes part in no word, ends the marks before it, and a space begins a new match after it."""
-        plain = [i for i, s in enumerate(segments) if _PLAIN(s)] if self.barrier is not None else []
+        plain = [i for i, s in enumerate(segments) if s[:1] == " " and (s[1:].isalnum() or _PLAIN(s))] if self.barrier is not None else []
         if not plain:
             return self._many(segments)
         joined = [NUL.join(segments[i] for i in plain[a : a + JOINED]) + NUL for a in range(0, len(plain), JOINED)]

@@ -24,14 +24,14 @@ TAIL = ".,;:?"
 
 
 class _Index(dict):
-    """Numbers keys in the order they are first met and remembers the new ones."""
+    """Numbers keys in the order they are first met, by one count for several indexes, and remembers the new ones."""
 
-    def __init__(self, new: list):
-        self.new = new
+    def __init__(self, new: list, known: list[int]):
+        self.new, self.known = new, known
 
     def __missing__(self, key: str) -> int:
+        self[key] = at = self.known[0] + len(self.new)
         self.new.append((self, key))
-        self[key] = at = -len(self.new)
         return at
 
 
@@ -43,43 +43,41 @@ class SegmentEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.new: list = []
-        self.first, self.rest = _Index(self.new), _Index(self.new)
+        self.new, self.known = [], [0]
+        self.first, self.rest = _Index(self.new, self.known), _Index(self.new, self.known)
         self.flat, self.used = np.zeros(1 << 16, dtype=np.int32), 0
-        self.start, self.count, self.n = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int32), 0
-
-    def _learn(self, found: np.ndarray) -> np.ndarray:
-        """Encodes the new segments and puts their numbers in place of the provisional ones."""
-        if not self.new:
-            return found
-        whole, parted, cores, tails = [], [], [], []
-        at = 0
-        while at < len(self.new):  # cores and tails that are new too are added meanwhile
-            own, key = self.new[at]
-            core = key.rstrip(TAIL)
-            if own is self.rest and len(core) < len(key) and core[-1:].isalnum():
-                parted.append(at)
-                cores.append(self.rest[core])
-                tails.append(self.first[key[len(core) :]])
-            else:
-                whole.append(at)
-            at += 1
-        k = len(self.new)
-        while self.n + k > len(self.start):
+        self.start, self.count = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int32)
+
+    @property
+    def n(self) -> int:
+        return self.known[0]
+
+    def _learn(self) -> None:
+        """Encodes the new segments."""
+        new, rest, base = self.new, self.rest, self.known[0]
+        if not new:
+            return
+        whole, segments, parted, cores, tails = [], [], [], [], []
+        for at, (own, key) in enumerate(new):  # cores and tails that are new too are added meanwhile
+            if own is rest:
+                if key[-1] in TAIL and (core := key.rstrip(TAIL))[-1:].isalnum():
+                    parted.append(at)
+                    cores.append(rest[core])
+                    tails.append(self.first[key[len(core) :]])
+                    continue
+                key = " " + key
+            whole.append(at)
+            segments.append(key)
+        while base + len(new) > len(self.start):
             self.start, self.count = np.resize(self.start, 2 * len(self.start)), np.resize(self.count, 2 * len(self.count))
-        for i, (own, key) in enumerate(self.new):
-            own[key] = self.n + i
-        ids, counts = self.encode_many([key if own is self.first else " " + key for own, key in map(self.new.__getitem__, whole)])
-        self._put(self.n + np.array(whole, dtype=np.int64), ids, counts)
+        ids, counts = self.encode_many(segments)
+        self._put(base + np.array(whole, dtype=np.int64), ids, counts)
         if parted:
-            cores, tails = (np.where(x < 0, self.n - 1 - x, x) for x in (np.array(cores), np.array(tails)))
             both = np.stack([cores, tails], axis=1).ravel()
             counts = self.count[both].astype(np.int64)
-            self._put(self.n + np.array(parted), self.flat[ranges(self.start[both], counts)], counts.reshape(-1, 2).sum(axis=1))
-        found = np.where(found < 0, self.n - 1 - found, found)
-        self.n += k
-        self.new.clear()
-        return found
+            self._put(base + np.array(parted), self.flat[ranges(self.start[both], counts)], counts.reshape(-1, 2).sum(axis=1))
+        self.known[0] += len(new)
+        new.clear()
 
     def _put(self, at: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):
@@ -101,7 +99,8 @@ class SegmentEncoder:
             found.append([first(parts[0])])
             found.append(list(map(rest, parts[1:])))
             sizes[i] = len(parts)
-        at = self._learn(np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(sizes.sum())))
+        self._learn()
+        at = np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(sizes.sum()))
         counts = self.count[at].astype(np.int64)
         ids = self.flat[ranges(self.start[at], counts)]
         ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(sizes)])]
