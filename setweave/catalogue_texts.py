@@ -172,6 +172,7 @@ text(
     "text_arrays", "part", "part => (k: .p_partkey, s: .p_size, a: [.p_size, 1, 2]) => (:.k, c: //seq.contains([1, 2], .a), p: //seq.has_prefix([7], .a), q: //seq.has_suffix([2], .a), r: //seq.repeat(2, .a) count, t: //seq.trim_prefix([7], .a) count, f: .a(0) + .a(2), z: .a(9)?:-1)",
     "SELECT p_partkey AS k, TRUE AS c, p_size = 7 AS p, TRUE AS q, 6.0::DOUBLE AS r, CASE WHEN p_size = 7 THEN 2 ELSE 3 END::DOUBLE AS t, p_size + 2.0::DOUBLE AS f, -1.0::DOUBLE AS z FROM part", lambda df: df.withColumns({"f": F.col("f").cast("double"), "z": F.col("z").cast("double")}),
 )
+text("text_json", "events", "events => (k: .event_id, n: //json.number('$.k', .props), t: //json.text('$.none', .props) ++ '!')", "SELECT event_id AS k, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS n, '!' AS t FROM events")
 text("text_characters", "part", "part => (k: .p_partkey, a: .p_name(0), b: .p_name(0) = %c, z: .p_name(999)?:-1, s: //re.sub(`[0-9]+`, '<$0>', .p_brand))", "SELECT p_partkey AS k, unicode(p_name)::DOUBLE AS a, unicode(p_name) = 99 AS b, -1.0::DOUBLE AS z, regexp_replace(p_brand, '([0-9]+)', '<\\1>') AS s FROM part")
 text("text_templates", "part", "part => (k: .p_partkey, t: $'${.p_brand:s}|${.p_size:04d}|${.p_retailprice:.1f}|${//seq.split(\" \", .p_name)::+}')", "SELECT p_partkey AS k, p_brand || '|' || printf('%04d', p_size) || '|' || printf('%.1f', p_retailprice) || '|' || replace(p_name, ' ', '+') AS t FROM part")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import html
+import json
 import math
 import os
 import re
@@ -284,6 +285,31 @@ def table_html(rows: Any) -> str:
     return "<table>" + line("th", names) + "".join(line("td", x) for x in cells) + "</table>"
 
 
+def _at_path(path: str, text: Any) -> Any:
+    """What a path as ``$.a.b[0]`` leads to in a JSON text; None if there is nothing."""
+    x = json.loads(_text(text))
+    for name, place in re.findall(r"\.([^.\[]+)|\[(\d+)\]", path):
+        if place:
+            x = x[int(place)] if isinstance(x, list) and int(place) < len(x) else None
+        else:
+            x = x.get(name) if isinstance(x, dict) else None
+    return x
+
+
+@std("json.number", 2, lambda p, s: F.get_json_object(_col(s), _const(p)).cast("double"))
+def json_number(path: str, text: Any) -> float:
+    found = _at_path(path, text)
+    if isinstance(found, bool) or not isinstance(found, int | float):
+        raise V.EvalError(f"no number at {path}")
+    return float(found)
+
+
+@std("json.text", 2, lambda p, s: F.coalesce(F.get_json_object(_col(s), _const(p)), F.lit("")))
+def json_text(path: str, text: Any) -> str:
+    found = _at_path(path, text)
+    return "" if found is None else found if isinstance(found, str) else json.dumps(found, separators=(",", ":"))
+
+
 @std("json.simplify")
 def json_simplify(x: Any) -> Any:
     """What JSON's strict form keeps apart, as plain values."""
