@@ -56,9 +56,10 @@ def output(x: Any, out: str | None) -> None:
 def main(argv: list[str] | None = None) -> None:
     known = argparse.ArgumentParser(prog="setweave")
     known.add_argument("--out")
+    known.add_argument("--modules", action="append", default=[], help="a folder of modules")
     known.add_argument("command", choices=("eval", "run", "bundle", "json", "serve"))
     known.add_argument("rest", nargs="*")
-    given = known.parse_args(argv)
+    given = known.parse_intermixed_args(argv)
     if given.command == "json":
         value = formats.decode_json(sys.stdin.buffer.read())
     elif given.command == "serve":
@@ -69,13 +70,13 @@ def main(argv: list[str] | None = None) -> None:
     elif not given.rest:
         known.error("a text or a file is missing")
     elif given.command == "eval":
-        value = Engine(_Session()).eval(given.rest[0])
+        value = Engine(_Session(), modules=tuple(given.modules)).eval(given.rest[0])
     elif given.command == "bundle":
         return bundle.write(*given.rest[:2])
     elif given.rest[0].endswith(".zip"):
         value = bundle.run(given.rest[0], _Session())
     else:
-        value = Engine(_Session(), os.path.dirname(os.path.abspath(given.rest[0]))).script(given.rest[0])
+        value = Engine(_Session(), os.path.dirname(os.path.abspath(given.rest[0])), modules=tuple(given.modules)).script(given.rest[0])
     output(value, given.out)
 
 

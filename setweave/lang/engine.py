@@ -36,10 +36,11 @@ class Missing(V.EvalError):
 class Engine:
     """``eval(text)`` gives a local value or a ``Rel``. Names bound to relations are columns and plans, never collected.
 
-    ``folder`` is where imports start from; with ``safe``, texts reach neither files nor the environment.
+    ``folder`` is where imports start from, and ``modules`` are folders of modules, local copies of what others publish; with ``safe``, texts reach neither files nor the environment.
     """
 
-    def __init__(self, spark: SparkSession | None = None, folder: str = ".", safe: bool = False, std: dict | None = None, **scope: Any):
+    def __init__(self, spark: SparkSession | None = None, folder: str = ".", safe: bool = False, std: dict | None = None, modules: tuple[str, ...] = (), **scope: Any):
+        self.modules = tuple(map(os.path.abspath, modules))
         self.std = STD if std is None else std
         self.root = self.folder = os.path.abspath(folder)
         self.safe, self.imported = safe, {}
@@ -111,7 +112,7 @@ class Engine:
         path, decoder = n.args
         if self.safe or "://" in path:
             raise V.EvalError(f"import of {path} isn't allowed")
-        full = os.path.normpath(self.root + path if path.startswith("/") else os.path.join(self.folder, path))
+        full = self.place(path)
         kind = os.path.splitext(full)[1][1:].lower()
         if not decoder and kind in ("parquet", "orc"):
             return Rel(formats.read(self.spark, full, kind))
@@ -131,6 +132,17 @@ class Engine:
             raise V.EvalError(f"{path} imports itself")
         return self.imported[full]
 
+    def place(self, path: str) -> str:
+        """Where an import's path leads: from the root, from the folder at hand, or, without a leading dot, first into the folders of modules."""
+        if path.startswith("/"):
+            return os.path.normpath(self.root + path)
+        if not path.startswith("."):
+            for top in self.modules:
+                full = os.path.normpath(os.path.join(top, path))
+                if full.startswith(top + os.sep) and (os.path.exists(full) or os.path.exists(full + SCRIPT)):
+                    return full
+        return os.path.normpath(os.path.join(self.folder, path))
+
     def script(self, path: str) -> Any:
         """The value of a file's text; its imports start from its own folder."""
         with open(path, encoding="utf-8") as f:

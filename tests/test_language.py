@@ -414,6 +414,21 @@ def test_bundles(tmp_path, capsys):
         bundle.write(str(tmp_path / "far.sw"), str(tmp_path / "far.zip"))
 
 
+def test_modules(tmp_path, capsys):
+    from setweave.__main__ import main
+
+    (tmp_path / "mods" / "example.org" / "lib").mkdir(parents=True)
+    (tmp_path / "mods" / "example.org" / "lib" / "inc.sw").write_text("let by = //{./by}; \\x x + by")
+    (tmp_path / "mods" / "example.org" / "lib" / "by.sw").write_text("10")
+    (tmp_path / "outside.sw").write_text("1")
+    engine = Engine(folder=str(tmp_path), modules=(str(tmp_path / "mods"),))
+    assert engine.eval("//{example.org/lib/inc}(5)") == 15.0 and engine.eval("//{outside}") == 1.0
+    with pytest.raises(EvalError):
+        engine.eval("//{example.org/none}")
+    main(["eval", f"--modules={tmp_path / 'mods'}", "//{example.org/lib/inc}(1)"])
+    assert capsys.readouterr().out == "11\n"
+
+
 def test_trees_of_files(tmp_path):
     """What each entry says of what exists; nothing is written if anything is wrong."""
     at, engine = str(tmp_path / "t"), Engine()
