@@ -92,6 +92,19 @@ def is_relation(x: Any) -> bool:
     return isinstance(x, frozenset) and bool(x) and all(isinstance(e, Tup) for e in x)
 
 
+class _Down:
+    """A key in the opposite order: that of negated values other than numbers."""
+
+    def __init__(self, key: Any):
+        self.key = key
+
+    def __lt__(self, other: _Down) -> bool:
+        return other.key < self.key
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, _Down) and self.key == other.key
+
+
 def order(x: Any):
     """A key of the universal order: by kind, then by value."""
     if x is None:
@@ -107,9 +120,14 @@ def order(x: Any):
     if isinstance(x, Dic):
         return (k, tuple(sorted((order(a), order(b)) for a, b in x.items())))
     if isinstance(x, Tup):
-        return (k, tuple(sorted(x)), tuple(order(x[n]) for n in sorted(x)))
+        if set(x) == {"@neg"}:
+            return (k + 0.5, _Down(order(x["@neg"])))
+        return (k, tuple((n, order(x[n])) for n in sorted(x)))
+    if k == 211 and len({frozenset(t) for t in x}) == 1:
+        names = heading(x)
+        return (k, tuple(names), len(x), tuple(sorted(tuple(order(t[n]) for n in names) for t in x)))
     if isinstance(x, frozenset):
-        return (k, len(x), tuple(sorted(map(order, x))))
+        return (200 if k == 211 else k, tuple(sorted(map(order, x))))
     return (k, id(x))
 
 

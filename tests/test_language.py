@@ -124,6 +124,10 @@ SAME = [
     ("<<'{\n>  \"a\": 1\n>}'>>", "//encoding.json.encoder((prefix: '>', indent: '  '))({'a': 1})"),
     ("<<'a:\n   b: 1\n'>>", "//encoding.yaml.encoder((indent: 3))({'a': {'b': 1}})"),
     ("[2, 'x', '[1,2]', {}]", 'let t = `{"a": [1, 2], "b": {"c": "x"}}`; [//json.number(`$.a[1]`, t), //json.text(`$.b.c`, t), //json.text(`$.a`, t), //json.text(`$.z.y`, t)]'),
+    ("[{1, 5}, {2}, {2, 3}]", "{{2}, {2, 3}, {1, 5}} orderby ."),
+    ("['b', 'ab', 'a']", "{'a', 'b', 'ab'} orderby -."),
+    ("[(a: 1, b: 2), (a: 2), (b: 0)]", "{(b: 0), (a: 2), (a: 1, b: 2)} orderby ."),
+    ("[{|a| (3)}, {|a| (1), (2)}, {|b| (0)}]", "{{|b| (0)}, {|a| (1), (2)}, {|a| (3)}} orderby ."),
     ("(name: 'v', n: 3, args: ['rest'])", "//flag.parser({'name': (type: 'string', alias: 'm'), 'n': (type: 'number')}).parse(['-m', 'v', '--n', '3', 'rest'])"),
     ("(@neg: {1})", "-{1}"),
     ("true", "//seq.contains({}, 'abc')"),
