@@ -620,3 +620,14 @@ def test_pipeline(spark):
     want = sorted((i, len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest()) for i, x in made)
     assert sorted(ids) == want
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf).select("doc_id", "n_tokens", "ids_sha256").collect()) == want
+
+
+@pytest.mark.parametrize("links", [[], [(2, 1)], [(i + 1, i) for i in range(60)], [(i, 0) for i in range(1, 30)], [(30, i) for i in range(30)], [(9, 8), (8, 2), (9, 1), (2, 1), (5, 4)]])
+def test_components_of_shapes(spark, links):
+    """Nothing, a pair, a chain, a star, a star from its greatest end, a ring."""
+    least = {x: x for e in links for x in e}
+    for _ in links:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    got = {r.id: r.component for r in near_dedup.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {k: v for k, v in least.items() if k != v}
