@@ -71,6 +71,16 @@ def test_median_by_ranges(spark, values):
     assert abs(got - statistics.median(values)) < 1e-12 and near in values
 
 
+def test_mixed_and_folds_of_ones_own(spark):
+    a, b = Rel.of(spark, "x int, y string", [(1, "p"), (1, "p"), (2, None)]), Rel.of(spark, "z double", [(0.5,)])
+    assert rows(Rel.mixed(a, b)) == [('{"x":1,"y":"p"}',), ('{"x":2,"y":null}',), ('{"z":0.5}',)]
+    c = Rel.of(spark, "k string, x int", [("a", 1), ("a", 2), ("b", 5), ("b", 5)])
+    assert rows(c.reduce("k", p=(lambda g: float(g["x"].prod()), "double"), n=(len, "int"))) == [("a", 2.0, 2), ("b", 5.0, 1)]
+    assert rows(c.expand(F.array(F.struct(F.col("k").alias("w")), F.struct(F.lit("z").alias("w"))))) == [("a",), ("b",), ("z",)]
+    seq = Rel.of(spark, "`@` int, v string", [(0, "a"), (1, "b")])
+    assert rows(seq.concat(seq, seq)) == [(i, "ab"[i % 2]) for i in range(6)]
+
+
 def test_keys(spark):
     """What is known to be unique, through operators; and no distinct in plans where it is."""
     a = Rel(spark.createDataFrame([(1, 7, "x"), (2, 7, "y")], "i int, j int, k string"), [["i"]])
